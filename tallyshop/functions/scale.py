@@ -70,6 +70,9 @@ def percentile_rows(
         joined = placed.withColumns(
             {"_start": F.lit(0), "_total": groups.select("_total").scalar()}
         )
+    joined = joined.withColumns(
+        {"_first": F.col("_from") - F.col("_start"), "_past": F.col("_to") - F.col("_start")}
+    )
     points = F.array(*[F.lit(float(p)) for p in probabilities])
     hits = F.filter(
         F.transform(
@@ -78,18 +81,12 @@ def percentile_rows(
                 p.alias("probability"), (p * (F.col("_total") - 1)).alias("position")
             ),
         ),
-        lambda s: (F.ceil(s["position"]) >= F.col("_from") - F.col("_start"))
-        & (F.floor(s["position"]) < F.col("_to") - F.col("_start")),
-    )
-    near = joined.select(
-        *by,
-        "_value",
-        (F.col("_from") - F.col("_start")).alias("_from"),
-        (F.col("_to") - F.col("_start")).alias("_to"),
-        F.explode(hits).alias("_hit"),
+        lambda s: (F.ceil(s["position"]) >= F.col("_first"))
+        & (F.floor(s["position"]) < F.col("_past")),
     )
-    low = (F.floor("_hit.position") >= F.col("_from")) & (F.floor("_hit.position") < F.col("_to"))
-    high = (F.ceil("_hit.position") >= F.col("_from")) & (F.ceil("_hit.position") < F.col("_to"))
+    near = joined.withColumn("_hit", F.explode(hits))
+    low = (F.floor("_hit.position") >= F.col("_first")) & (F.floor("_hit.position") < F.col("_past"))
+    high = (F.ceil("_hit.position") >= F.col("_first")) & (F.ceil("_hit.position") < F.col("_past"))
     ends = near.groupBy(*by, F.col("_hit.probability").alias("probability")).agg(
         F.max(F.when(low, F.col("_value"))).alias("_low"),
         F.max(F.when(high, F.col("_value"))).alias("_high"),
