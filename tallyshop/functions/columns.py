@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,11 @@ def mean_exact(column: Column | str) -> Column:
     return ratio(F.sum(column), F.count(column))
 
 
+def total_of(column: Column | str) -> Column:
+    """Grand total beside each row; only for tables of a few groups (one window task)."""
+    return F.sum(column).over(Window.partitionBy())
+
+
 def flag(condition: Column) -> Column:
     """1 where the condition holds, otherwise 0 (also for NULL)."""
     return F.when(condition, 1).otherwise(0)

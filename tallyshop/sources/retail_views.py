@@ -62,7 +62,7 @@ VIEWS["r_order_items"] = """
 SELECT order_id, product_id, quantity,
        cast(cast(cast(floor(cast(gross * 100 AS double) / quantity) AS bigint) AS decimal(12,0))
             * cast(0.01 AS decimal(3,2)) AS decimal(12,2)) AS unit_price,
-       discount_amount,
+       cast(discount_amount * CASE top_discount WHEN 8 THEN 2 WHEN 9 THEN 3 WHEN 10 THEN 4 ELSE 1 END AS decimal(18,4)) AS discount_amount,
        CASE WHEN top_discount >= 7 THEN 'PROMO-' || cast(top_discount AS string) END AS promo_id,
        CASE WHEN top_discount >= 7 AND (order_id + product_id) % 10 = 0 THEN 'PROMO-9' END AS promo_id_2
 FROM (SELECT l_orderkey AS order_id, l_partkey AS product_id,
