@@ -11,7 +11,7 @@ from tallyshop.plans.registry import QUERIES, Query, oracle_text
 from tallyshop.session import tune
 from tallyshop.sources.retail_views import retail_catalog
 
-MODULES = ("questions", "marts", "customers", "promotions")
+MODULES = ("questions", "marts", "customers", "promotions", "returns", "supply")
 
 for _module in MODULES:
     importlib.import_module(f"tallyshop.plans.{_module}")
