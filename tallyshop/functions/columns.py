@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -120,3 +122,34 @@ def quarter_end(date: Column | str) -> Column:
 def day_index(date: Column | str) -> Column:
     """Days since 1970-01-01, for calendar-range windows."""
     return F.unix_date(col(date))
+
+
+# --- output ----------------------------------------------------------------------------------
+
+
+def shown(df: DataFrame, exact: tuple[str, ...] = ()) -> DataFrame:
+    """Output form of a table: decimals as money, doubles with six decimals, the rest as is.
+
+    Columns named in ``exact`` are one division of exact sums and stay unrounded.
+    """
+
+    def cell(field) -> Column:
+        kind = field.dataType.typeName()
+        name = F.col(f"`{field.name}`")
+        if kind.startswith("decimal"):
+            return money(name).alias(field.name)
+        rounded = kind == "double" and field.name not in exact
+        return (r6(name) if rounded else name).alias(field.name)
+
+    return df.select(*[cell(f) for f in df.schema.fields])
+
+
+def slug(value: str) -> str:
+    """Column-name form of a category value."""
+    return re.sub(r"[^a-z0-9]+", "_", value.lower()).strip("_")
+
+
+def one_hot_counts(column: str, values: list[str], prefix: str | None = None) -> list[Column]:
+    """Count of rows per value as aggregate columns ``prefix_value``, from a fixed value list."""
+    prefix = prefix or column
+    return [count_if(F.col(column) == v).alias(f"{prefix}_{slug(v)}") for v in values]

@@ -187,5 +187,5 @@ def retail_catalog(spark: SparkSession, folder: str) -> Catalog:
     def node(name: str) -> DataFrame:
         return catalog[name[2:]] if name.startswith("r_") else read(name)
 
-    catalog = Catalog(spark, {name[2:]: partial(build, name) for name in VIEWS})
+    catalog = Catalog(spark, {name[2:]: partial(build, name) for name in VIEWS}, folder)
     return catalog

@@ -14,8 +14,9 @@ from tallyshop.sources.schemas import SCHEMAS
 class Catalog:
     """Tables by name; a table is built on first use and kept as a lazy DataFrame."""
 
-    def __init__(self, spark: SparkSession, builders: dict[str, Callable[[], DataFrame]]):
+    def __init__(self, spark: SparkSession, builders: dict[str, Callable[[], DataFrame]], folder: str = ""):
         self.spark = spark
+        self.folder = folder
         self._builders = builders
         self._tables: dict[str, DataFrame] = {}
 
@@ -29,6 +30,10 @@ class Catalog:
             raise AttributeError(name)
         return self[name]
 
+    def source(self, name: str) -> str:
+        """Path of a raw Parquet file in the catalogue's folder."""
+        return f"{self.folder}/{name}.parquet"
+
     def names(self) -> list[str]:
         return sorted(self._builders)
 
