@@ -11,7 +11,10 @@ from tallyshop.plans.registry import QUERIES, Query, oracle_text
 from tallyshop.session import tune
 from tallyshop.sources.retail_views import retail_catalog
 
-MODULES = ("questions", "marts", "customers", "promotions", "returns", "supply", "daily", "quality")
+MODULES = (
+    "questions", "marts", "customers", "promotions", "returns", "supply", "daily", "quality", "statistics",
+    "features", "forecast",
+)
 
 for _module in MODULES:
     importlib.import_module(f"tallyshop.plans.{_module}")

@@ -123,8 +123,8 @@ def submission_rows(df: DataFrame, date: str = "date", revenue: str = "revenue",
     """Forecast rows as they are handed in: ISO dates and money with two decimals."""
     return df.select(
         F.date_format(date, "yyyy-MM-dd").alias("Date"),
-        F.round(revenue, 2).alias("Revenue"),
-        F.round(cogs, 2).alias("COGS"),
+        F.round(revenue, 2).cast("double").alias("Revenue"),
+        F.round(cogs, 2).cast("double").alias("COGS"),
     )
 
 
