@@ -452,9 +452,9 @@ CHURN_FEATURES = ["total_items", "avg_delivery_days", "avg_rating", "AOV", "prom
 
 
 def churn_rows(customers: DataFrame, rfm: DataFrame, train_share: float = 0.8) -> DataFrame:
-    """Features, label (segment Churn Risk) and a split that is stable across runs and stratified.
+    """Features, label (segment Churn Risk) and a train mark from the hash of the customer id.
 
-    Within each label customers are split by the hash of their id. The label comes from the
+    The hash gives every label the same share and stays the same across runs. The label comes from the
     same period as the features, so the model describes churners rather than predicts them.
     """
     base = customers.select(

@@ -210,7 +210,7 @@ def _(cat):
 
 
 @query(
-    "market_basket_products",
+    "market_basket_product_pairs",
     f"""WITH b AS {_BASKET.format(item='product_name')}, t AS (SELECT count(DISTINCT order_id) AS n FROM b), f AS (SELECT item, count(*) AS n FROM b GROUP BY item),
           u AS (SELECT x.item AS a, y.item AS c, count(*) AS freq FROM b x JOIN b y ON x.order_id = y.order_id AND x.item <> y.item GROUP BY ALL)
         SELECT a AS antecedent, c AS consequent, {r6('freq / cast(t.n AS double)')} AS support, {r6('freq / cast(fa.n AS double)')} AS confidence,
@@ -219,7 +219,8 @@ def _(cat):
 )
 def _(cat):
     # 64 names bought almost evenly: pair supports stay near 0.3 %, so thresholds are lower
-    return shown(baskets.market_basket(cat, min_support=0.003, min_confidence=0.05, min_lift=1.05).drop("rule"))
+    rules = baskets.market_basket(cat, min_support=0.003, min_confidence=0.05, min_lift=1.05).drop("rule")
+    return shown(rules.where("NOT contains(antecedent, ', ') AND NOT contains(consequent, ', ')"))
 
 
 _BOTH = """(SELECT DISTINCT customer_id FROM r_orders WHERE order_status = 'delivered' AND order_id IN (SELECT order_id FROM m_item WHERE product_name = 'small ring')

@@ -129,7 +129,7 @@ VIEWS["r_inventory"] = """
 SELECT snapshot_date, s.product_id AS product_id, stock_on_hand,
        units_sold + s.product_id % 40 - 2 AS units_received, units_sold, stockout_days,
        CASE WHEN s.product_id % 60 = 0 THEN 1.0 ELSE 0.0 END + cast(stock_on_hand * 30 AS double) / units_sold AS days_of_supply,
-       1.0 - cast(stockout_days AS double) / 30 AS fill_rate,
+       1.0 - cast(stockout_days AS double) / 31 AS fill_rate,
        CASE WHEN stockout_days > 0 THEN 1 ELSE 0 END AS stockout_flag,
        CASE WHEN stock_on_hand > 3 * units_sold THEN 1 ELSE 0 END AS overstock_flag,
        CASE WHEN stock_on_hand < units_sold THEN 1 ELSE 0 END AS reorder_flag,
