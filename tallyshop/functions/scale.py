@@ -120,6 +120,13 @@ def percentile_edges(df: DataFrame, value: Column | str, probabilities: list[flo
     return rows.agg(F.transform(ordered, lambda s: s["value"]).alias("edges")).scalar()
 
 
+def small_domain_edges(df: DataFrame, value: str, probabilities: list[float]) -> Column:
+    """Percentiles of a column of few distinct values (days, counts): one aggregate over its counts."""
+    counts = df.groupBy(value).agg(F.count("*").alias("_n"))
+    points = F.array(*[F.lit(float(p)) for p in probabilities])
+    return counts.agg(F.percentile(value, points, F.col("_n")).alias("edges")).scalar()
+
+
 def average_ranks(df: DataFrame, value: str, keep: list[str]) -> DataFrame:
     """Rank of every row among all rows, ties sharing their mean rank (column ``rank``).
 

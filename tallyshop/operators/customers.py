@@ -18,7 +18,13 @@ from tallyshop.functions.columns import (
     r6,
     ratio,
 )
-from tallyshop.functions.scale import global_running, lookup, percentile_edges, with_row_number
+from tallyshop.functions.scale import (
+    global_running,
+    lookup,
+    percentile_edges,
+    small_domain_edges,
+    with_row_number,
+)
 from tallyshop.operators.marts import customer_value, item_fact
 from tallyshop.session import materialise
 from tallyshop.sources.tables import Catalog
@@ -30,7 +36,8 @@ def rfm_scores(value: DataFrame) -> DataFrame:
     """Quintile scores of recency, frequency and monetary value.
 
     Edges are exact percentiles and bands are closed on the right. Frequency is scored on its
-    row rank (ties in customer order), so its edges follow from the number of customers.
+    row rank (ties in customer order), so its edges follow from the number of customers; recency
+    has one value per calendar day at most.
     """
     value = materialise(value)  # three orderings read it
     ranked = with_row_number(value, ["F", "customer_id"], "F_rank")
@@ -38,7 +45,7 @@ def rfm_scores(value: DataFrame) -> DataFrame:
     rank_edges = F.array(*[F.lit(1) + (n - 1) * F.lit(q) for q in QUINTILES])
     return ranked.select(
         "customer_id", "R", "F", "M",
-        edge_score("R", percentile_edges(value, "R", QUINTILES), [5, 4, 3, 2, 1]).alias("R_score"),
+        edge_score("R", small_domain_edges(value, "R", QUINTILES), [5, 4, 3, 2, 1]).alias("R_score"),
         edge_score("F_rank", rank_edges, [1, 2, 3, 4, 5]).alias("F_score"),
         edge_score("M", percentile_edges(value, "M", QUINTILES), [1, 2, 3, 4, 5]).alias("M_score"),
     )

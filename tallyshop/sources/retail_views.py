@@ -58,18 +58,20 @@ SELECT o.o_orderkey AS order_id, cast(o.o_orderdate AS date) AS order_date,
 FROM {orders} o LEFT JOIN {customer} c ON c.c_custkey = o.o_custkey
 """
 
+# Sums run over whole cents (and hundredths of cents): integers aggregate faster than decimals
+# and are just as exact.
 VIEWS["r_order_items"] = """
 SELECT order_id, product_id, quantity,
-       cast(cast(cast(floor(cast(gross * 100 AS double) / quantity) AS bigint) AS decimal(12,0))
+       cast(cast(cast(floor(cast(gross_cents AS double) / quantity) AS bigint) AS decimal(12,0))
             * cast(0.01 AS decimal(3,2)) AS decimal(12,2)) AS unit_price,
-       cast(discount_amount * CASE top_discount WHEN 8 THEN 2 WHEN 9 THEN 3 WHEN 10 THEN 4 ELSE 1 END AS decimal(18,4)) AS discount_amount,
+       cast(cast(discount_e4 * CASE top_discount WHEN 8 THEN 2 WHEN 9 THEN 3 WHEN 10 THEN 4 ELSE 1 END AS decimal(18,0))
+            * cast(0.0001 AS decimal(5,4)) AS decimal(18,4)) AS discount_amount,
        CASE WHEN top_discount >= 7 THEN 'PROMO-' || cast(top_discount AS string) END AS promo_id,
        CASE WHEN top_discount >= 7 AND (order_id + product_id) % 10 = 0 THEN 'PROMO-9' END AS promo_id_2
 FROM (SELECT l_orderkey AS order_id, l_partkey AS product_id,
              cast(sum(cast(l_quantity AS bigint)) AS bigint) AS quantity,
-             sum(cast(l_extendedprice AS decimal(12,2))) AS gross,
-             cast(sum(cast(l_extendedprice AS decimal(12,2)) * cast(l_discount AS decimal(4,2)))
-                  AS decimal(18,4)) AS discount_amount,
+             cast(sum(cast(round(l_extendedprice * 100) AS bigint)) AS bigint) AS gross_cents,
+             cast(sum(cast(round(l_extendedprice * 100) AS bigint) * cast(round(l_discount * 100) AS bigint)) AS bigint) AS discount_e4,
              max(cast(round(l_discount * 100) AS int)) AS top_discount
       FROM {lineitem} GROUP BY l_orderkey, l_partkey) g
 """
@@ -100,7 +102,8 @@ SELECT 'R' || cast(l.l_orderkey AS string) || '-' || cast(l.l_partkey AS string)
        CASE l.l_partkey % 5 WHEN 0 THEN 'wrong_size' WHEN 1 THEN 'defective' WHEN 2 THEN 'not_as_described'
             WHEN 3 THEN 'changed_mind' ELSE 'late_delivery' END AS return_reason,
        cast(sum(cast(l.l_quantity AS bigint)) AS bigint) AS return_quantity,
-       cast(sum(cast(l.l_extendedprice AS decimal(12,2)) * (1 - cast(l.l_discount AS decimal(4,2)))) AS decimal(18,4)) AS refund_amount
+       cast(cast(cast(sum(cast(round(l.l_extendedprice * 100) AS bigint) * (100 - cast(round(l.l_discount * 100) AS bigint))) AS bigint) AS decimal(18,0))
+            * cast(0.0001 AS decimal(5,4)) AS decimal(18,4)) AS refund_amount
 FROM {lineitem} l JOIN {r_orders} o ON o.order_id = l.l_orderkey
 WHERE l.l_returnflag = 'R' AND l.l_linestatus = 'F' AND l.l_orderkey % 4 = 0 AND o.order_status <> 'cancelled'
 GROUP BY l.l_orderkey, l.l_partkey, l.l_linenumber
