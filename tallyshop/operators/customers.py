@@ -20,7 +20,6 @@ from tallyshop.functions.columns import (
 )
 from tallyshop.functions.scale import (
     global_running,
-    lookup,
     percentile_edges,
     small_domain_edges,
     with_row_number,

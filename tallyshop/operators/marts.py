@@ -18,7 +18,7 @@ from tallyshop.functions.columns import (
     r6,
     ratio,
 )
-from tallyshop.functions.scale import lookup, percentile_scalar
+from tallyshop.functions.scale import lookup, percentile_scalar, salted_lookup
 from tallyshop.sources.tables import Catalog
 
 PROMO_FIELDS = (
@@ -51,14 +51,20 @@ def raw_returned_lines(order_items: DataFrame, returns: DataFrame) -> DataFrame:
     return order_items.join(events, ["order_id", "product_id"], "left")
 
 
-def item_fact(cat: Catalog, parts: Iterable[str] = LOOKUPS) -> DataFrame:
+def item_fact(cat: Catalog, parts: Iterable[str] = LOOKUPS, salted: bool = False) -> DataFrame:
     """One row per order line with the attributes and measures of the chosen lookups.
 
     Every lookup has one row per key, so the number of lines never changes; naming fewer
     ``parts`` drops whole joins (and their shuffles) without changing the other columns.
-    The order_id joins come first: they share one shuffle of the lines.
+    The order_id joins come first: they share one shuffle of the lines. ``salted`` spreads hot
+    customers and products over many tasks where those dimensions are too large to broadcast
+    and AQE's split of skewed partitions is off or too coarse.
     """
     parts = set(parts)
+
+    def by_entity(fact: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
+        return salted_lookup(fact, dimension, key) if salted else lookup(fact, dimension, [key])
+
     out = cat.order_items.withColumns(
         {
             "gross_value": gross_value(),
@@ -102,12 +108,12 @@ def item_fact(cat: Catalog, parts: Iterable[str] = LOOKUPS) -> DataFrame:
         out = lookup(out, reviews_per_line(cat.reviews), ["order_id", "product_id"])
     if "customers" in parts:
         customers = cat.customers.select("customer_id", "gender", "age_group", "acquisition_channel")
-        out = lookup(out, customers, ["customer_id"])
+        out = by_entity(out, customers, "customer_id")
     if "geography" in parts:
         out = lookup(out, cat.geography.select("zip", "region"), ["zip"])
     if "products" in parts:
         products = cat.products.select("product_id", "category", "segment", "cogs")
-        out = lookup(out, products, ["product_id"])
+        out = by_entity(out, products, "product_id")
         out = out.withColumn("cogs_total", F.col("quantity") * F.col("cogs"))
         out = out.withColumn("profit", F.col("net_value") - F.col("cogs_total"))
         if "returns" in parts:

@@ -12,7 +12,6 @@ from tallyshop.functions.columns import (
     count_if,
     dbl,
     flag,
-    gross_value,
     money,
     month_of,
     net_value,
@@ -20,7 +19,7 @@ from tallyshop.functions.columns import (
     ratio,
     total_of,
 )
-from tallyshop.functions.scale import lookup, percentile_rows, percentile_table
+from tallyshop.functions.scale import lookup, percentile_table
 from tallyshop.functions.spine import spine_of
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}

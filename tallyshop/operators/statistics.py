@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation, KolmogorovSmirnovTest
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyshop.functions.columns import col, count_if, dbl, flag, ratio
+from tallyshop.functions.columns import count_if, dbl, flag, ratio
 from tallyshop.functions.distributions import (
     chi_square_sf,
     correlation_p,
@@ -251,6 +250,3 @@ def seasonal_strengths(daily: DataFrame, value: str, series: str = "series_id",
         *[F.try_divide(F.stddev_samp(c), spread).alias(f"{c}_strength") for c in ("trend", "seasonal", "residual")]
     )
 
-
-def vector_of(columns: list[str]) -> Column:
-    return array_to_vector(F.array(*[dbl(col(c)) for c in columns]))

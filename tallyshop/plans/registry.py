@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from tallyshop.sources.retail_views import VIEWS, placeholders
+from tallyshop.sources.retail_views import VIEWS
 from tallyshop.sources.tables import Catalog
 
 
@@ -86,5 +86,3 @@ def oracle_text(query: Query) -> str | None:
         return f"WITH {ctes},\n{body[4:].strip()}"
     return f"WITH {ctes}\n{body}"
 
-
-__all__ = ["ORACLE_MARTS", "QUERIES", "Query", "big", "money", "oracle_text", "placeholders", "query", "r6"]

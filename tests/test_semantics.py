@@ -230,3 +230,22 @@ def test_csv_round_trip_and_catalogue(spark, tmp_path):
 def test_strict_dates(spark):
     df = spark.createDataFrame([("2020-02-29",), ("2021-02-29",), ("01/02/2020",)], "t string")
     assert values(df.select(tables.parse_date_strict("t").alias("d")), "d") == [date(2020, 2, 29), None, None]
+
+
+def test_salted_item_fact_equals_plain(spark, catalog):
+    n = 300
+    orders = spark.range(n).select(
+        F.col("id").alias("order_id"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("customer_id"),
+        F.lit(date(2020, 1, 1)).alias("order_date"), F.lit("m").alias("device_type"), F.lit("s").alias("order_source"), F.lit(1).alias("zip"),
+    )
+    items = spark.range(n).select(
+        F.col("id").alias("order_id"), (F.col("id") % 7).alias("product_id"), F.lit(2).alias("quantity"), F.lit(3.0).alias("unit_price"),
+        F.lit(1.0).alias("discount_amount"), F.lit(None).cast("string").alias("promo_id"), F.lit(None).cast("string").alias("promo_id_2"),
+    )
+    people = spark.range(n).select(F.col("id").alias("customer_id"), F.lit("F").alias("gender"), F.lit("a").alias("age_group"), F.col("id").cast("string").alias("acquisition_channel"))
+    goods = spark.range(5).select(F.col("id").alias("product_id"), F.col("id").cast("string").alias("category"), F.lit("x").alias("segment"), F.lit(1.0).alias("cogs"))
+    cat = catalog(orders=orders, order_items=items, customers=people, products=goods)
+    parts = ("orders", "customers", "products")
+    plain = marts.item_fact(cat, parts)
+    salted = marts.item_fact(cat, parts, salted=True).select(*plain.columns)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, salted.collect())) and plain.count() == n
