@@ -19,6 +19,7 @@ from tallyshop.functions.columns import (
     ratio,
 )
 from tallyshop.functions.scale import lookup, percentile_scalar, salted_lookup
+from tallyshop.session import materialise
 from tallyshop.sources.tables import Catalog
 
 PROMO_FIELDS = (
@@ -161,23 +162,31 @@ def modal_value(df: DataFrame, key: str, column: str, name: str) -> DataFrame:
     return counts.groupBy(key).agg(best.alias(name))
 
 
-def customer_base(cat: Catalog) -> DataFrame:
-    """Aggregates per customer from the item fact.
+def order_rows(cat: Catalog) -> DataFrame:
+    """Sums and counts of the item fact per order, and the categories of the order.
 
-    Lines are first summed per order, which needs no shuffle because the fact is still
-    partitioned by order_id; only order rows travel to the customer, combined map-side. Distinct
-    orders are then a plain count. Categories are counted over distinct pairs beside it.
+    The fact is still partitioned by order_id here, so this needs no shuffle of its own.
     """
     lines = item_fact(cat, ("orders", "shipments", "returns", "reviews", "products"))
     sums = (
         "quantity", "net_value", "profit", "discount_amount", "delivery_days", "rating", "return_qty", "refund_amount",
     )
-    orders = lines.groupBy("order_id").agg(
-        F.min("customer_id").alias("customer_id"), F.min("order_date").alias("order_date"),
-        *[F.sum(c).alias(c) for c in sums], F.count("delivery_days").alias("delivery_n"),
-        F.count("rating").alias("rating_n"), count_if(F.col("used_promo")).alias("promo_lines"),
-        F.count("product_id").alias("total_lines"),
+    attributes = ("customer_id", "order_date", "device_type", "order_source")
+    return lines.groupBy("order_id").agg(
+        *[F.min(c).alias(c) for c in attributes], *[F.sum(c).alias(c) for c in sums],
+        F.count("delivery_days").alias("delivery_n"), F.count("rating").alias("rating_n"),
+        count_if(F.col("used_promo")).alias("promo_lines"), F.count("product_id").alias("total_lines"),
+        F.collect_set("category").alias("categories"),
     )
+
+
+def customer_base(cat: Catalog, orders: DataFrame | None = None) -> DataFrame:
+    """Aggregates per customer from order rows, combined map-side before they travel.
+
+    The order rows are written once: sums read them, and so does the count of categories, which
+    goes over distinct (customer, category) pairs.
+    """
+    orders = materialise(order_rows(cat)) if orders is None else orders
     customers = orders.groupBy("customer_id").agg(
         F.count("*").alias("total_orders"),
         F.sum("quantity").alias("total_items"),
@@ -193,29 +202,9 @@ def customer_base(cat: Catalog) -> DataFrame:
         F.min("order_date").alias("first_order"),
         F.max("order_date").alias("last_order"),
     )
-    return customers.join(category_diversity(cat), "customer_id", "left")
-
-
-def category_diversity(cat: Catalog) -> DataFrame:
-    """Number of categories each customer bought, from distinct pairs at every step."""
-    per_order = (
-        lookup(cat.order_items.select("order_id", "product_id"), cat.products.select("product_id", "category"), ["product_id"])
-        .select("order_id", "category").distinct()
-    )
-    pairs = lookup(per_order, cat.orders.select("order_id", "customer_id"), ["order_id"]).select("customer_id", "category").distinct()
-    return pairs.groupBy("customer_id").agg(F.count("category").alias("category_diversity"))
-
-
-def item_order_dates(cat: Catalog) -> DataFrame:
-    """Orders that have lines: the rows whose dates and channels the customer mart looks at."""
-    lines = cat.order_items.groupBy("order_id").agg(F.count("*").alias("lines"))
-    return cat.orders.join(lines, "order_id")
-
-
-def last_order_day(cat: Catalog):
-    """The newest order date among orders with lines, as a scalar column."""
-    with_lines = cat.orders.join(cat.order_items.select("order_id"), "order_id", "left_semi")
-    return with_lines.agg(F.max("order_date").alias("d")).scalar()
+    pairs = orders.select("customer_id", F.explode("categories").alias("category")).distinct()
+    diversity = pairs.groupBy("customer_id").agg(F.count("*").alias("category_diversity"))
+    return customers.join(diversity, "customer_id", "left").fillna(0, ["category_diversity"])
 
 
 def customer_value(cat: Catalog) -> DataFrame:
@@ -235,13 +224,10 @@ def customer_value(cat: Catalog) -> DataFrame:
 
 def customer_360(cat: Catalog, churn_days: int = 90, top_share: float = 0.2, bargain: float = 0.3) -> DataFrame:
     """Customer mart: behaviour, value, experience, returns, promotions, time and channels."""
-    base = customer_base(cat)
-    # CLV is the profit before returns; its threshold comes from a narrow plan of its own
-    profit = (
-        item_fact(cat, ("orders", "products")).groupBy("customer_id").agg(F.sum("profit").alias("clv"))
-    )
-    threshold = percentile_scalar(profit, "clv", 1 - top_share)
-    newest = last_order_day(cat)
+    orders = materialise(order_rows(cat))
+    base = materialise(customer_base(cat, orders))
+    threshold = percentile_scalar(base, "total_profit", 1 - top_share)
+    newest = base.agg(F.max("last_order").alias("d")).scalar()
     spend = F.col("total_revenue") + F.col("total_discount")
     months = F.greatest(F.col("tenure"), F.lit(1)) / 30
     out = base.withColumns(
@@ -264,10 +250,9 @@ def customer_360(cat: Catalog, churn_days: int = 90, top_share: float = 0.2, bar
             "is_bargain": flag(F.col("discount_rate") > bargain),
         }
     )
-    weighted = item_order_dates(cat)
     channels = lookup(out, cat.customers.select("customer_id", "acquisition_channel"), ["customer_id"])
     for column, name in (("device_type", "dominant_device"), ("order_source", "dominant_source")):
-        counts = weighted.groupBy("customer_id", column).agg(F.sum("lines").alias("_n"))
+        counts = orders.groupBy("customer_id", column).agg(F.sum("total_lines").alias("_n"))
         best = F.min_by(column, F.struct((-F.col("_n")).alias("n"), F.col(column).alias("v")))
         channels = channels.join(counts.groupBy("customer_id").agg(best.alias(name)), "customer_id", "left")
     return channels

@@ -65,9 +65,24 @@ def year_lags(value: str) -> dict[str, Column]:
     }
 
 
+# Daily columns that carry the target itself, and columns found to be noise.
+LEAKY_COLUMNS = (
+    "payment_value", "total_refund_amount", "order_reviews", "customer_reviews", "product_reviews", "rating", "Revenue", "COGS",
+)
+NOISE_COLUMNS = (
+    "traffic_direct", "traffic_email_campaign", "traffic_referral", "traffic_paid_search", "traffic_organic_search",
+    "traffic_social_media", "avg_session_duration_sec", "day_of_week", "month",
+)
+
+
+def usable_columns(daily: DataFrame) -> DataFrame:
+    """The daily table without the columns that leak the target or are noise."""
+    return daily.drop(*LEAKY_COLUMNS, *NOISE_COLUMNS)
+
+
 def feature_names(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
     """Numeric columns that may be features: no keys, targets, weights or fold marks."""
-    barred = {SERIES, "date", "label", "weight", "fold", *exclude}
+    barred = {SERIES, "date", "label", "weight", "fold", *LEAKY_COLUMNS, *exclude}
     numeric = ("int", "integer", "long", "double", "float")
     return [f.name for f in df.schema.fields if f.name not in barred and f.dataType.typeName() in numeric]
 

@@ -82,6 +82,13 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return counts.withColumn("pct", r6(ratio("n", total_of("n")) * 100)).orderBy(F.desc("n"), "value")
 
 
+def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
+    """Counts of two columns with row percentages and row totals (long form: a row per cell)."""
+    cells = df.where(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(row, column).agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy(row))  # one row per value of the column
+    return cells.withColumns({"row_total": total, "row_pct": r6(ratio("n", total) * 100)})
+
+
 def domain_listing(df: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct values per column, and how many there are."""
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])

@@ -189,3 +189,13 @@ def sales_totals(sales: DataFrame) -> DataFrame:
     return yearly.select(
         "year", money("r").alias("revenue"), money("c").alias("cogs"), money(F.col("r") - F.col("c")).alias("gross_profit")
     )
+
+
+def sessions_by_weekday(web_traffic: DataFrame) -> DataFrame:
+    """Mean daily sessions by weekday, in weekday order."""
+    days = web_traffic.groupBy("date").agg(F.sum("sessions").alias("sessions"))
+    return (
+        days.groupBy(F.weekday("date").alias("weekday"), F.date_format("date", "EEEE").alias("day_name"))
+        .agg(r6(mean_exact("sessions")).alias("avg_sessions"))
+        .orderBy("weekday")
+    )

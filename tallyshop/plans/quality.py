@@ -84,6 +84,29 @@ def _(cat):
     return op.value_counts(cat.order_items, "promo_id")
 
 
+@query(
+    "crosstab",
+    f"""SELECT age_group, acquisition_channel, count(*) AS n, cast(sum(count(*)) OVER (PARTITION BY age_group) AS bigint) AS row_total,
+               {r6('count(*) / cast(sum(count(*)) OVER (PARTITION BY age_group) AS double) * 100')} AS row_pct
+        FROM r_customers WHERE age_group IS NOT NULL GROUP BY age_group, acquisition_channel""",
+)
+def _(cat):
+    return op.crosstab(cat.customers, "age_group", "acquisition_channel")
+
+
+@query(
+    "parse_dates",
+    """SELECT year(d) AS year, count(*) AS orders FROM (
+         SELECT cast(try_strptime(CASE WHEN order_id % 7 = 0 THEN strftime(order_date, '%d/%m/%Y') ELSE strftime(order_date, '%Y-%m-%d') END, '%Y-%m-%d') AS date) AS d FROM r_orders) x GROUP BY 1""",
+)
+def _(cat):
+    from tallyshop.sources.tables import parse_date_strict
+
+    text = F.when(F.col("order_id") % 7 == 0, F.date_format("order_date", "dd/MM/yyyy")).otherwise(F.date_format("order_date", "yyyy-MM-dd"))
+    parsed = cat.orders.select(parse_date_strict(text).alias("d"))
+    return parsed.groupBy(F.year("d").alias("year")).agg(F.count("*").alias("orders"))
+
+
 @query(
     "domain_listing",
     _union(

@@ -203,3 +203,12 @@ def _(cat):
 )
 def _(cat):
     return op.sales_totals(cat.sales)
+
+
+@query(
+    "sessions_by_weekday",
+    f"""SELECT isodow(date) - 1 AS weekday, dayname(date) AS day_name, {r6('sum(s) / cast(count(*) AS double)')} AS avg_sessions
+        FROM (SELECT date, sum(sessions) AS s FROM r_web_traffic GROUP BY date) d GROUP BY 1, 2""",
+)
+def _(cat):
+    return op.sessions_by_weekday(cat.web_traffic)
