@@ -47,12 +47,14 @@ def with_row_number(df: DataFrame, order: list[Column | str], name: str = "rn")
 
 
 def percentile_rows(
-    df: DataFrame, value: Column | str, probabilities: list[float], by: tuple[str, ...] = ()
+    df: DataFrame, value: Column | str, probabilities: list[float], by: tuple[str, ...] = (), few_groups: bool = False
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, one row per group and probability.
 
     Returns ``by..., probability, value``. Rows are first collapsed to (value, count), then
     placed by a global running count, so no task ever holds all values of a group.
+    ``few_groups`` promises that the groups are few whatever the data (column names), so that
+    their totals may be broadcast.
     """
     counts = (
         df.select(*by, dbl(value).alias("_value"))
@@ -64,6 +66,7 @@ def percentile_rows(
     placed = placed.withColumn("_from", F.col("_to") - F.col("_n"))
     groups = placed.groupBy(*by).agg(F.min("_from").alias("_start"), F.sum("_n").alias("_total"))
     if by:
+        groups = F.broadcast(groups) if few_groups else groups
         keys = [F.col(f"p.{b}").eqNullSafe(F.col(f"g.{b}")) for b in by]
         joined = placed.alias("p").join(groups.alias("g"), keys).select("p.*", "_start", "_total")
     else:
@@ -99,10 +102,10 @@ def percentile_rows(
 
 
 def percentile_table(
-    df: DataFrame, value: Column | str, named: dict[str, float], by: tuple[str, ...] = ()
+    df: DataFrame, value: Column | str, named: dict[str, float], by: tuple[str, ...] = (), few_groups: bool = False
 ) -> DataFrame:
     """Exact percentiles as columns: one row per group, one column per name."""
-    rows = percentile_rows(df, value, sorted(set(named.values())), by)
+    rows = percentile_rows(df, value, sorted(set(named.values())), by, few_groups)
     return rows.groupBy(*by).agg(
         *[F.max(F.when(F.col("probability") == p, F.col("value"))).alias(n) for n, p in named.items()]
     )
@@ -127,18 +130,14 @@ def small_domain_edges(df: DataFrame, value: str, probabilities: list[float]) ->
     return counts.agg(F.percentile(value, points, F.col("_n")).alias("edges")).scalar()
 
 
-def average_ranks(df: DataFrame, value: str, keep: list[str]) -> DataFrame:
-    """Rank of every row among all rows, ties sharing their mean rank (column ``rank``).
+def value_ranks(counts: DataFrame, value: str, n: str) -> DataFrame:
+    """Average rank of each distinct value from a table of (value, count); adds its ``ties``.
 
-    Distinct values are counted first, so a value that a third of the rows share is one row
-    of the ordering.
+    A value that a third of the rows share is one row of the ordering.
     """
-    counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    placed = global_running(counts, [value], {"_to": "_n"})
-    ranks = placed.select(
-        F.col(value), (F.col("_to") - (F.col("_n") - 1) / 2).cast("double").alias("rank"), F.col("_n").alias("ties")
-    )
-    return lookup(df.select(*keep, value), ranks, [value])
+    collapsed = counts.groupBy(value).agg(F.sum(n).alias("ties"))
+    placed = global_running(collapsed, [value], {"_to": "ties"})
+    return placed.select(value, (F.col("_to") - (F.col("ties") - 1) / 2).cast("double").alias("rank"), "ties")
 
 
 def frequent_keys(df: DataFrame, key: str, share: float) -> list:

@@ -38,7 +38,7 @@ def profile_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"),
     )
-    return basic.join(percentile_table(rows, "value", QUARTILES, ("column",)), "column", "left")
+    return basic.join(percentile_table(rows, "value", QUARTILES, ("column",), few_groups=True), "column", "left")
 
 
 def profile_categorical(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -267,7 +267,7 @@ def price_anomaly(products: DataFrame, low: float = 0.5, high: float = 2.0) -> D
 def iqr_bounds(df: DataFrame, columns: list[str], factor: float = 1.5) -> DataFrame:
     """Quartiles and outlier bounds per column."""
     rows = long_values(df, columns)
-    return percentile_table(rows, "value", {"q1": 0.25, "q3": 0.75}, ("column",)).withColumns(
+    return percentile_table(rows, "value", {"q1": 0.25, "q3": 0.75}, ("column",), few_groups=True).withColumns(
         {
             "lower": F.col("q1") - factor * (F.col("q3") - F.col("q1")),
             "upper": F.col("q3") + factor * (F.col("q3") - F.col("q1")),
@@ -278,7 +278,7 @@ def iqr_bounds(df: DataFrame, columns: list[str], factor: float = 1.5) -> DataFr
 def iqr_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     """Bounds and number of values outside them, per column."""
     bounds = iqr_bounds(df, columns)
-    rows = lookup(long_values(df, columns), bounds, ["column"])
+    rows = long_values(df, columns).join(F.broadcast(bounds), "column", "left")  # one row per column
     return rows.groupBy("column").agg(
         F.max("q1").alias("q1"), F.max("q3").alias("q3"), F.max("lower").alias("lower"), F.max("upper").alias("upper"),
         count_if(F.col("value") < F.col("lower")).alias("below"), count_if(F.col("value") > F.col("upper")).alias("above"),

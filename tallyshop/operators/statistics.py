@@ -14,7 +14,7 @@ from tallyshop.functions.distributions import (
     correlation_t,
     normal_two_sided,
 )
-from tallyshop.functions.scale import average_ranks, lookup, percentile_rows
+from tallyshop.functions.scale import lookup, percentile_rows, value_ranks
 from tallyshop.operators.quality import long_values
 
 
@@ -50,11 +50,23 @@ def pearson(df: DataFrame, x: Column | str, y: Column | str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Spearman correlation: Pearson over average ranks, each ranked by distinct values."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
-    first = average_ranks(rows, x, [y]).select(y, F.col("rank").alias("rx"))
-    both = average_ranks(first, y, ["rx"]).select("rx", F.col("rank").alias("ry"))
-    return pearson(both, "rx", "ry")
+    """Spearman correlation: Pearson over average ranks.
+
+    Rows are collapsed to (x, y, count); ranks join those, and deviations are taken from the
+    known mean rank (n + 1) / 2, which keeps large ranks exact.
+    """
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    cells = known.groupBy(F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("w"))
+    for axis in ("_x", "_y"):
+        ranks = value_ranks(cells, axis, "w").select(axis, F.col("rank").alias(f"rank{axis}"))
+        cells = lookup(cells, ranks, [axis], "inner")
+    middle = (cells.agg(F.sum("w").alias("n")).scalar() + 1) / 2
+    dx, dy = F.col("rank_x") - middle, F.col("rank_y") - middle
+    agg = cells.agg(
+        F.sum("w").alias("n"), F.sum(F.col("w") * dx * dy).alias("xy"), F.sum(F.col("w") * dx * dx).alias("xx"),
+        F.sum(F.col("w") * dy * dy).alias("yy"),
+    ).withColumn("r", F.try_divide("xy", F.sqrt("xx") * F.sqrt("yy")))
+    return agg.select("n", "r", correlation_t("r", "n").alias("t"), correlation_p("r", "n").alias("p_value"))
 
 
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -104,12 +116,14 @@ def cogs_ratio(sales: DataFrame) -> DataFrame:
 
 
 def group_ranks(df: DataFrame, value: str, group: str) -> DataFrame:
-    """Rows, rank sum per group, and the tie term of all rows."""
-    ranked = average_ranks(df.where(F.col(value).isNotNull() & F.col(group).isNotNull()), value, [group])
+    """Rows, rank sum per group, and the tie term, from counts of (value, group)."""
+    known = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
+    cells = known.groupBy(value, group).agg(F.count("*").alias("w"))
+    ranked = lookup(cells, value_ranks(cells, value, "w"), [value], "inner")
     # every row of a tie of size t carries t² − 1; over the tie that is t³ − t
     tie = F.col("ties").cast("double") * F.col("ties") - 1
     return ranked.groupBy(group).agg(
-        F.count("*").cast("double").alias("n"), F.sum("rank").alias("rank_sum"), F.sum(tie).alias("tie_sum")
+        F.sum("w").cast("double").alias("n"), F.sum(F.col("w") * F.col("rank")).alias("rank_sum"), F.sum(F.col("w") * tie).alias("tie_sum")
     )
 
 
@@ -187,7 +201,7 @@ def binned_mutual_information(df: DataFrame, features: list[str], target: Column
     probabilities = [i / bins for i in range(1, bins)]
     data = df.select(*[dbl(f).alias(f) for f in features], dbl(target).alias("_target"))
     values = long_values(data, [*features, "_target"])
-    edges = percentile_rows(values, "value", probabilities, ("column",)).groupBy("column").agg(
+    edges = percentile_rows(values, "value", probabilities, ("column",), few_groups=True).groupBy("column").agg(
         F.sort_array(F.collect_list("value")).alias("edges")
     )
     packed = edges.agg(F.map_from_entries(F.collect_list(F.struct("column", "edges"))).alias("m"))
@@ -202,7 +216,7 @@ def binned_mutual_information(df: DataFrame, features: list[str], target: Column
         F.col("_target").alias("y_value"),
         F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x_value")) for f in features])),
     )
-    binned = lookup(rows, table, ["feature"], "inner").select(
+    binned = rows.join(F.broadcast(table), "feature").select(
         "feature", bin_of("x_value", "x_edges").alias("x"), bin_of("y_value", "y_edges").alias("y")
     )
     joint = binned.groupBy("feature", "x", "y").agg(F.count("*").cast("double").alias("n"))

@@ -60,9 +60,22 @@ def test_percentile_of_known_values(spark):
 
 def test_average_ranks_with_ties(spark):
     df = hot_frame(spark, 500)
-    out = scale.average_ranks(df, "value", ["id"]).toPandas().set_index("id")["rank"].sort_index()
-    expected = df.toPandas().set_index("id")["value"].rank(method="average")
-    assert out.tolist() == expected.tolist()
+    counts = df.groupBy("value").agg(F.count("*").alias("n"))
+    ranks = {r["value"]: r["rank"] for r in scale.value_ranks(counts, "value", "n").collect()}
+    plain = df.toPandas()
+    assert [ranks[v] for v in plain["value"]] == plain["value"].rank(method="average").tolist()
+
+
+def test_rank_statistics_with_a_hot_value(spark):
+    from tallyshop.operators.statistics import group_ranks, spearman
+
+    df = hot_frame(spark, 1200)
+    plain = df.toPandas()
+    expected = plain["key"].rank().corr(plain["value"].rank())
+    assert spearman(df, "key", "value").first()["r"] == pytest.approx(expected, abs=1e-12)
+    sums = {r["key"]: (r["n"], r["rank_sum"]) for r in group_ranks(df, "value", "key").collect()}
+    ranks = plain.assign(r=plain["value"].rank()).groupby("key")["r"]
+    assert sums == {k: (float(len(v)), pytest.approx(v.sum())) for k, v in ranks}
 
 
 def test_salted_lookup_equals_plain_join(spark):
