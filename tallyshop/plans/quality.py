@@ -421,12 +421,20 @@ def _(cat):
     return shown(op.box_summary(cat.products, "price", "category", "size"))
 
 
-@query("feature_groups_of_daily_table")
-def _(cat):
-    daily = processed_daily(cat, SPEC)
-    groups = {
-        "orders": ["order_id", "customer_id"], "payments": ["payment_value", "installments"],
-        "returns": _GROUPS["returns"], "promotions": ["promo_flag", "avg_discount_value"],
-        "inventory": ["total_stock_on_hand", "avg_fill_rate"], "web": ["sessions", "page_views"],
-    }
-    return op.feature_group_quality(daily, groups)
+_ALL_GROUPS = {
+    "orders": ("m_daily_orders", ["order_id", "customer_id"]), "payments": ("m_daily_payments", ["payment_value", "installments"]),
+    "returns": ("m_daily_returns", _GROUPS["returns"]), "promotions": ("m_daily_promotions", ["promo_flag", "avg_discount_value"]),
+    "inventory": ("m_daily_inventory", ["total_stock_on_hand", "avg_fill_rate"]), "web": ("m_daily_web", ["sessions", "page_views"]),
+}
+
+
+@query(
+    "feature_groups_of_daily_table",
+    _union(
+        f"""SELECT '{g}' AS feature_group, 2 AS columns, {r6(f'(count(*) FILTER ({a} = 0) + count(*) FILTER ({b} = 0)) / cast(2 * count(*) AS double) * 100')} AS zero_pct, {r6('0')} AS null_pct FROM {t}"""
+        for g, (t, (a, b)) in _ALL_GROUPS.items()
+    ),
+)
+def _(cat):
+    groups = {name: columns for name, (_, columns) in _ALL_GROUPS.items()}
+    return op.feature_group_quality(processed_daily(cat, SPEC), groups)

@@ -1,8 +1,11 @@
 """Queries for statistics and baskets."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from tallyshop.functions.columns import dbl, shown
+from tallyshop.functions.distributions import _ERFC_A, _ERFC_P
 from tallyshop.operators import baskets, customers
 from tallyshop.operators import daily as daily_op
 from tallyshop.operators import statistics as op
@@ -11,7 +14,15 @@ from tallyshop.plans.daily import SPEC
 from tallyshop.plans.registry import ORACLE_MARTS, query, r6
 from tallyshop.sources.tables import Catalog
 
-_COLUMNS = ("price", "cogs")
+
+
+def _erfc(x: str) -> str:
+    """Oracle text of the same polynomial the library uses for erfc (arguments of at least zero)."""
+    poly = "0.0::double"
+    for a in reversed(_ERFC_A):
+        poly = f"(({poly} + {a}::double) / (1 + {_ERFC_P}::double * ({x})))"
+    return f"({poly} * exp(-({x}) * ({x})))"
+
 
 
 @query(
@@ -58,9 +69,13 @@ def _(cat):
     return shown(op.spearman(cat.sales, "Revenue", "COGS").select("n", "r"))
 
 
-@query("correlation_p_values")
+@query(
+    "correlation_p_values",
+    f"""SELECT n, {r6('r')} AS r, {r6('r * sqrt((n - 2) / (1 - r * r))')} AS t, {r6(_erfc('abs(atanh(r) * sqrt(n - 3)) / sqrt(2)'))} AS p_value
+        FROM (SELECT count(*) AS n, corr(cast(payment_value AS double), cast(installments AS double)) AS r FROM r_payments) x""",
+)
 def _(cat):
-    return shown(op.pearson(cat.sales, "Revenue", "COGS"))
+    return shown(op.pearson(cat.payments, "payment_value", "installments"))
 
 
 _FEATURES = ["order_id", "customer_id", "order_status_delivered", "order_status_cancelled", "device_type_mobile", "order_source_direct", "Revenue", "COGS", "delivered_share"]
@@ -114,13 +129,17 @@ def _(cat):
     return shown(op.cogs_ratio(cat.sales))
 
 
-def _kruskal(group: str) -> str:
+def _kruskal(group: str, extra: str = "") -> str:
     return f"""WITH k AS (SELECT {group} AS g, {_RANK.format(c='price')} AS rk, count(*) OVER (PARTITION BY price) AS t FROM r_products),
       a AS (SELECT g, cast(count(*) AS double) AS n, sum(rk) AS rs, sum(cast(t AS double) * t - 1) AS ts FROM k GROUP BY g),
       b AS (SELECT sum(n) AS n, count(*) AS k, sum(rs * rs / n) AS q, sum(ts) AS ties FROM a),
       c AS (SELECT *, (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h FROM b)
       SELECT '{group}' AS grouping, cast(n AS bigint) AS n, k AS groups, {r6('h')} AS "H", {r6('(h - k + 1) / (n - k)')} AS epsilon_squared,
-             CASE WHEN (h - k + 1) / (n - k) >= 0.16 THEN 'large' WHEN (h - k + 1) / (n - k) >= 0.04 THEN 'medium' ELSE 'small' END AS level FROM c"""
+             CASE WHEN (h - k + 1) / (n - k) >= 0.16 THEN 'large' WHEN (h - k + 1) / (n - k) >= 0.04 THEN 'medium' ELSE 'small' END AS level{extra} FROM c"""
+
+
+# p-value of H for six groups, i.e. five degrees of freedom
+_FIVE = r6(f"{_erfc('sqrt(h / 2)')} + exp(-h / 2) * (pow(h / 2, 0.5) / {math.gamma(1.5)!r}::double + pow(h / 2, 1.5) / {math.gamma(2.5)!r}::double)")
 
 
 @query("kruskal_price_by_category", _kruskal("category"))
@@ -133,24 +152,26 @@ def _(cat):
     return shown(op.kruskal_wallis(cat.products, "price", "segment"))
 
 
-@query("kruskal_p_value")
+@query("kruskal_p_value", _kruskal("category", f", {_FIVE} AS p_value"))
 def _(cat):
     return shown(op.kruskal_p_value(op.kruskal_wallis(cat.products, "price", "category"), 6))
 
 
-@query(
-    "dunn_posthoc",
-    f"""WITH k AS (SELECT category AS g, {_RANK.format(c='price')} AS rk, count(*) OVER (PARTITION BY price) AS t FROM r_products),
+def _dunn(extra: str = "") -> str:
+    z = "(x.m - y.m) / sqrt((nn * (nn + 1) / 12 - ties / (12 * (nn - 1))) * (1 / x.n + 1 / y.n))"
+    return f"""WITH k AS (SELECT category AS g, {_RANK.format(c='price')} AS rk, count(*) OVER (PARTITION BY price) AS t FROM r_products),
       a AS (SELECT g, cast(count(*) AS double) AS n, sum(rk) / count(*) AS m, sum(cast(t AS double) * t - 1) AS ts FROM k GROUP BY g),
-      b AS (SELECT sum(n) AS nn, sum(ts) AS ties FROM a)
-      SELECT x.g AS group_a, y.g AS group_b, {r6('(x.m - y.m) / sqrt((nn * (nn + 1) / 12 - ties / (12 * (nn - 1))) * (1 / x.n + 1 / y.n))')} AS z
-      FROM a x JOIN a y ON x.g < y.g, b""",
-)
+      b AS (SELECT sum(n) AS nn, sum(ts) AS ties, count(*) * (count(*) - 1) / 2 AS pairs FROM a),
+      d AS (SELECT x.g AS group_a, y.g AS group_b, {z} AS z, pairs FROM a x JOIN a y ON x.g < y.g, b)
+      SELECT group_a, group_b, {r6('z')} AS z{extra} FROM d"""
+
+
+@query("dunn_posthoc", _dunn())
 def _(cat):
     return shown(op.dunn_posthoc(cat.products, "price", "category").drop("p_bonferroni"))
 
 
-@query("dunn_p_values")
+@query("dunn_p_values", _dunn(f", {r6('least(1.0::double, ' + _erfc('abs(z) / sqrt(2)') + ' * pairs)')} AS p_bonferroni"))
 def _(cat):
     return shown(op.dunn_posthoc(cat.products, "price", "category"))
 
