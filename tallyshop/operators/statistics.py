@@ -16,6 +16,7 @@ from tallyshop.functions.distributions import (
 )
 from tallyshop.functions.scale import lookup, percentile_rows, value_ranks
 from tallyshop.operators.quality import long_values
+from tallyshop.session import materialise
 
 
 def moments(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -175,9 +176,9 @@ def dunn_posthoc(df: DataFrame, value: str, group: str) -> DataFrame:
 
 def chi_square(df: DataFrame, row: str, column: str) -> DataFrame:
     """Contingency χ² without Yates correction: N (Σ o²/(r·c) − 1), so empty cells need no rows."""
-    cells = df.where(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(row, column).agg(
-        F.count("*").cast("double").alias("o")
-    )
+    cells = materialise(
+        df.where(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(row, column).agg(F.count("*").cast("double").alias("o"))
+    )  # one row per cell; margins, total and sizes all read it
     rows = cells.groupBy(row).agg(F.sum("o").alias("r"))
     columns = cells.groupBy(column).agg(F.sum("o").alias("c"))
     n = cells.agg(F.sum("o").alias("n")).scalar()
