@@ -18,21 +18,21 @@ def global_running(df: DataFrame, order: list[Column | str], sums: dict[str, Col
     """Running totals of the whole table in ``order`` (which must be total, i.e. end in a key).
 
     Adds one column per entry of ``sums``: the total of that expression up to and including
-    the row. ``F.lit(1)`` gives the global row number. The ranged table is written once to the
-    checkpoint folder, because partition numbers must be the same for totals and rows.
+    the row. ``F.lit(1)`` gives the global row number. AQE may merge neighbouring ranges of a
+    small table. The ranged table is written once to the checkpoint folder, because partition
+    numbers must be the same for totals and rows.
     """
     order = [col(o) for o in order]
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     values = {f"_v_{name}": col(expr) for name, expr in sums.items()}
     ranged = materialise(
-        df.withColumns(values).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+        df.withColumns(values).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     )
     totals = ranged.groupBy("_part").agg(*[F.sum(v).alias(f"_t{v}") for v in values])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_part", *[F.sum(f"_t{v}").over(before).alias(f"_o{v}") for v in values])
     local = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     running = ranged.withColumns({f"_l{v}": F.sum(v).over(local) for v in values})
-    # offsets holds one row per shuffle partition, whatever the size of the data
+    # offsets holds at most one row per shuffle partition, whatever the size of the data
     joined = running.join(F.broadcast(offsets), "_part")
     done = {
         name: F.col(f"_l_v_{name}") + F.coalesce(F.col(f"_o_v_{name}"), F.lit(0).cast("int"))
