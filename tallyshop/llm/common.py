@@ -49,7 +49,7 @@ def text_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def map_rows(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` over byte-bounded batches."""
     return text_batches(df).mapInArrow(work, schema)
 
@@ -59,19 +59,52 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def labelled(docs: DataFrame, labels: DataFrame, target: str, id_col: str = "doc_id") -> DataFrame:
-    """Labelled rows (id, text, label): one label per id (the largest if a table holds several), nulls left out."""
-    marks = (
-        labels.where(F.col(target).isNotNull() & F.col(id_col).isNotNull())
-        .groupBy(F.col(id_col).alias("_id")).agg(F.max(target).cast("int").alias("label"))
-    )
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.join(marks, "_id")
-
+def training_sample(docs: DataFrame, labels: DataFrame, target: str, holdout: int, left_out: int, per_label: int) -> DataFrame:
+    """Rows (text, label) to learn ``target`` from: a bounded sample of ``docs`` whose ids ``labels`` marks 0 or 1.
 
-def bounded_sample(rows: DataFrame, per_label: int) -> DataFrame:
-    """At most ``per_label`` rows of each label, chosen by a hash of the id: a set that grows no further."""
+    Rows whose crc32(id) mod ``holdout`` is ``left_out`` are never taken. At most ``per_label`` rows of each label are,
+    the same ones on every run: those first by a hash. Labels without a document do not count.
+    """
     from pyspark.sql import Window
 
-    order = Window.partitionBy("label").orderBy(F.xxhash64("_id"), F.xxhash64("text"))
-    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_label).drop("_n")
+    marks = (
+        labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), holdout) != left_out))
+        .groupBy("doc_id").agg(F.max(target).cast("int").alias("label"))
+    )
+    there = docs.select(F.col("doc_id").alias("doc_id")).distinct()
+    of_label = Window.partitionBy("label")
+    first = of_label.orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = marks.join(there, "doc_id").withColumn("at", F.row_number().over(first)).where(F.col("at") <= per_label)
+    texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(ids.drop("at"), "doc_id")
+    again = of_label.orderBy(F.xxhash64("doc_id", "text"))  # an id may have many rows
+    return texts.withColumn("at", F.row_number().over(again)).where(F.col("at") <= per_label).select("text", "label")
+
+
+def fit_in_task(sample: DataFrame, fit: Callable[[list[str], list[int]], object]):
+    """The model that ``fit`` makes of the texts and labels of a bounded sample, fitted in one executor task."""
+    import pickle
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            labels += batch.column(1).to_pylist()
+        order = sorted(range(len(texts)), key=lambda i: (labels[i], texts[i]))
+        model = fit([texts[i] for i in order], [labels[i] for i in order])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    row = map_rows(sample.repartition(1), work, "model binary").first()
+    return pickle.loads(row.model)
+
+
+def unrepeated(texts: list[str], words: int = 5) -> list[int]:
+    """Positions of texts of which at most half of the word shingles occur in an earlier one: copies teach nothing new."""
+    seen: set[int] = set()
+    kept = []
+    for i, text in enumerate(texts):
+        found = text.split()
+        shingles = {hash(tuple(found[j : j + words])) for j in range(max(1, len(found) - words + 1))}
+        if 2 * len(shingles & seen) <= len(shingles):
+            kept.append(i)
+        seen |= shingles
+    return kept

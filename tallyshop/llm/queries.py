@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyshop.llm import chat, packing, simhash
+from tallyshop.llm import chat, packing, simhash, toxicity
+from tallyshop.llm.common import remainder
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +29,16 @@ def op3_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.render(_table(spark, folder, "conversations"))
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = toxicity.learn(docs, _table(spark, folder, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", (remainder(F.col("doc_id"), toxicity.HOLDOUT) == toxicity.LEFT_OUT).alias("held_out"),
+        F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def packed_digest(pieces: DataFrame) -> DataFrame:
     """Pieces with the checksum of their ids in place of the ids."""
     return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
@@ -39,7 +50,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """name -> (spark, folder) -> DataFrame."""
-    return {"op1_simhash": op1_simhash, "op3_chat": op3_chat, "op10_packing": op10_packing}
+    return {"op1_simhash": op1_simhash, "op3_chat": op3_chat, "op8_toxicity": op8_toxicity, "op10_packing": op10_packing}
 
 
 def llm_oracles() -> dict[str, str]:
