@@ -60,7 +60,7 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, target: str, holdout: int, left_out: int, per_label: int) -> DataFrame:
-    """Rows (text, label) to learn ``target`` from: a bounded sample of ``docs`` whose ids ``labels`` marks 0 or 1.
+    """Rows (text, label, of) to learn ``target`` from, ``of`` being how many ids have the label: a bounded sample of ``docs`` whose ids ``labels`` marks 0 or 1.
 
     Rows whose crc32(id) mod ``holdout`` is ``left_out`` are never taken. At most ``per_label`` rows of each label are,
     the same ones on every run: those first by a hash. Labels without a document do not count.
@@ -74,23 +74,26 @@ def training_sample(docs: DataFrame, labels: DataFrame, target: str, holdout: in
     there = docs.select(F.col("doc_id").alias("doc_id")).distinct()
     of_label = Window.partitionBy("label")
     first = of_label.orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = marks.join(there, "doc_id").withColumn("at", F.row_number().over(first)).where(F.col("at") <= per_label)
+    marked = marks.join(there, "doc_id")
+    sizes = marked.groupBy("label").agg(F.count("*").alias("of"))
+    ids = marked.withColumn("at", F.row_number().over(first)).where(F.col("at") <= per_label)
     texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(ids.drop("at"), "doc_id")
     again = of_label.orderBy(F.xxhash64("doc_id", "text"))  # an id may have many rows
-    return texts.withColumn("at", F.row_number().over(again)).where(F.col("at") <= per_label).select("text", "label")
+    return texts.withColumn("at", F.row_number().over(again)).where(F.col("at") <= per_label).join(sizes, "label").select("text", "label", "of")
 
 
-def fit_in_task(sample: DataFrame, fit: Callable[[list[str], list[int]], object]):
-    """The model that ``fit`` makes of the texts and labels of a bounded sample, fitted in one executor task."""
+def fit_in_task(sample: DataFrame, fit: Callable[[list[str], list[int], dict[int, int]], object]):
+    """The model that ``fit`` makes of the texts, labels and label sizes of a bounded sample, fitted in one executor task."""
     import pickle
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, labels = [], []
+        texts, labels, sizes = [], [], {}
         for batch in batches:
             texts += batch.column(0).to_pylist()
             labels += batch.column(1).to_pylist()
+            sizes |= dict(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
         order = sorted(range(len(texts)), key=lambda i: (labels[i], texts[i]))
-        model = fit([texts[i] for i in order], [labels[i] for i in order])
+        model = fit([texts[i] for i in order], [labels[i] for i in order], sizes)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     row = map_rows(sample.repartition(1), work, "model binary").first()

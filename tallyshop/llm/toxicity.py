@@ -93,13 +93,13 @@ def _sums(each: np.ndarray) -> tuple:
     return (each >= 3).sum(), len(likely), likely.sum(), len(each)
 
 
-def _logistic(rows: np.ndarray, labels: np.ndarray, ridge: float = 0.01, rounds: int = 60) -> np.ndarray:
-    """Ridge logistic regression by Newton steps."""
+def _logistic(rows: np.ndarray, labels: np.ndarray, counts: np.ndarray, ridge: float = 0.01, rounds: int = 60) -> np.ndarray:
+    """Ridge logistic regression by Newton steps; a row counts ``counts`` times."""
     weights = np.zeros(rows.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(rows @ weights, -30, 30)))
-        curve = (rows * (p * (1 - p))[:, None]).T @ rows + ridge * np.eye(len(weights))
-        step = np.linalg.solve(curve, rows.T @ (p - labels) + ridge * weights)
+        curve = (rows * (counts * p * (1 - p))[:, None]).T @ rows + ridge * np.eye(len(weights))
+        step = np.linalg.solve(curve, rows.T @ (counts * (p - labels)) + ridge * weights)
         weights -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -121,14 +121,14 @@ def _dictionaries(texts: list[str], labels: list[int]) -> tuple[bytes, bytes]:
     return _dictionary(Counter({w: n for w, n in seen[0].items() if w not in toxic})), _dictionary(toxic)
 
 
-def fit(texts: list[str], labels: list[int]) -> dict | None:
+def fit(texts: list[str], labels: list[int], sizes: dict[int, int]) -> dict | None:
     """Dictionaries from the sample and thresholds calibrated on it; None if it has fewer than ``FOLDS`` of a label.
 
     Near copies of an earlier text are left out.
 
     Costs are calibrated across folds: those of a fold come from dictionaries of the other folds. The log ratio of a
     cell's share in toxic and in ordinary documents is the evidence of a window; a logistic model of a document's
-    evidence sets its threshold. The final dictionaries come from the whole sample.
+    evidence sets its threshold, each label weighing as much as ``sizes`` says it does in all rows. The final dictionaries come from the whole sample.
     """
     own = unrepeated(texts)
     texts, marks = [texts[i] for i in own], np.asarray(labels, dtype=int)[own]
@@ -148,8 +148,9 @@ def fit(texts: list[str], labels: list[int]) -> dict | None:
     share = (counts + 0.5) / np.maximum(counts.sum(1, keepdims=True), 1)
     evidence = np.where(counts.sum(0) > 0, np.log(share[1] / share[0]), 0.0)
     sums = np.array([_sums(evidence[cells[i]]) for i in range(len(marks))], dtype=float)
+    counts_as = np.array([sizes[label] / len(places[label]) for label in (0, 1)])
     ordinary, toxic = _dictionaries(texts, marks.tolist())
-    return {"ordinary": ordinary, "toxic": toxic, "evidence": evidence, "weights": _logistic(_design(sums), marks)}
+    return {"ordinary": ordinary, "toxic": toxic, "evidence": evidence, "weights": _logistic(_design(sums), marks, counts_as[marks])}
 
 
 def _scorer(model: dict | None):
