@@ -77,7 +77,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, target: str, holdout: in
     marked = marks.join(there, "doc_id")
     sizes = marked.groupBy("label").agg(F.count("*").alias("of"))
     ids = marked.withColumn("at", F.row_number().over(first)).where(F.col("at") <= per_label)
-    texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(ids.drop("at"), "doc_id")
+    # Two labels times ``per_label`` ids at most: small enough to send to every task, whatever the input.
+    texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids.drop("at")), "doc_id")
     again = of_label.orderBy(F.xxhash64("doc_id", "text"))  # an id may have many rows
     return texts.withColumn("at", F.row_number().over(again)).where(F.col("at") <= per_label).join(sizes, "label").select("text", "label", "of")
 

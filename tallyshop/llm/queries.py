@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyshop.llm import chat, packing, simhash, toxicity
+from tallyshop.llm import chat, packing, quality, rules, simhash, toxicity
 from tallyshop.llm.common import remainder
 
 
@@ -29,6 +29,21 @@ def op3_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.render(_table(spark, folder, "conversations"))
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = quality.learn(docs, _table(spark, folder, "labels"))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", (remainder(F.col("doc_id"), quality.HOLDOUT) == quality.LEFT_OUT).alias("held_out"),
+        F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op7_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = rules.judge(_table(spark, folder, "documents"))
+    return judged.select("doc_id", *rules.COUNTS, "base_failed", "kept", "log_perplexity")
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     model = toxicity.learn(docs, _table(spark, folder, "labels"))
@@ -50,7 +65,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """name -> (spark, folder) -> DataFrame."""
-    return {"op1_simhash": op1_simhash, "op3_chat": op3_chat, "op8_toxicity": op8_toxicity, "op10_packing": op10_packing}
+    return {"op1_simhash": op1_simhash, "op3_chat": op3_chat, "op5_quality": op5_quality, "op7_rules": op7_rules, "op8_toxicity": op8_toxicity, "op10_packing": op10_packing}
 
 
 def llm_oracles() -> dict[str, str]:
