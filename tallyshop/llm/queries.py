@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyshop.llm import chat, packing, quality, rules, simhash, toxicity
+from tallyshop.llm import chat, lines, packing, quality, rules, simhash, toxicity
 from tallyshop.llm.common import remainder
 
 
@@ -54,6 +54,11 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_lines(spark: SparkSession, folder: str) -> DataFrame:
+    deduped = lines.dedup(_table(spark, folder, "documents").select("doc_id", "text"))
+    return deduped.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), "n_dropped")
+
+
 def packed_digest(pieces: DataFrame) -> DataFrame:
     """Pieces with the checksum of their ids in place of the ids."""
     return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
@@ -65,7 +70,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """name -> (spark, folder) -> DataFrame."""
-    return {"op1_simhash": op1_simhash, "op3_chat": op3_chat, "op5_quality": op5_quality, "op7_rules": op7_rules, "op8_toxicity": op8_toxicity, "op10_packing": op10_packing}
+    return {"op1_simhash": op1_simhash, "op3_chat": op3_chat, "op5_quality": op5_quality, "op7_rules": op7_rules, "op8_toxicity": op8_toxicity, "op9_lines": op9_lines, "op10_packing": op10_packing}
 
 
 def llm_oracles() -> dict[str, str]:
