@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyshop.llm import chat, lines, packing, quality, rules, simhash, toxicity
+from tallyshop.llm import chat, forest, lines, packing, quality, rules, simhash, toxicity
 from tallyshop.llm.common import remainder
 
 
@@ -29,6 +29,11 @@ def op3_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.render(_table(spark, folder, "conversations"))
 
 
+def op4_forest(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings")
+    return forest.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     model = quality.learn(docs, _table(spark, folder, "labels"))
@@ -70,7 +75,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """name -> (spark, folder) -> DataFrame."""
-    return {"op1_simhash": op1_simhash, "op3_chat": op3_chat, "op5_quality": op5_quality, "op7_rules": op7_rules, "op8_toxicity": op8_toxicity, "op9_lines": op9_lines, "op10_packing": op10_packing}
+    return {"op1_simhash": op1_simhash, "op3_chat": op3_chat, "op4_forest": op4_forest, "op5_quality": op5_quality, "op7_rules": op7_rules, "op8_toxicity": op8_toxicity, "op9_lines": op9_lines, "op10_packing": op10_packing}
 
 
 def llm_oracles() -> dict[str, str]:
