@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyshop.llm import chat, forest, lines, packing, quality, rules, simhash, toxicity
+from tallyshop.llm import chat, forest, lines, packing, pieces, quality, rules, simhash, toxicity
 from tallyshop.llm.common import remainder
 
 
@@ -15,10 +15,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _tokenizer() -> str:
+def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,6 +44,14 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    model = _tokenizer("piece_bpe_32k.model")
+    return pieces.round_trip(_table(spark, folder, "documents"), model).select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
+        F.length("decoded").cast("long").alias("n_chars"), F.crc32(F.col("decoded").cast("binary")).alias("text_crc32"), "same",
+    )
+
+
 def op7_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = rules.judge(_table(spark, folder, "documents"))
     return judged.select("doc_id", *rules.COUNTS, "base_failed", "kept", "log_perplexity")
@@ -75,7 +83,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """name -> (spark, folder) -> DataFrame."""
-    return {"op1_simhash": op1_simhash, "op3_chat": op3_chat, "op4_forest": op4_forest, "op5_quality": op5_quality, "op7_rules": op7_rules, "op8_toxicity": op8_toxicity, "op9_lines": op9_lines, "op10_packing": op10_packing}
+    return {"op1_simhash": op1_simhash, "op3_chat": op3_chat, "op4_forest": op4_forest, "op5_quality": op5_quality, "op6_pieces": op6_pieces, "op7_rules": op7_rules, "op8_toxicity": op8_toxicity, "op9_lines": op9_lines, "op10_packing": op10_packing}
 
 
 def llm_oracles() -> dict[str, str]:
