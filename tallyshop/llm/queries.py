@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyshop.llm import chat, forest, lines, packing, pieces, quality, rules, simhash, toxicity
+from tallyshop.llm import chat, forest, html_text, lines, packing, pieces, quality, rules, simhash, toxicity
 from tallyshop.llm.common import remainder
 
 
@@ -25,6 +25,11 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op2_html(spark: SparkSession, folder: str) -> DataFrame:
+    found = html_text.extract(_table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_shared", "n_kept")
+
+
 def op3_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.render(_table(spark, folder, "conversations"))
 
@@ -83,7 +88,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """name -> (spark, folder) -> DataFrame."""
-    return {"op1_simhash": op1_simhash, "op3_chat": op3_chat, "op4_forest": op4_forest, "op5_quality": op5_quality, "op6_pieces": op6_pieces, "op7_rules": op7_rules, "op8_toxicity": op8_toxicity, "op9_lines": op9_lines, "op10_packing": op10_packing}
+    return {"op1_simhash": op1_simhash, "op2_html": op2_html, "op3_chat": op3_chat, "op4_forest": op4_forest, "op5_quality": op5_quality, "op6_pieces": op6_pieces, "op7_rules": op7_rules, "op8_toxicity": op8_toxicity, "op9_lines": op9_lines, "op10_packing": op10_packing}
 
 
 def llm_oracles() -> dict[str, str]:
