@@ -98,7 +98,7 @@ def fit_in_task(sample: DataFrame, fit: Callable[[list[str], list[int], dict[int
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     row = map_rows(sample.repartition(1), work, "model binary").first()
-    return pickle.loads(row.model)
+    return pickle.loads(row.model) if row else fit([], [], {})
 
 
 def unrepeated(texts: list[str], words: int = 5) -> list[int]:

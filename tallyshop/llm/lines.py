@@ -128,7 +128,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, step = np.arange(len(keys)), 1
         while len(at := at[at < len(keys) - step]):
             at = at[keys[at] == keys[at + step]]
-            near = at[np.bitwise_count(prints[at] ^ prints[at + step]) <= DISTANCE]
+            near = at[np.bitwise_count((prints[at] ^ prints[at + step]).view(np.uint64)) <= DISTANCE]
             left.append(prints[near])
             right.append(prints[near + step])
             step += 1
@@ -140,7 +140,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         keys = np.concatenate([keys, batch.column(0).to_numpy()])
-        prints = np.concatenate([prints, batch.column(1).to_numpy().view(np.int64)])
+        prints = np.concatenate([prints, batch.column(1).to_numpy()])
         cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
         if cut:
             yield flush(keys[:cut], prints[:cut])
