@@ -166,9 +166,7 @@ def salted_lookup(
     dimension rows of those (at most 1/share) keys are repeated.
     """
     hot = frequent_keys(fact, key, share)
-    if not hot:
-        return lookup(fact, dimension, [key])
-    is_hot = F.col(key).isin(hot)
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), F.lit(salts)).cast("int")
     salted = fact.withColumn("_salt", F.when(is_hot, spread).otherwise(0))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

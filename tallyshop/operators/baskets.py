@@ -11,16 +11,15 @@ from tallyshop.session import materialise
 from tallyshop.sources.tables import Catalog
 
 
-def basket_items(cat: Catalog, item: str, status: str | None = "delivered", top: int = 2000) -> DataFrame:
-    """Distinct (order, item) rows of one order status, items limited to the ``top`` most sold.
+def basket_items(cat: Catalog, item: str, status: str | None = "delivered") -> DataFrame:
+    """Distinct (order, item) rows of one order status; every item takes part, whatever its sales.
 
-    The limit is part of the analysis; it also bounds the items of any one basket.
+    Rare items cost little: the miner drops those below its support, exactly.
     """
     orders = cat.orders.where(F.col("order_status") == status) if status else cat.orders
     lines = cat.order_items.select("order_id", "product_id").join(orders.select("order_id"), "order_id", "left_semi")
     named = lines.join(cat.products.select("product_id", F.col(item).alias("item")), "product_id")
-    best = named.groupBy("item").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "item").limit(top)
-    return named.join(best.select("item"), "item", "left_semi").select("order_id", "item").distinct()
+    return named.where(F.col("item").isNotNull()).select("order_id", "item").distinct()
 
 
 def frequent_itemsets(items: DataFrame, min_support: float = 0.005) -> tuple[DataFrame, DataFrame]:
@@ -67,10 +66,10 @@ def association_rules(sets: DataFrame, baskets: DataFrame, min_confidence: float
 
 def market_basket(
     cat: Catalog, item: str = "product_name", min_support: float = 0.005, min_lift: float = 1.2,
-    min_confidence: float = 0.3, status: str | None = "delivered", top: int = 2000,
+    min_confidence: float = 0.3, status: str | None = "delivered",
 ) -> DataFrame:
     """Association rules of a product attribute over the baskets of one order status."""
-    sets, baskets = frequent_itemsets(basket_items(cat, item, status, top), min_support)
+    sets, baskets = frequent_itemsets(basket_items(cat, item, status), min_support)
     return association_rules(sets, baskets, min_confidence, min_lift)
 
 

@@ -176,8 +176,8 @@ def cohort_retention(orders: DataFrame) -> DataFrame:
     return active.withColumn("retention", r6(ratio("customers", first)))
 
 
-def cohort_retention_wide(orders: DataFrame, months: int = 12) -> DataFrame:
-    """Retention matrix: one row per cohort, one column per month index."""
+def cohort_retention_wide(orders: DataFrame, months: int) -> DataFrame:
+    """Retention matrix: one row per cohort, one column per month index of a calendar of ``months`` months."""
     wide = cohort_retention(orders).groupBy("cohort_month").pivot("cohort_index", list(range(months))).agg(
         F.max("retention")
     )
@@ -305,6 +305,7 @@ def promo_value_correlation(customers: DataFrame) -> DataFrame:
     return out.select("n", r6("r").alias("pearson_r"), r6(t).alias("t_statistic"))
 
 
-def customer_chart_sample(customers: DataFrame, rows: int = 2000, seed: int = 42) -> DataFrame:
-    """At most ``rows`` customers chosen by a seeded hash: the scatter-plot sample."""
-    return customers.orderBy(F.xxhash64(F.lit(seed), "customer_id"), "customer_id").limit(rows)
+def customer_chart_sample(customers: DataFrame, share: float = 0.2) -> DataFrame:
+    """A scatter-plot sample: the ``share`` of the customers whose multiplied id is smallest modulo a prime."""
+    spread = F.pmod(F.col("customer_id") * F.lit(48271), F.lit(65521))
+    return customers.where(spread < F.lit(int(share * 65521)))

@@ -38,11 +38,9 @@ class DailySpec:
     traffic_source: list[str] = field(default_factory=list)
 
 
-def domain_values(df: DataFrame, column: str, limit: int = 1000) -> list[str]:
-    """Sorted distinct values of a category column; refuses a column with too many."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} values; it is not a category")
+def domain_values(df: DataFrame, column: str) -> list[str]:
+    """Sorted distinct values of a category column; each becomes a column of the daily table."""
+    rows = df.select(column).where(F.col(column).isNotNull()).distinct().collect()
     return sorted(row[0] for row in rows)
 
 
@@ -123,13 +121,16 @@ def order_items_summary(order_items: DataFrame) -> DataFrame:
 
 
 def reviews_by_day(reviews: DataFrame, spec: DailySpec) -> DataFrame:
-    """Distinct reviewed orders, customers and products, mean rating, title counts."""
-    return reviews.groupBy(F.col("review_date").alias("date")).agg(
-        F.count_distinct("order_id").alias("order_id_reviews"),
-        F.count_distinct("customer_id").alias("customer_id_reviews"),
-        F.count_distinct("product_id").alias("product_id_reviews"),
-        mean_exact("rating").alias("rating"), *one_hot_counts("review_title", spec.review_title),
-    )
+    """Distinct reviewed orders, customers and products, mean rating, title counts.
+
+    Distinct ids are rows of a (day, kind, id) table, so a day with many reviews spreads over tasks.
+    """
+    date, kinds = F.col("review_date").alias("date"), ("order_id", "customer_id", "product_id")
+    ids = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("id")) for k in kinds])
+    pairs = reviews.select(date, F.inline(ids)).where("id IS NOT NULL").distinct()
+    distinct = pairs.groupBy("date").agg(*[F.count_if(F.col("kind") == k).alias(f"{k}_reviews") for k in kinds])
+    rest = reviews.groupBy(date).agg(mean_exact("rating").alias("rating"), *one_hot_counts("review_title", spec.review_title))
+    return rest.join(distinct, "date", "left").select("date", *[f"{k}_reviews" for k in kinds], *rest.columns[1:])
 
 
 def daily_customers(cat: Catalog, spec: DailySpec) -> DataFrame:
@@ -163,8 +164,12 @@ def daily_customers(cat: Catalog, spec: DailySpec) -> DataFrame:
 
 
 def daily_promotions(cat: Catalog, spec: DailySpec) -> DataFrame:
-    """Whether any promotion runs, mean discount, minimum-order flag and types per day."""
-    active = explode_interval(cat.promotions, "start_date", "end_date")
+    """Whether any promotion in use runs, mean discount, minimum-order flag and types per day.
+
+    A promotion is in use if an order line names it.
+    """
+    used = cat.promotions.join(cat.order_items.select("promo_id").distinct(), "promo_id", "left_semi")
+    active = explode_interval(used, "start_date", "end_date")
     types = [F.max(flag(F.col("promo_type") == v)).alias(f"promo_type_{slug(v)}") for v in spec.promo_type]
     per_day = active.groupBy("date").agg(
         F.max(flag(F.col("promo_id").isNotNull())).alias("promo_flag"),

@@ -17,7 +17,6 @@ from tallyshop.functions.columns import (
     net_value,
     r6,
     ratio,
-    total_of,
 )
 from tallyshop.functions.scale import lookup, percentile_table
 from tallyshop.functions.spine import spine_of
@@ -79,7 +78,8 @@ def duplicate_key_count(df: DataFrame, *keys: str) -> DataFrame:
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Frequency and share of every value, NULL included, most frequent first."""
     counts = df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"))
-    return counts.withColumn("pct", r6(ratio("n", total_of("n")) * 100)).orderBy(F.desc("n"), "value")
+    total = df.select(F.count("*").alias("rows")).scalar()
+    return counts.withColumn("pct", r6(ratio("n", total) * 100)).orderBy(F.desc("n"), "value")
 
 
 def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:

@@ -4,6 +4,7 @@ from tallyshop.operators import customers as op
 from tallyshop.operators.marts import customer_base
 from tallyshop.plans.registry import ORACLE_MARTS, big, money, query, r6
 
+CALENDAR_MONTHS = 84  # January 1995 to December 2001, the calendar of the orders
 _EDGES = ", ".join(f"quantile_cont({{v}}, {q}) AS {{n}}{i}" for i, q in enumerate((0.2, 0.4, 0.6, 0.8)))
 ORACLE_MARTS["m_rfm"] = f"""
 SELECT *, CASE WHEN r_score >= 4 AND f_score >= 4 THEN 'VIP' WHEN r_score < 4 AND f_score >= 4 THEN 'Loyal'
@@ -106,12 +107,12 @@ def _(cat):
     "SELECT cohort_month, "
     + ", ".join(
         f"{r6(f'max(n) FILTER (cohort_index = {i}) / cast(max(n) FILTER (cohort_index = 0) AS double)')} AS m{i}"
-        for i in range(12)
+        for i in range(CALENDAR_MONTHS)
     )
     + " FROM (SELECT cohort_month, cohort_index, count(DISTINCT customer_id) AS n FROM m_cohort GROUP BY ALL) x GROUP BY cohort_month",
 )
 def _(cat):
-    return op.cohort_retention_wide(op.orders_with_lines(cat))
+    return op.cohort_retention_wide(op.orders_with_lines(cat), CALENDAR_MONTHS)
 
 
 @query(
@@ -200,7 +201,10 @@ def _(cat):
     return op.promo_value_correlation(customer_base(cat))
 
 
-@query("customer_chart_sample")
+@query(
+    "customer_chart_sample",
+    f"SELECT customer_id, total_orders, {money('total_revenue')} AS total_revenue FROM m_customer WHERE (customer_id * 48271) % 65521 < 13104",
+)
 def _(cat):
     from tallyshop.functions.columns import money as money_col
 

@@ -17,12 +17,12 @@ SPEC = op.DailySpec(
     age_group=["18-24", "25-34", "35-44", "45-54", "55+"],
     acquisition_channel=["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
     promo_type=["percentage", "fixed"],
-    category=["ECONOMY", "STANDARD"],
-    segment=["Brand#1", "Brand#2"],
+    category=["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"],
+    segment=sorted(f"Brand#{i}" for i in range(1, 26)),
     traffic_source=["organic_search", "paid_search", "social_media", "direct"],
 )
 EXACT = ("payment_value", "installments", "avg_discount_amount")
-WEB_SPEC = replace(SPEC, start="2023-12-25", end="2024-02-05")
+WEB_SPEC = replace(SPEC, start="2000-12-25", end="2001-02-05")
 
 
 def _hot(column: str, values: list[str], prefix: str | None = None) -> str:
@@ -82,7 +82,7 @@ ORACLE_MARTS["m_daily_promotions"] = (
     + r6("coalesce(cast(sum(discount_value) AS double) / count(promo_id), 0)")
     + " AS avg_discount_value, coalesce(max(CASE WHEN min_order_value > 0 THEN 1 ELSE 0 END), 0) AS flag_min_order_value, "
     + ", ".join(f"coalesce(max(CASE WHEN promo_type = '{v}' THEN 1 ELSE 0 END), 0) AS promo_type_{slug(v)}" for v in SPEC.promo_type)
-    + " FROM m_spine LEFT JOIN r_promotions ON date BETWEEN start_date AND end_date GROUP BY date"
+    + " FROM m_spine LEFT JOIN (SELECT * FROM r_promotions WHERE promo_id IN (SELECT promo_id FROM r_order_items)) p ON date BETWEEN start_date AND end_date GROUP BY date"
 )
 _STOCK_COLUMNS = [*op.INVENTORY_MEASURES, *_hot_names("category", SPEC.category), *_hot_names("segment", SPEC.segment)]
 ORACLE_MARTS["m_stock"] = f"""

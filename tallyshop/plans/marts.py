@@ -64,8 +64,7 @@ WHERE rn = 1 GROUP BY customer_id
 """
 
 
-@query(
-    "item_fact",
+_ITEM_FACT = (
     f"""SELECT order_id, product_id, quantity, customer_id, order_date, device_type, order_source, gender, age_group,
                acquisition_channel, region, category, segment, {big('return_qty')} AS return_qty, is_returned, review_count, ship_date,
                delivery_date, delivery_days, p1_promo_name, p2_promo_name, year(order_date) AS order_year,
@@ -74,12 +73,20 @@ WHERE rn = 1 GROUP BY customer_id
                {money('profit')} AS profit, {money('refund_amount')} AS refund_amount,
                {money('net_value - refund_amount')} AS realized_revenue, {money('profit - refund_amount')} AS realized_profit,
                {money('coalesce(payment_value, 0)')} AS payment_value_filled, {money('discount_amount')} AS discount_amount,
-               {money('shipping_fee')} AS shipping_fee, {r6('rating')} AS rating, used_promo, is_stackable FROM m_item""",
+               {money('shipping_fee')} AS shipping_fee, {r6('rating')} AS rating, used_promo, is_stackable FROM m_item"""
 )
+
+
+@query("item_fact", _ITEM_FACT)
 def _(cat):
     return op.item_fact_output(op.item_fact(cat))
 
 
+@query("item_fact_salted", _ITEM_FACT)
+def _(cat):
+    return op.item_fact_output(op.item_fact(cat, salted=True))
+
+
 @query(
     "item_fact_fanout",
     """SELECT a.n AS rows_before, b.n AS rows_after, b.n - a.n AS fanout
@@ -230,5 +237,5 @@ def _lines_by(kind: str, expr: str) -> str:
     ),
 )
 def _(cat):
-    used = cat.promotions.join(cat.order_items.select("promo_id"), "promo_id", "left_semi")
+    used = cat.promotions.join(cat.order_items.select("promo_id").distinct(), "promo_id", "left_semi")
     return op.promotion_distributions(used)

@@ -229,7 +229,7 @@ def _(cat):
 def _(cat):
     from tallyshop.functions.spine import explode_interval
 
-    used = cat.promotions.join(cat.order_items, "promo_id", "left_semi")
+    used = cat.promotions.join(cat.order_items.select("promo_id").distinct(), "promo_id", "left_semi")
     return explode_interval(used, "start_date", "end_date").select("promo_id", "date")
 
 
@@ -288,12 +288,11 @@ def _(cat):
 @query(
     "drop_unreferenced_duplicates",
     """SELECT product_id, product_name FROM r_products p WHERE NOT (
-         product_id NOT IN (SELECT product_id FROM r_returns UNION SELECT product_id FROM r_reviews)
+         product_id NOT IN (SELECT product_id FROM r_order_items UNION SELECT product_id FROM r_returns UNION SELECT product_id FROM r_inventory UNION SELECT product_id FROM r_reviews)
          AND product_name IN (SELECT product_name FROM r_products GROUP BY product_name HAVING count(*) > 1))""",
 )
 def _(cat):
-    # order lines and stock reach every product here, so returns and reviews decide
-    kept = op.drop_unreferenced_duplicates(cat.products, cat.returns, cat.reviews)
+    kept = op.drop_unreferenced_duplicates(cat.products, cat.order_items, cat.returns, cat.inventory, cat.reviews)
     return kept.select("product_id", "product_name")
 
 

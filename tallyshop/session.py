@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,20 +25,31 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of ``spark.checkpoint.dir``; make one up only on a local master."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the session's checkpoint folder.
+
+    Where neither is set, a folder of the default file system is used and deleted when the session's JVM ends;
+    that is refused if the file system is local and the executors are not.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="tallyshop-checkpoint-")
-    context.setCheckpointDir(folder)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    jvm, conf = context._jvm, context._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"/tmp/checkpoints/{context.applicationId}")
+    system = path.getFileSystem(conf)
+    path = system.makeQualified(path)
+    local = context.master == "local" or context.master.startswith("local[")
+    if path.toUri().getScheme() == "file" and not local:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return path.toString()
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back, so that it is computed once."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as Parquet to the shared folder and read it back: computed once, columns still prunable."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

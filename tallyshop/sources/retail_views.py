@@ -150,14 +150,14 @@ JOIN {r_products} p ON p.product_id = s.product_id
 """
 
 VIEWS["r_web_traffic"] = """
-SELECT cast(ts AS date) AS date, count(*) AS sessions, count(DISTINCT user_id) AS unique_visitors,
+SELECT cast(cast(ts AS date) - 8401 * interval '1' day AS date) AS date, count(*) AS sessions, count(DISTINCT user_id) AS unique_visitors,
        cast(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS bigint) AS page_views,
        cast(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS double) / count(*) AS bounce_rate,
        cast(sum(cast(value AS decimal(12,2))) AS double) / count(*) AS avg_session_duration_sec,
        CASE user_id % 4 WHEN 0 THEN 'organic_search' WHEN 1 THEN 'paid_search'
             WHEN 2 THEN 'social_media' ELSE 'direct' END AS traffic_source
 FROM {events}
-GROUP BY cast(ts AS date),
+GROUP BY cast(cast(ts AS date) - 8401 * interval '1' day AS date),
          CASE user_id % 4 WHEN 0 THEN 'organic_search' WHEN 1 THEN 'paid_search'
               WHEN 2 THEN 'social_media' ELSE 'direct' END
 """
