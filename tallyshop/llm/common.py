@@ -6,35 +6,15 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyshop.session import shared_folder
+
 # Bytes of text that one Arrow batch carries at most, so that long documents cannot fill a worker.
 BATCH_BYTES = 16 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the session's checkpoint folder.
-
-    Where neither is set (tests), a folder of the default file system is used and deleted when the
-    session's JVM ends; that is refused if the file system is local and the executors are not.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    jvm, conf = context._jvm, context._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"/tmp/checkpoints/{context.applicationId}")
-    system = path.getFileSystem(conf)
-    path = system.makeQualified(path)
-    local = context.master == "local" or context.master.startswith("local[")
-    if path.toUri().getScheme() == "file" and not local:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    system.mkdirs(path)
-    system.deleteOnExit(path)
-    return path.toString()
-
-
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: computed once, safe against lost executors."""
     spark = df.sparkSession

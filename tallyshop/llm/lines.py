@@ -19,6 +19,7 @@ MIN_WORDS = 3  # shorter lines are left alone
 FUZZY_WORDS = 8  # shorter lines only match exactly: a few words are too few bits of evidence
 DISTANCE, BLOCKS = 3, 5  # five blocks, three differing bits: two blocks always agree
 SIMILARITY = 0.8
+LONG_WORDS = 8192
 CHUNK = 1 << 15  # words whose bits are summed at a time
 MEMO_ENTRIES = 500_000
 _WORD = re.compile(r"\w+")
@@ -157,15 +158,46 @@ def near_prints(prints: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_near, "u long, v long")
 
 
-def edit_similarity(a: Column, b: Column) -> Column:
-    """One minus the edit distance over the longer length."""
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each line as a string of one character per word (a hash of it), so that edits count words.
 
+    In a component whose widest line has over ``LONG_WORDS`` words, a character stands for a run of words instead; runs
+    end at words chosen by their hash, alike in all its lines, and a string stays about as long as ``LONG_WORDS``.
+    """
+    import xxhash
+
+    def spell(words: list[str], step: int) -> str:
+        codes = [xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) for w in words]
+        if step > 1:
+            runs, current = [], 0
+            for code in codes:
+                current = (current * 31 + code) & 0xFFFFFFFF
+                if code % step == 0:
+                    runs.append(current)
+                    current = 0
+            codes = [*runs, current]
+        return "".join([chr(0x100 + c % 0xD000) for c in codes])
+
+    def flush(out: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*out, strict=True)
+        types = [pa.int64()] * 4 + [pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "print", "component", "n", "text"])
+
+    out: list[tuple] = []
+    for batch in batches:
+        for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
+            parts = (text.as_py() or "").split("\n")
+            for line in wanted.as_py():
+                spelled = spell(normal_words(parts[line["line"]]), -(-line["widest"] // LONG_WORDS))
+                out.append((line["key"], line["print"], line["component"], line["n"], spelled))
+            if len(out) > 4096:
+                yield flush(out)
+                out = []
+    if out:
+        yield flush(out)
 
-def _normal(line: Column) -> Column:
-    """Lower-cased line with punctuation and white space as single blanks and digits as 0."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"(?U)\d", "0"), r"(?U)\W+", " "))
+
+ALIKE = f"levenshtein(a, b, cast(floor({1 - SIMILARITY:.4f} * greatest(length(a), length(b))) AS int)) >= 0"
 
 
 def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -177,7 +209,7 @@ def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """
     nodes = staged(
         lines.where(F.col("words") >= FUZZY_WORDS).groupBy("key", "print")
-        .agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "line")).alias("first")),
+        .agg(F.count("*").alias("n"), F.max("words").alias("words"), F.min(F.struct("doc_id", "text_hash", "line")).alias("first")),
         "lines",
     )
     links = staged(near_prints(nodes.select("print").distinct()), "line-links")
@@ -185,13 +217,17 @@ def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
     twins = nodes.groupBy("print").agg(F.count("*").alias("lines")).where("lines > 1").select("print")
     member = nodes.join(alike, "print", "left").join(twins.withColumn("twin", F.lit(True)), "print", "left")
     member = member.where("component IS NOT NULL OR twin").withColumn("component", F.coalesce("component", "print"))
-    member = staged(member.select("key", "print", "n", "first", "component"), "line-candidates")
-    wanted = member.select("key", "print", "component", "n", F.col("first.*")).alias("m")
+    widest = member.groupBy("component").agg(F.max("words").alias("widest"))
+    member = staged(member.join(widest, "component").select("key", "print", "n", "first", "component", "widest"), "line-candidates")
+    wanted = (  # the lines of a document that are to be compared travel as one list, so its text is split once
+        member.groupBy("first.doc_id", "first.text_hash")
+        .agg(F.collect_list(F.struct("first.line", "key", "print", "component", "n", "widest")).alias("lines")).alias("m")
+    )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").alias("d")
     own = F.col("m.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("m.text_hash") == F.col("d.text_hash"))
-    texts = rows.join(wanted, own).select("key", "print", "component", "n", _normal(F.split("text", "\n")[F.col("line")]).alias("text"))
+    found = rows.join(wanted, own).select("text", "lines")
+    texts = map_rows(found, _spelled, "key long, print long, component long, n long, text string")
     texts = staged(texts.dropDuplicates(["key", "print"]), "line-texts")
-    # A key with two fingerprints would be two lines under one hash; the rest goes by (key, print).
     leaders = texts.groupBy("component").agg(F.max_by(F.struct("key", "text"), F.struct("n", "key")).alias("lead"))
     to_leader = texts.join(leaders, "component").select(F.col("key").alias("u"), F.col("text").alias("a"), F.col("lead.key").alias("v"), F.col("lead.text").alias("b"))
     of_print = texts.groupBy("print").agg(F.max_by(F.struct("key", "text"), F.struct("n", "key")).alias("lead"))
@@ -200,8 +236,8 @@ def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
         links.join(of_print.select(F.col("print").alias("u"), F.col("lead").alias("p")), "u").join(of_print.select(F.col("print").alias("v"), F.col("lead").alias("q")), "v")
         .select(F.col("p.key").alias("u"), F.col("p.text").alias("a"), F.col("q.key").alias("v"), F.col("q.text").alias("b"))
     )
-    pairs = to_leader.union(within).union(across).where("u <> v").dropDuplicates(["u", "v"])
-    verified = pairs.where(edit_similarity(F.col("a"), F.col("b")) >= SIMILARITY).select("u", "v")
+    pairs = to_leader.union(within).union(across).where("u <> v")
+    verified = pairs.where(ALIKE).select("u", "v")
     return connected_components(verified).select(F.col("node").alias("key"), F.col("component").alias("group"))
 
 
@@ -209,8 +245,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``; all rows and columns stay, ``n_dropped`` counts lines removed.
 
     Lines are the parts of a text between newlines. They match if their normal forms (lower case, no punctuation, digits as
-    0) are equal, or, from 8 words on, if their SimHashes differ in at most 3 bits and their edit similarity is at
-    least 0.8; matching lines form connected groups. Of each group the occurrence with the smallest doc_id, then
+    0) are equal, or, from 8 words on, if their SimHashes differ in at most 3 bits and their edit similarity over words is
+    at least 0.8; matching lines form connected groups. Of each group the occurrence with the smallest doc_id, then
     text hash, then line number stays. Lines of fewer than 3 words always stay.
 
     A null text stays null; empty texts stay empty. A null doc_id comes first, so its lines win. Rows with the same
