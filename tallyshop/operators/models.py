@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import combinations
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -17,7 +18,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvalu
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,20 +127,21 @@ def random_forest(trees: int = 40, depth: int = 8) -> RandomForestRegressor:
     )
 
 
-def _linear(**params) -> LinearRegression:
-    return LinearRegression(labelCol="label", featuresCol="features", weightCol="weight", standardization=True, **params)
+def _linear(weighted: bool = True, **params) -> LinearRegression:
+    model = LinearRegression(labelCol="label", featuresCol="features", standardization=True, **params)
+    return model.setWeightCol("weight") if weighted else model
 
 
-def ridge(alpha: float = 0.01) -> LinearRegression:
-    return _linear(regParam=alpha, elasticNetParam=0.0)
+def ridge(alpha: float = 0.01, weighted: bool = True) -> LinearRegression:
+    return _linear(weighted, regParam=alpha, elasticNetParam=0.0)
 
 
 def elastic_net(alpha: float = 0.01, l1_share: float = 0.5) -> LinearRegression:
     return _linear(regParam=alpha, elasticNetParam=l1_share, maxIter=200)
 
 
-def huber(epsilon: float = 1.35, alpha: float = 0.001) -> LinearRegression:
-    return _linear(loss="huber", epsilon=epsilon, regParam=alpha, maxIter=200)
+def huber(epsilon: float = 1.35, alpha: float = 0.001, weighted: bool = True) -> LinearRegression:
+    return _linear(weighted, loss="huber", epsilon=epsilon, regParam=alpha, maxIter=200)
 
 
 def pipeline(estimator, features: list[str], prediction: str = "prediction") -> Pipeline:
@@ -149,12 +151,14 @@ def pipeline(estimator, features: list[str], prediction: str = "prediction") ->
     return Pipeline(stages=[assembler, estimator.copy().setFeaturesCol(vector).setPredictionCol(prediction)])
 
 
-def predict(model: PipelineModel, rows: DataFrame, prediction: str = "prediction") -> DataFrame:
+def predict(model: PipelineModel | Stack, rows: DataFrame, prediction: str = "prediction") -> DataFrame:
+    if isinstance(model, Stack):
+        return model.predict(rows, prediction)
     return model.transform(rows).drop(f"_v_{prediction}")
 
 
-def elastic_net_search(rows: DataFrame, features: list[str], folds: int = 3) -> tuple[PipelineModel, DataFrame]:
-    """Elastic net over a grid of penalties and mixes, cross-validated on time blocks."""
+def elastic_net_search(rows: DataFrame, features: list[str], folds: int = 5) -> tuple[PipelineModel, DataFrame]:
+    """Elastic net over a grid of penalties and mixes, validated on later days than it is fitted on."""
     grid_estimator = _linear(maxIter=100)
     grid = (
         ParamGridBuilder()
@@ -165,33 +169,38 @@ def elastic_net_search(rows: DataFrame, features: list[str], folds: int = 3) ->
     return grid_search(rows, features, grid_estimator, grid, folds)
 
 
-def time_blocks(rows: DataFrame, folds: int) -> DataFrame:
-    """Adds an integer ``fold``: equal blocks of calendar time."""
-    span = rows.agg(F.struct(F.min("date").alias("a"), F.max("date").alias("b")).alias("s")).scalar()
-    share = F.datediff(F.col("date"), span["a"]) / (F.datediff(span["b"], span["a"]) + 1)
-    return rows.withColumn("fold", F.floor(share * folds).cast("int"))
+def grid_search(rows: DataFrame, features: list[str], estimator, grid: list, folds: int = 5, gap: int = 30) -> tuple[PipelineModel, DataFrame]:
+    """Choice from a grid by expanding folds: every validation day lies at least ``gap`` days after its training days.
 
-
-def grid_search(rows: DataFrame, features: list[str], estimator, grid: list, folds: int = 3) -> tuple[PipelineModel, DataFrame]:
-    """Cross-validated choice from a grid; folds are time blocks, fits run in parallel."""
+    Candidates are compared by the mean of their errors over the folds; the best is fitted again on all rows.
+    """
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    blocks = materialise(time_blocks(rows, folds))
+    ready = materialise(assembler.transform(rows))
     evaluator = RegressionEvaluator(labelCol="label", metricName="mae")
-    search = CrossValidator(
-        estimator=Pipeline(stages=[assembler, estimator]), estimatorParamMaps=grid, evaluator=evaluator,
-        numFolds=folds, foldCol="fold", parallelism=4,
-    ).fit(blocks)
+    ranges = fold_ranges(rows, folds, gap)
+
+    def error(point: dict) -> float:
+        errors = []
+        for train_to, valid_from, valid_to in ranges:
+            model = estimator.fit(ready.where(F.col("date") <= F.lit(train_to)), point)
+            part = ready.where(F.col("date").between(F.lit(valid_from), F.lit(valid_to)))
+            errors.append(evaluator.evaluate(model.transform(part)))
+        return float(np.mean(errors))
+
+    with ThreadPool(4) as pool:
+        losses = pool.map(error, grid)
     table = [
-        (i, ", ".join(f"{p.name}={v}" for p, v in sorted(point.items(), key=lambda kv: kv[0].name)), float(score))
-        for i, (point, score) in enumerate(zip(grid, search.avgMetrics))
+        (i, ", ".join(f"{p.name}={v}" for p, v in sorted(point.items(), key=lambda kv: kv[0].name)), loss)
+        for i, (point, loss) in enumerate(zip(grid, losses))
     ]
     scores = rows.sparkSession.createDataFrame(table, "candidate int, parameters string, mae_log double")
-    return search.bestModel, scores
+    best = Pipeline(stages=[assembler, estimator.copy(grid[int(np.argmin(losses))])]).fit(rows)
+    return best, scores
 
 
-def gbt_search(rows: DataFrame, features: list[str], folds: int = 3) -> tuple[PipelineModel, DataFrame]:
+def gbt_search(rows: DataFrame, features: list[str], folds: int = 5) -> tuple[PipelineModel, DataFrame]:
     """Boosted trees over depth and step size: the small grid that stands for a sampled search."""
-    estimator = gbt(iterations=10)
+    estimator = gbt()
     grid = ParamGridBuilder().addGrid(estimator.maxDepth, [3, 5]).addGrid(estimator.stepSize, [0.1, 0.3]).build()
     return grid_search(rows, features, estimator, grid, folds)
 
@@ -256,8 +265,8 @@ def out_of_fold(rows: DataFrame, features: list[str], bases: dict[str, Callable[
 
 
 def fit_meta(stack: Stack, oof: DataFrame, meta=None) -> Stack:
-    """Scaled base predictions into a linear meta learner (Huber by default)."""
-    meta = (meta or huber()).copy().setFeaturesCol("_scaled").setPredictionCol("_meta")
+    """Scaled base predictions into a linear meta learner (Huber without weights by default)."""
+    meta = (meta or huber(weighted=False)).copy().setFeaturesCol("_scaled").setPredictionCol("_meta")
     stages = [
         VectorAssembler(inputCols=stack.names, outputCol="_stack"),
         StandardScaler(inputCol="_stack", outputCol="_scaled", withMean=True, withStd=True), meta,
@@ -268,10 +277,10 @@ def fit_meta(stack: Stack, oof: DataFrame, meta=None) -> Stack:
 
 def default_bases() -> dict[str, Callable[[], object]]:
     """Three learners of different kinds, in place of three boosting libraries."""
-    return {"boost": lambda: gbt(15), "boost_sq": lambda: gbt(15, 4, "squared"), "forest": lambda: random_forest(20, 7)}
+    return {"boost": gbt, "boost_sq": lambda: gbt(depth=4, loss="squared"), "forest": random_forest}
 
 
-def stacking(rows: DataFrame, features: list[str], bases: dict[str, Callable[[], object]] | None = None, folds: int = 5, gap: int = 0, meta=None) -> tuple[Stack, DataFrame]:
+def stacking(rows: DataFrame, features: list[str], bases: dict[str, Callable[[], object]] | None = None, folds: int = 5, gap: int = 30, meta=None) -> tuple[Stack, DataFrame]:
     """Out-of-fold stacking; returns the stack and the out-of-fold rows with its prediction."""
     stack, oof = out_of_fold(rows, features, bases or default_bases(), folds, gap)
     fit_meta(stack, oof, meta)
@@ -302,8 +311,8 @@ def cascade(series: DataFrame, revenue_oof: DataFrame, folds: int = 5) -> tuple[
     """COGS stack with the revenue prediction as a driver: boosted trees and an elastic net."""
     rows = materialise(cascade_feature(training_rows(forecast_frame(series, "cogs")), revenue_oof).dropna())
     features = feature_names(rows)
-    bases = {"boost": lambda: gbt(15), "elastic": lambda: elastic_net(0.01, 0.5)}
-    return stacking(rows, features, bases, folds, meta=ridge(0.01))
+    bases = {"boost": gbt, "elastic": elastic_net}
+    return stacking(rows, features, bases, folds, meta=ridge(weighted=False))
 
 
 # --- blends ----------------------------------------------------------------------------------------
@@ -387,10 +396,15 @@ def best_blend(rows: DataFrame, columns: list[str], target: str, step: float = 0
 # --- forecasts ---------------------------------------------------------------------------------------
 
 
-def block_forecast(series: DataFrame, value: str, model: PipelineModel, days: int, freeze: str | None = None, block: int = 357) -> DataFrame:
+def block_forecast(
+    series: DataFrame, value: str, model: PipelineModel | Stack, days: int, freeze: str | None = None, block: int = 357,
+    drivers: DataFrame | None = None,
+) -> DataFrame:
     """Forecast ``days`` ahead in blocks no longer than the shortest lag of the features.
 
-    Within a block all days are predicted in one pass; the next block sees them as history.
+    Within a block all days are predicted in one pass; the next block sees them as history. ``drivers`` holds further
+    features of the days ahead. A lag that the history does not reach takes the mean of its series: training has
+    no such rows, and a 0 would stand for a day without sales.
     """
     history = series.select(*KEYS, dbl(value).alias(value))
     future = materialise(horizon(series, days).join(
@@ -401,7 +415,9 @@ def block_forecast(series: DataFrame, value: str, model: PipelineModel, days: in
         part = future.where((F.col("_step") > start) & (F.col("_step") <= start + block)).select(*KEYS)
         known = history if predicted is None else history.unionByName(predicted)
         frame = forecast_frame(known.unionByName(part.withColumn(value, F.lit(None).cast("double"))), value, freeze)
-        rows = frame.join(part, KEYS, "left_semi").fillna(0.0)
+        lags = {n: F.coalesce(n, F.avg("label").over(Window.partitionBy(SERIES))) for n in year_lags("label")}
+        rows = frame.withColumns(lags).join(part, KEYS, "left_semi").drop("label")
+        rows = rows if drivers is None else rows.join(drivers, KEYS, "left")
         step = predict(model, rows).select(*KEYS, clip(F.expm1("prediction"), low=0.0).alias(value))
         step = materialise(step)
         predicted = step if predicted is None else predicted.unionByName(step)

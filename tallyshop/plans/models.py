@@ -32,7 +32,7 @@ def _hold_out(rows, estimator, names=None):
 
 @query("gbt_regressor")
 def _(cat):
-    return _hold_out(_rows(cat), models.gbt(20, validation=True))
+    return _hold_out(_rows(cat), models.gbt(validation=True))
 
 
 @query("random_forest_regressor")
@@ -74,14 +74,14 @@ def _(cat):
 def _(cat):
     rows = _rows(cat)
     names = models.feature_names(rows)
-    model = models.pipeline(models.random_forest(20, 6), names).fit(rows)
+    model = models.pipeline(models.random_forest(), names).fit(rows)
     return shown(models.importance_table(model, names, cat.spark))
 
 
 @query("oof_stacking")
 def _(cat):
     rows = _rows(cat)
-    stack, oof = models.stacking(rows, models.feature_names(rows), folds=3, gap=30)
+    stack, oof = models.stacking(rows, models.feature_names(rows))
     return shown(models.oof_accuracy(oof, stack.names))
 
 
@@ -89,17 +89,16 @@ def _(cat):
 def _(cat):
     series = _series(cat)
     rows = models.training_rows(models.forecast_frame(series, "revenue"))
-    bases = {"boost": lambda: models.gbt(10), "ridge": lambda: models.ridge()}
-    _, revenue = models.stacking(rows, models.feature_names(rows), bases, folds=3)
-    stack, oof = models.cascade(series, revenue, folds=2)
+    _, revenue = models.stacking(rows, models.feature_names(rows))
+    stack, oof = models.cascade(series, revenue)
     return shown(models.oof_accuracy(oof, stack.names))
 
 
 @query("nonneg_blend")
 def _(cat):
     rows = _rows(cat)
-    bases = {"boost": lambda: models.gbt(10), "ridge": lambda: models.ridge(), "forest": lambda: models.random_forest(15, 6)}
-    _, oof = models.out_of_fold(rows, models.feature_names(rows), bases, 2)
+    bases = {"boost": models.gbt, "ridge": models.ridge, "forest": models.random_forest}
+    _, oof = models.out_of_fold(rows, models.feature_names(rows), bases, folds=5, gap=30)
     scale = oof.select(F.expm1("label").alias("y"), *[F.expm1(n).alias(n) for n in bases])
     return shown(models.best_blend(scale, list(bases), "y")).withColumn("chosen", flag(F.col("chosen")))
 
@@ -108,7 +107,7 @@ def _(cat):
 def _(cat):
     series = _series(cat)
     rows = models.training_rows(models.forecast_frame(series, "revenue"))
-    model = models.pipeline(models.gbt(15), models.feature_names(rows)).fit(rows)
+    model = models.pipeline(models.gbt(), models.feature_names(rows)).fit(rows)
     predicted = models.block_forecast(series, "revenue", model, HORIZON)
     return shown(forecast.spike_clip(predicted, series, "revenue", factor=1.2))
 
@@ -117,7 +116,7 @@ def _(cat):
 def _(cat):
     series = _series(cat)
     rows = models.training_rows(models.direct_frame(series, "revenue"))
-    model = models.pipeline(models.gbt(15), models.feature_names(rows)).fit(rows)
+    model = models.pipeline(models.gbt(), models.feature_names(rows)).fit(rows)
     return shown(models.direct_forecast(series, "revenue", model, HORIZON))
 
 
@@ -126,19 +125,21 @@ def _(cat):
     series = _series(cat)
     rows = models.training_rows(models.residual_frame(series, "revenue"))
     names = models.feature_names(rows, ("trend", "seasonal"))
-    model = models.pipeline(models.gbt(15), names).fit(rows)
+    model = models.pipeline(models.gbt(), names).fit(rows)
     return shown(models.decomposed_forecast(series, "revenue", model))
 
 
 @query("stacked_submission")
 def _(cat):
-    """Revenue stack, COGS from its usual share under the ratio guard, as submission rows."""
+    """Revenue stack, COGS stack driven by its forecast, both with the trend frozen, under the ratio guard."""
     series = materialise(features.total_series(cat))
-    rows = models.training_rows(models.forecast_frame(series, "revenue"))
-    model = models.pipeline(models.gbt(15), models.feature_names(rows)).fit(rows)
-    revenue = models.block_forecast(series, "revenue", model, HORIZON).withColumnRenamed("forecast", "revenue")
-    share = series.where("revenue > 0").agg((F.sum("cogs") / F.sum("revenue")).alias("s")).scalar()
-    both = revenue.withColumn("cogs", forecast.ratio_guard("revenue", F.col("revenue") * share))
+    last = str(series.agg(F.max("date")).first()[0])
+    rows = models.training_rows(models.forecast_frame(series, "revenue", last))
+    stack, oof = models.stacking(rows, models.feature_names(rows))
+    revenue = materialise(models.block_forecast(series, "revenue", stack, HORIZON, last).withColumnRenamed("forecast", "revenue"))
+    driver = revenue.select(*models.KEYS, F.log1p("revenue").alias("revenue_pred_log"))
+    cogs = models.block_forecast(series, "cogs", models.cascade(series, oof)[0], HORIZON, last, drivers=driver)
+    both = revenue.join(cogs, models.KEYS).withColumn("cogs", forecast.ratio_guard("revenue", F.col("forecast"))).drop("forecast")
     from tallyshop.sources.tables import submission_rows
 
     return submission_rows(both)
@@ -146,7 +147,7 @@ def _(cat):
 
 def _churn(cat):
     rows = models.churn_rows(customer_base(cat), customers.segments(cat))
-    return rows, models.churn_classifier(rows, trees=40, depth=8)
+    return rows, models.churn_classifier(rows)
 
 
 @query("churn_classifier")

@@ -249,3 +249,35 @@ def test_salted_item_fact_equals_plain(spark, catalog):
     plain = marts.item_fact(cat, parts)
     salted = marts.item_fact(cat, parts, salted=True).select(*plain.columns)
     assert sorted(map(str, plain.collect())) == sorted(map(str, salted.collect())) and plain.count() == n
+
+
+def test_validation_days_follow_their_training_days(spark):
+    from tallyshop.operators import models
+
+    days = spark.sql("SELECT explode(sequence(date'1999-01-01', date'2000-12-31')) AS date")
+    ranges = models.fold_ranges(days, 5, 30)
+    assert len(ranges) == 5
+    for train_to, valid_from, valid_to in ranges:
+        assert (valid_from - train_to).days > 30 and valid_to > valid_from
+    assert all(a[2] < b[1] for a, b in zip(ranges, ranges[1:], strict=False))
+
+
+def test_daily_lists_leave_no_value_out(spark):
+    from tallyshop.operators.daily import daily_spec
+    from tallyshop.plans.daily import SPEC
+    from tallyshop.sources.retail_views import retail_catalog
+
+    found = daily_spec(retail_catalog(spark, "/root/testdata/sf0.001"), SPEC.start, SPEC.end)
+    for column, values in vars(found).items():
+        if isinstance(values, list):
+            assert set(values) <= set(getattr(SPEC, column)), column
+
+
+def test_baskets_keep_rare_items(spark, catalog):
+    from tallyshop.operators.baskets import basket_items
+
+    n = 2500
+    orders = spark.range(n).selectExpr("id AS order_id", "'delivered' AS order_status")
+    lines = spark.range(n).selectExpr("id AS order_id", "id AS product_id")
+    products = spark.range(n).selectExpr("id AS product_id", "cast(id AS string) AS product_name")
+    assert basket_items(catalog(orders=orders, order_items=lines, products=products), "product_name").count() == n
