@@ -251,15 +251,21 @@ def fold_ranges(rows: DataFrame, folds: int, gap: int = 0) -> list[tuple]:
 
 def out_of_fold(rows: DataFrame, features: list[str], bases: dict[str, Callable[[], object]], folds: int, gap: int = 0, subsets: dict[str, list[str]] | None = None) -> tuple[Stack, DataFrame]:
     """Fit every base learner on each expanding window and predict the block after it."""
-    stack = Stack(features, list(bases), {n: [] for n in bases})
-    parts = None
-    for train_to, valid_from, valid_to in fold_ranges(rows, folds, gap):
+    ranges = fold_ranges(rows, folds, gap)
+
+    def fit(job: tuple) -> PipelineModel:
+        name, train_to = job
         train = rows.where(F.col("date") <= F.lit(train_to))
+        return pipeline(bases[name](), (subsets or {}).get(name, features), name).fit(train)
+
+    with ThreadPool(4) as pool:  # fits do not depend on one another
+        fitted = pool.map(fit, [(name, train_to) for name in bases for train_to, _, _ in ranges])
+    stack = Stack(features, list(bases), {n: fitted[i * len(ranges) : (i + 1) * len(ranges)] for i, n in enumerate(bases)})
+    parts = None
+    for i, (_, valid_from, valid_to) in enumerate(ranges):
         part = rows.where(F.col("date").between(F.lit(valid_from), F.lit(valid_to)))
-        for name, make in bases.items():
-            model = pipeline(make(), (subsets or {}).get(name, features), name).fit(train)
-            stack.fold_models[name].append(model)
-            part = predict(model, part, name)
+        for name in bases:
+            part = predict(stack.fold_models[name][i], part, name)
         parts = part if parts is None else parts.unionByName(part)
     return stack, materialise(parts)
 
