@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyshop.llm.common import staged
+
 TURNS_PER_PART = 256
 
 
@@ -14,39 +16,41 @@ def _hash_parts(*columns: Column) -> list[Column]:
     return [part for h in (low, high) for part in (h.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(h, 32))]
 
 
-def numbered_turns(conversations: DataFrame) -> DataFrame:
-    """(conv_id, n, part, role, text, h0..h3): turns numbered from 1, with the rolling hash of all turns up to each.
+def _block(turn: Column) -> Column:
+    return F.floor(F.coalesce(turn, F.lit(-1)) / TURNS_PER_PART).cast("long")
+
 
-    Parts are ranges of ``TURNS_PER_PART`` turn numbers, so one conversation spreads over many tasks: turns
-    are numbered and summed inside a part, and a window over one row per part carries both on. The
-    hash of a turn covers its number, so the sum depends on the order.
+def rolling_hashes(conversations: DataFrame) -> DataFrame:
+    """(conv_id, n, h0..h3): turns numbered from 1, with the rolling hash of all turns up to each.
+
+    Texts stay behind: a turn is a few hashes of its role and text. Turns are numbered and summed inside ranges of
+    ``TURNS_PER_PART`` turn numbers, so one conversation spreads over many tasks, and a window over one row per range
+    carries both on. The hash of a turn covers its number, so the sum depends on the order.
     """
+    role, text = (F.struct(F.col(c).isNull(), F.col(c)) for c in ("role", "text"))
     turns = conversations.select(
-        "conv_id", "turn", "role", "text", F.floor(F.coalesce("turn", F.lit(-1)) / TURNS_PER_PART).cast("long").alias("block")
+        "conv_id", "turn", _block(F.col("turn")).alias("block"), F.xxhash64(role).alias("r"),
+        F.xxhash64(text).alias("t"), F.xxhash64(text, F.lit("second")).alias("t2"),
     ).distinct()
-    # A third of all rows may share a turn number of one conversation: null roles and texts sort first, ties by content.
-    inside = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    inside = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "r", "t", "t2")
     before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col("l.conv_id").eqNullSafe(F.col("r.conv_id")) & (F.col("l.block") == F.col("r.block"))
     sizes = turns.groupBy("conv_id", "block").agg(F.count("*").alias("size"))
     offsets = sizes.select("conv_id", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    same = F.col("l.conv_id").eqNullSafe(F.col("r.conv_id")) & (F.col("l.block") == F.col("r.block"))
     local = turns.withColumn("at", F.row_number().over(inside)).alias("l").join(offsets.alias("r"), same)
-    numbered = local.select("l.conv_id", "l.block", (F.col("at") + F.col("offset")).alias("n"), "role", "text")
-    hashed = numbered.select("*", *[h.alias(f"x{i}") for i, h in enumerate(_hash_parts(F.col("n"), F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")))])
+    numbered = local.select("l.conv_id", "l.block", (F.col("at") + F.col("offset")).alias("n"), F.col("l.r").alias("r"), "t", "t2")
+    hashed = numbered.select("conv_id", "block", "n", *[h.alias(f"x{i}") for i, h in enumerate(_hash_parts(F.col("n"), F.col("r"), F.col("t"), F.col("t2")))])
     running = Window.partitionBy("conv_id", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     sums = hashed.groupBy("conv_id", "block").agg(*[F.sum(f"x{i}").alias(f"s{i}") for i in range(4)])
     carried = sums.select("conv_id", "block", *[F.coalesce(F.sum(f"s{i}").over(before), F.lit(0)).alias(f"c{i}") for i in range(4)])
     within = hashed.select("*", *[F.sum(f"x{i}").over(running).alias(f"w{i}") for i in range(4)]).alias("l")
-    return within.join(carried.alias("r"), same).select(
-        "l.conv_id", "n", F.floor((F.col("n") - 1) / TURNS_PER_PART).cast("int").alias("part"), "role", "text",
-        *[(F.col(f"w{i}") + F.col(f"c{i}")).alias(f"h{i}") for i in range(4)],
-    )
+    return within.join(carried.alias("r"), same).select("l.conv_id", "n", *[(F.col(f"w{i}") + F.col(f"c{i}")).alias(f"h{i}") for i in range(4)])
 
 
 def maximal(turns: DataFrame) -> DataFrame:
     """(conv_id, turns) of the conversations that are no prefix of a longer one; of equal ones the smallest id.
 
-    ``turns`` comes from ``numbered_turns``. The last rolling hash of a conversation stands for the whole; it is
+    ``turns`` comes from ``rolling_hashes``. The last rolling hash of a conversation stands for the whole; it is
     removed by an anti-join if some longer conversation has the same hash at the same turn number.
     """
     key = ["n", "h0", "h1", "h2", "h3"]
@@ -60,28 +64,31 @@ def maximal(turns: DataFrame) -> DataFrame:
 def render(conversations: DataFrame) -> DataFrame:
     """Maximal conversations as training text: conv_id, part, n_turns (of the part), text.
 
-    A turn reads ``<|role|>``, a newline, its text and ``<|end|>``. Parts hold 256 turns each, so a long log never has to
-    fit into one row; almost all conversations are one part.
+    A turn reads ``<|role|>``, a newline, its text and ``<|end|>``. A part holds the turns of 256 turn numbers (part 0
+    those from 0 to 255), so a long log never has to fit into one row; almost all conversations are one part.
 
-    Turns are ordered by ``turn`` (nulls first), then role and text; rows repeated in full count once. A null role
-    renders as ``unknown`` and a null text as nothing, but neither equals an actual empty one in comparisons. Rows
+    Turns are ordered by ``turn`` (nulls first, in part -1), then role and text; rows repeated in full count once. A null
+    role renders as ``unknown`` and a null text as nothing, but neither equals an actual empty one in comparisons. Rows
     with a null conv_id form one conversation. A conversation with the turns of another, or with the first
     of them only, is left out; of equal ones that with the smallest id stays. An empty table gives no rows; other
     columns are ignored.
     """
-    turns = numbered_turns(conversations)
-    kept = maximal(turns)
-    line = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("<|end|>\n"))
-    body = turns.alias("t").join(kept.alias("k"), F.col("t.conv_id").eqNullSafe(F.col("k.conv_id")), "left_semi")
-    return body.groupBy("conv_id", "part").agg(
-        F.count("*").alias("n_turns"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "").alias("text"),
+    kept = staged(maximal(staged(rolling_hashes(conversations), "turn-hashes")).select("conv_id"), "maximal")
+    rows = conversations.select("conv_id", "turn", "role", "text").alias("t")
+    own = rows.join(kept.alias("k"), F.col("t.conv_id").eqNullSafe(F.col("k.conv_id")), "left_semi")
+    turns = own.groupBy("conv_id", _block(F.col("turn")).cast("int").alias("part")).agg(
+        F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns")
     )
 
+    def line(turn: Column) -> Column:
+        return F.concat(F.lit("<|"), F.coalesce(turn["role"], F.lit("unknown")), F.lit("|>\n"), F.coalesce(turn["text"], F.lit("")), F.lit("<|end|>\n"))
+
+    return turns.select("conv_id", "part", F.size("turns").cast("long").alias("n_turns"), F.array_join(F.transform("turns", line), "").alias("text"))
+
 
 ORACLE = """
 WITH t AS (
-  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n, role, text
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n, turn, role, text
   FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)),
 p AS (
   SELECT conv_id, n, max(n) OVER (PARTITION BY conv_id) AS last,
@@ -92,8 +99,8 @@ kept AS (
   FROM (SELECT conv_id, n, md5(CAST(turns AS VARCHAR)) AS h, turns FROM p WHERE n = last) w
   ANTI JOIN (SELECT DISTINCT n, turns FROM p WHERE n < last) i ON w.n = i.n AND w.turns = i.turns
   GROUP BY w.turns)
-SELECT conv_id, CAST((n - 1) // 256 AS INTEGER) AS part, count(*) AS n_turns,
+SELECT conv_id, CAST(floor(coalesce(turn, -1) / 256.0) AS INTEGER) AS part, count(*) AS n_turns,
        string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY n) AS text
 FROM t WHERE EXISTS (SELECT 1 FROM kept WHERE kept.conv_id IS NOT DISTINCT FROM t.conv_id)
-GROUP BY conv_id, (n - 1) // 256
+GROUP BY conv_id, floor(coalesce(turn, -1) / 256.0)
 """
