@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyshop.session import shared_folder
 
 # Bytes of text that one Arrow batch carries at most, so that long documents cannot fill a worker.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

@@ -21,7 +21,7 @@ DISTANCE, BLOCKS = 3, 5  # five blocks, three differing bits: two blocks always
 SIMILARITY = 0.8
 LONG_WORDS = 8192
 CHUNK = 1 << 15  # words whose bits are summed at a time
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 150_000
 _WORD = re.compile(r"\w+")
 _DIGIT = re.compile(r"\d")
 

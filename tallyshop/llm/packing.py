@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyshop.llm.common import map_rows
 
-MEMO_ENTRIES = 400_000  # words whose ids a task remembers; beyond that it starts afresh
+MEMO_ENTRIES = 150_000  # words whose ids a task remembers; beyond that it starts afresh
 PACKED = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 
 

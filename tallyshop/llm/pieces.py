@@ -14,7 +14,7 @@ from tallyshop.llm.common import map_rows
 
 SPACE = "▁"
 COMMIT_EVERY = 64  # characters between looks for a boundary that all paths share
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 300_000
 MEMO_CHARS = 48
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6  # piece types of the model format
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*")

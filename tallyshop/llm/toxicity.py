@@ -19,7 +19,7 @@ WINDOW_CHARS = 24
 MOST_COST = 31
 FOLDS = 4
 LIFT, DEVIATIONS = 5, 3
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 150_000
 # Both dictionaries begin with this text, and so does each window: then a block is never stored raw.
 LEAD_IN = "0123456789abcdefghijklmnopqrstuvwxyz"
 
