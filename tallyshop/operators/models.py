@@ -68,7 +68,7 @@ def year_lags(value: str) -> dict[str, Column]:
 
 # Daily columns that carry the target itself, and columns found to be noise.
 LEAKY_COLUMNS = (
-    "payment_value", "total_refund_amount", "order_reviews", "customer_reviews", "product_reviews", "rating", "Revenue", "COGS",
+    "payment_value", "total_refund_amount", "order_id_reviews", "customer_id_reviews", "product_id_reviews", "rating", "Revenue", "COGS",
 )
 NOISE_COLUMNS = (
     "traffic_direct", "traffic_email_campaign", "traffic_referral", "traffic_paid_search", "traffic_organic_search",
@@ -81,6 +81,29 @@ def usable_columns(daily: DataFrame) -> DataFrame:
     return daily.drop(*LEAKY_COLUMNS, *NOISE_COLUMNS)
 
 
+TARGET_LAGS = (7, 14, 30, 60, 364, 365)
+TARGET_WINDOWS = (7, 14, 30)
+DRIVERS = ("sessions", "total_stock_on_hand", "order_id")
+DRIVER_LAGS = (7, 30, 364)
+
+
+def engineer_features(daily: DataFrame, target: str = "Revenue") -> DataFrame:
+    """The daily table as a model frame: log target, its lags and means of days before, lags of drivers, no leaks.
+
+    ``daily`` has one row per calendar day, so lags by rows are lags by days and the window is as long as the calendar.
+    A mean needs all its days.
+    """
+    days = Window.orderBy("date")
+    base = daily.withColumn("label", F.log1p(clip(dbl(target), low=0.0)))
+    new = {f"label_lag{k}": F.lag("label", k).over(days) for k in TARGET_LAGS}
+    for w in TARGET_WINDOWS:
+        frame = days.rowsBetween(-w, -1)
+        new[f"label_mean{w}"] = F.when(F.count("label").over(frame) == w, F.avg("label").over(frame))
+    new |= {f"{d}_lag{k}": F.lag(d, k).over(days) for d in DRIVERS for k in DRIVER_LAGS}
+    new["sessions_yoy"] = F.try_divide(dbl("sessions"), F.lag("sessions", 364).over(days)) - 1
+    return usable_columns(base.withColumns(new))
+
+
 def feature_names(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
     """Numeric columns that may be features: no keys, targets, weights or fold marks."""
     barred = {SERIES, "date", "label", "weight", "fold", *LEAKY_COLUMNS, *exclude}

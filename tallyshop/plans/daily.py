@@ -4,6 +4,7 @@ from dataclasses import replace
 
 from tallyshop.functions.columns import shown, slug
 from tallyshop.operators import daily as op
+from tallyshop.operators import models
 from tallyshop.plans.registry import ORACLE_MARTS, big, money, query, r6
 
 SPEC = op.DailySpec(
@@ -153,7 +154,10 @@ _FACTS = """SELECT * FROM m_daily_orders JOIN m_daily_payments USING (date) JOIN
     LEFT JOIN (SELECT Date AS date, cast(round(Revenue, 2) AS double) AS "Revenue", cast(round(COGS, 2) AS double) AS "COGS" FROM r_sales) s USING (date)) sales USING (date)"""
 
 
-@query("processed_daily", _FACTS + " JOIN m_daily_customers USING (date) JOIN m_daily_promotions USING (date) JOIN m_daily_inventory USING (date) JOIN m_daily_web USING (date)")
+_PROCESSED = _FACTS + " JOIN m_daily_customers USING (date) JOIN m_daily_promotions USING (date) JOIN m_daily_inventory USING (date) JOIN m_daily_web USING (date)"
+
+
+@query("processed_daily", _PROCESSED)
 def _(cat):
     return shown(op.processed_daily(cat, SPEC), EXACT)
 
@@ -161,3 +165,25 @@ def _(cat):
 @query("processed_daily_legacy", _FACTS + " JOIN m_daily_inventory USING (date) JOIN m_daily_web USING (date)")
 def _(cat):
     return shown(op.processed_daily(cat, SPEC, legacy=True), EXACT)
+
+
+def _model_features() -> str:
+    label = "ln(1 + greatest(\"Revenue\", 0))"
+    lags = [f"lag(label, {k}) OVER d AS label_lag{k}" for k in models.TARGET_LAGS]
+    means = [
+        f"CASE WHEN count(label) OVER (ORDER BY date ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING) = {w} "
+        f"THEN avg(label) OVER (ORDER BY date ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING) END AS label_mean{w}"
+        for w in models.TARGET_WINDOWS
+    ]
+    drivers = [f"lag({d}, {k}) OVER d AS {d}_lag{k}" for d in models.DRIVERS for k in models.DRIVER_LAGS]
+    yoy = "cast(sessions AS double) / nullif(lag(sessions, 364) OVER d, 0) - 1 AS sessions_yoy"
+    left_out = [f'"{c}"' for c in models.LEAKY_COLUMNS]
+    left_out += [c for c in models.NOISE_COLUMNS if c in _WEB_COLUMNS]
+    made = f"SELECT *, {', '.join([*lags, *means, *drivers, yoy])} FROM (SELECT *, {label} AS label FROM (%s) p) q WINDOW d AS (ORDER BY date)"
+    rounded = ", ".join(r6(c) + f" AS {c}" for c in ["label", *[f"label_lag{k}" for k in models.TARGET_LAGS], *[f"label_mean{w}" for w in models.TARGET_WINDOWS], "sessions_yoy"])
+    return f"SELECT * EXCLUDE ({', '.join(left_out)}) REPLACE ({rounded}) FROM ({made % _PROCESSED}) f"
+
+
+@query("model_features", _model_features())
+def _(cat):
+    return shown(models.engineer_features(shown(op.processed_daily(cat, SPEC), EXACT)), EXACT)
