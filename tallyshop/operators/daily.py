@@ -163,13 +163,15 @@ def daily_customers(cat: Catalog, spec: DailySpec) -> DataFrame:
     return out.where(F.col("date") >= first).select("date", "customer_daily_signup", *known)
 
 
-def daily_promotions(cat: Catalog, spec: DailySpec) -> DataFrame:
-    """Whether any promotion in use runs, mean discount, minimum-order flag and types per day.
+def promotions_in_use(cat: Catalog) -> Catalog:
+    """The catalogue with only those promotions that an order line names."""
+    named = cat.order_items.select("promo_id").distinct()
+    return cat.replaced(promotions=cat.promotions.join(named, "promo_id", "left_semi"))
 
-    A promotion is in use if an order line names it.
-    """
-    used = cat.promotions.join(cat.order_items.select("promo_id").distinct(), "promo_id", "left_semi")
-    active = explode_interval(used, "start_date", "end_date")
+
+def daily_promotions(cat: Catalog, spec: DailySpec) -> DataFrame:
+    """Whether any promotion runs, mean discount, minimum-order flag and types per day."""
+    active = explode_interval(cat.promotions, "start_date", "end_date")
     types = [F.max(flag(F.col("promo_type") == v)).alias(f"promo_type_{slug(v)}") for v in spec.promo_type]
     per_day = active.groupBy("date").agg(
         F.max(flag(F.col("promo_id").isNotNull())).alias("promo_flag"),

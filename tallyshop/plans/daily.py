@@ -109,7 +109,7 @@ PARTS = {
     "daily_shipments": ("m_daily_shipments", op.daily_shipments),
     "daily_reviews": ("m_daily_reviews", op.daily_reviews),
     "daily_customers": ("m_daily_customers", op.daily_customers),
-    "daily_promotions": ("m_daily_promotions", op.daily_promotions),
+    "daily_promotions": ("m_daily_promotions", lambda cat, spec: op.daily_promotions(op.promotions_in_use(cat), spec)),
     "daily_inventory": ("m_daily_inventory", op.daily_inventory),
 }
 
@@ -146,7 +146,7 @@ def _(cat):
 
 @query("daily_master", "SELECT * FROM m_daily_customers JOIN m_daily_promotions USING (date)")
 def _(cat):
-    return shown(op.daily_master(cat, SPEC))
+    return shown(op.daily_master(op.promotions_in_use(cat), SPEC))
 
 
 _FACTS = """SELECT * FROM m_daily_orders JOIN m_daily_payments USING (date) JOIN m_daily_returns USING (date) JOIN m_daily_shipments USING (date)
@@ -159,7 +159,7 @@ _PROCESSED = _FACTS + " JOIN m_daily_customers USING (date) JOIN m_daily_promoti
 
 @query("processed_daily", _PROCESSED)
 def _(cat):
-    return shown(op.processed_daily(cat, SPEC), EXACT)
+    return shown(op.processed_daily(op.promotions_in_use(cat), SPEC), EXACT)
 
 
 @query("processed_daily_legacy", _FACTS + " JOIN m_daily_inventory USING (date) JOIN m_daily_web USING (date)")
@@ -186,4 +186,4 @@ def _model_features() -> str:
 
 @query("model_features", _model_features())
 def _(cat):
-    return shown(models.engineer_features(shown(op.processed_daily(cat, SPEC), EXACT)), EXACT)
+    return shown(models.engineer_features(shown(op.processed_daily(op.promotions_in_use(cat), SPEC), EXACT)), EXACT)

@@ -34,6 +34,11 @@ class Catalog:
         """Path of a raw Parquet file in the catalogue's folder."""
         return f"{self.folder}/{name}.parquet"
 
+    def replaced(self, **tables: DataFrame) -> Catalog:
+        """A catalogue with these tables in place of its own."""
+        same = {name: (lambda name=name: self[name]) for name in self._builders}
+        return Catalog(self.spark, {**same, **{name: (lambda df=df: df) for name, df in tables.items()}}, self.folder)
+
     def names(self) -> list[str]:
         return sorted(self._builders)
 
