@@ -14,7 +14,7 @@ from tallyshop.llm.common import map_rows
 
 SPACE = "▁"
 COMMIT_EVERY = 64  # characters between looks for a boundary that all paths share
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES, PAIR_ENTRIES = 300_000, 1_000_000
 MEMO_CHARS = 48
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6  # piece types of the model format
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*")
@@ -42,20 +42,22 @@ class Viterbi:
         self.prefixed = model.normalizer_spec.add_dummy_prefix
         model.normalizer_spec.add_dummy_prefix = False
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+        self.pieces = [p.piece for p in model.pieces]
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type in (NORMAL, USER)}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == UNKNOWN)
         self.surface = [b"" if p.type not in (NORMAL, USER, BYTE) else bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(SPACE, " ").encode() for p in model.pieces]
         self.longest = max(map(len, self.ids))
+        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.apart: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
 
     def _stays_apart(self, key: int, left: int, right: int) -> bool:
         """Whether merging two pieces together gives these two again; ``left`` is negative where a text begins."""
-        if len(self.apart) >= MEMO_ENTRIES:
+        if len(self.apart) >= PAIR_ENTRIES:
             self.apart.clear()
         own = [left, right] if left >= 0 else [right]
-        text = "".join(self.library.id_to_piece(i) for i in own)
+        text = self.pieces[left] + self.pieces[right] if left >= 0 else self.pieces[right]
         known = self.apart[key] = self.library.encode(text) == own
         return known
 
@@ -110,6 +112,11 @@ class Viterbi:
         known = self.memo.get(segment)
         if known is not None:
             return known
+        inside = self.inside
+        cuts = [i for i in range(1, len(segment)) if segment[i - 1 : i + 1] not in inside]
+        if cuts:  # no piece has these two characters side by side, so all paths meet between them
+            packed = b"".join([self._segment(segment[a:b]) for a, b in zip([0, *cuts], [*cuts, len(segment)], strict=True)])
+            return self._remember(segment, packed)
         out: list[int] = []
         for ids in self._commits(segment):
             for found in ids:
@@ -119,7 +126,9 @@ class Viterbi:
                     out.extend(self.bytes[b] for b in found.encode("utf-8", "surrogatepass"))
                 else:
                     out.append(self.unknown)
-        packed = np.asarray(out, dtype="<u4").tobytes()
+        return self._remember(segment, np.asarray(out, dtype="<u4").tobytes())
+
+    def _remember(self, segment: str, packed: bytes) -> bytes:
         if len(segment) <= MEMO_CHARS:
             if len(self.memo) >= MEMO_ENTRIES:
                 self.memo.clear()
