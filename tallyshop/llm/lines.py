@@ -20,7 +20,6 @@ FUZZY_WORDS = 8  # shorter lines only match exactly: a few words are too few bit
 DISTANCE, BLOCKS = 3, 5  # five blocks, three differing bits: two blocks always agree
 SIMILARITY = 0.8
 LONG_WORDS = 8192
-CHUNK = 1 << 15  # words whose bits are summed at a time
 MEMO_ENTRIES = 150_000
 _WORD = re.compile(r"\w+")
 _DIGIT = re.compile(r"\d")
@@ -41,18 +40,22 @@ class _WordHash(dict):
         return value
 
 
+# Each byte value with its bits spread over the bytes of a 64-bit number, so that adding numbers counts bits.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
 def _simhashes(lines: list[list[str]], hashes: _WordHash) -> np.ndarray:
     """SimHash of each list of words (none may be empty), as signed 64-bit integers."""
-    sums = np.zeros((len(lines), 64), dtype=np.int32)
-    owner = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
-    words = np.fromiter((hashes[w] for x in lines for w in x), dtype=np.uint64, count=len(owner))
-    for low in range(0, len(words), CHUNK):
-        bits = np.unpackbits(words[low : low + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        own = owner[low : low + CHUNK]
-        starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        sums[own[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-    counts = np.bincount(owner, minlength=len(lines))[:, None]
-    return np.packbits(2 * sums > counts, axis=1, bitorder="little").view("<i8").ravel()
+    sizes = np.array([len(x) for x in lines])
+    words = np.fromiter((hashes[w] for x in lines for w in x), dtype="<u8", count=int(sizes.sum()))
+    spread = _SPREAD[words.view(np.uint8).reshape(-1, 8)]
+    offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    pieces = -(-sizes // 255)  # a byte counts to 255, so longer lines are added in pieces
+    first = np.concatenate([[0], np.cumsum(pieces)[:-1]])
+    within = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
+    counted = np.add.reduceat(spread, np.repeat(offsets, pieces) + 255 * within, axis=0).view(np.uint8).reshape(-1, 64)
+    sums = np.add.reduceat(counted, first, axis=0, dtype=np.int32)
+    return np.packbits(2 * sums > sizes[:, None], axis=1, bitorder="little").view("<i8").ravel()
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -71,8 +74,8 @@ def signatures(docs: DataFrame) -> DataFrame:
                 part = batch.slice(low, 512)
                 rows, numbers, keys, found = [], [], [], []
                 for row, text in enumerate(part.column(2).to_pylist()):
-                    for number, line in enumerate((text or "").split("\n")):
-                        words = normal_words(line)
+                    for number, line in enumerate(_DIGIT.sub("0", (text or "").lower()).split("\n")):
+                        words = _WORD.findall(line)
                         if len(words) >= MIN_WORDS:
                             rows.append(row)
                             numbers.append(number)
