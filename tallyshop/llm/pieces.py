@@ -14,7 +14,7 @@ from tallyshop.llm.common import map_rows
 
 SPACE = "▁"
 COMMIT_EVERY = 64  # characters between looks for a boundary that all paths share
-MEMO_ENTRIES, PAIR_ENTRIES = 300_000, 1_000_000
+MEMO_ENTRIES, PAIR_ENTRIES = 700_000, 1_000_000
 MEMO_CHARS = 48
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6  # piece types of the model format
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*")
@@ -48,6 +48,12 @@ class Viterbi:
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == UNKNOWN)
         self.surface = [b"" if p.type not in (NORMAL, USER, BYTE) else bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(SPACE, " ").encode() for p in model.pieces]
         self.longest = max(map(len, self.ids))
+        self.trie: dict = {}  # by characters; the id of a piece stands under the empty string
+        for piece, number in self.ids.items():
+            node = self.trie
+            for char in piece:
+                node = node.setdefault(char, {})
+            node[""] = number
         self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.apart: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
@@ -63,35 +69,45 @@ class Viterbi:
 
     def _commits(self, text: str) -> Iterator[list[str | int]]:
         """Ids of ``text`` in order (characters without a piece as themselves), handed on as soon as they are final."""
-        longest, get, known = self.longest, self.ids.get, self.apart.get
-        before, last = [0], [-1]  # for each boundary from ``done`` on: the one before it and the piece in between
-        done = 0
-        for end in range(1, len(text) + 1):
-            for start in range(end - longest if end - longest > done else done, end):
-                piece = get(text[start:end])
-                if piece is not None:
-                    left = last[start - done]
+        root, known, longest, size = self.trie, self.apart.get, self.longest, len(text)
+        done, ahead = 0, [0] * (longest + 1)
+        before, last = [0, *ahead], [-1, *([None] * (longest + 1))]  # by boundary from ``done`` on; None: no piece ends there yet
+        for start in range(size):
+            at = start - done
+            left = last[at]
+            if left is None:
+                before[at], left = start - 1, -1
+                last[at] = -1
+            before.append(0)
+            last.append(None)
+            node, end = root, at
+            for char in text[start : start + longest]:
+                node = node.get(char)
+                if node is None:
+                    break
+                end += 1
+                piece = node.get("")
+                if piece is not None and last[end] is None:
                     key = left << 32 | piece
                     apart = known(key)
                     if apart or (apart is None and self._stays_apart(key, left, piece)):
-                        break
-            else:
-                start, piece = end - 1, -1
-            before.append(start)
-            last.append(piece)
-            if end - done >= COMMIT_EVERY and end % longest == 0:
-                shared = self._shared(before, max(done + 1, end - longest + 1), end, done)
+                        before[end], last[end] = start, piece
+            if at >= COMMIT_EVERY and start % longest == 0:
+                shared = self._shared(before, [at, *(j for j in range(at + 1, at + longest + 1) if last[j] is not None)], done)
                 if shared > done:
                     yield self._path(text, before, last, shared, done)
                     before, last, done = before[shared - done :], last[shared - done :], shared
-        if len(text) > done:
-            yield self._path(text, before, last, len(text), done)
+        if size > done:
+            if last[size - done] is None:
+                before[size - done], last[size - done] = size - 1, -1
+            yield self._path(text, before, last, size, done)
 
     @staticmethod
-    def _shared(before: list[int], first: int, end: int, done: int) -> int:
-        """The last boundary that lies on the paths of all boundaries from ``first`` to ``end``."""
+    def _shared(before: list[int], ends: list[int], done: int) -> int:
+        """The last boundary that lies on the paths of all of ``ends``, which count from ``done``."""
         common: set[int] | None = None
-        for at in range(first, end + 1):
+        for at in ends:
+            at += done
             path = {at}
             while at > done:
                 at = before[at - done]
