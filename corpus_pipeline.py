@@ -23,7 +23,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that repeat a line of another or the same one; ``n_chars`` follows the text."""
-    edited = lines.dedup(docs).drop("n_dropped")
+    edited = lines.dedup(docs, whole=True).drop("n_dropped")
     return edited.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else edited
 
 

@@ -1,9 +1,9 @@
-"""Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, edit similarity."""
+"""Fuzzy line deduplication: candidates that share a rare n-gram of words, edit similarity; SimHash blocks as a lighter way."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -20,6 +20,9 @@ FUZZY_WORDS = 8  # shorter lines only match exactly: a few words are too few bit
 DISTANCE, BLOCKS = 3, 5  # five blocks, three differing bits: two blocks always agree
 SIMILARITY = 0.8
 LONG_WORDS = 8192
+WHOLE_WORDS = 4  # shorter lines cannot lie within SIMILARITY of another without being equal
+HOT_SHARE = 32  # one line in so many is sampled to find common n-grams
+HOT_GRAMS = 20_000
 MEMO_ENTRIES = 150_000
 _WORD = re.compile(r"\w+")
 _DIGIT = re.compile(r"\d")
@@ -58,12 +61,22 @@ def _simhashes(lines: list[list[str]], hashes: _WordHash) -> np.ndarray:
     return np.packbits(2 * sums > sizes[:, None], axis=1, bitorder="little").view("<i8").ravel()
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def _sketches(lines: list[list[str]], hashes: _WordHash) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers for each list of words, of which each word flips one bit."""
+    sizes = np.array([len(x) for x in lines])
+    bits = np.fromiter((hashes[w] & 127 for x in lines for w in x), dtype=np.int64, count=int(sizes.sum()))
+    odd = np.bincount(np.repeat(np.arange(len(lines)) * 128, sizes) + bits, minlength=128 * len(lines)) & 1
+    both = np.packbits(odd.astype(np.uint8).reshape(-1, 128), axis=1, bitorder="little").view("<i8")
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
+def signatures(docs: DataFrame, sketches: bool = False) -> DataFrame:
     """(doc_id, text_hash, line, key, print, words) of every line with at least ``MIN_WORDS`` words.
 
-    ``key`` is a hash of the normalised line, ``print`` its SimHash over words. Rows with the same id and text
-    count as one document.
+    ``key`` is a hash of the normalised line, ``print`` its SimHash over words. With ``sketches``, two halves ``low`` and
+    ``high`` of its word sketch come in place of ``print``. Rows with the same id and text count as one document.
     """
+    kind = ["low", "high"] if sketches else ["print"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -85,12 +98,13 @@ def signatures(docs: DataFrame) -> DataFrame:
                     at = pa.array(rows)
                     yield pa.RecordBatch.from_arrays([
                         part.column(0).take(at), part.column(1).take(at), pa.array(numbers, pa.int32()),
-                        pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array(_simhashes(found, hashes)),
+                        pa.array(np.array(keys, dtype=np.uint64).view(np.int64)),
+                        *map(pa.array, _sketches(found, hashes) if sketches else [_simhashes(found, hashes)]),
                         pa.array([len(x) for x in found], pa.int32()),
-                    ], names=["doc_id", "text_hash", "line", "key", "print", "words"])
+                    ], names=["doc_id", "text_hash", "line", "key", *kind, "words"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return map_rows(rows, work, "doc_id long, text_hash long, line int, key long, print long, words int")
+    return map_rows(rows, work, f"doc_id long, text_hash long, line int, key long, {' long, '.join(kind)} long, words int")
 
 
 def _block_keys(fingerprint: Column) -> Column:
@@ -244,12 +258,298 @@ def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
     return connected_components(verified).select(F.col("node").alias("key"), F.col("component").alias("group"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+# --- every pair within SIMILARITY ------------------------------------------------------------------------------------
+#
+# A line of L words and one of at most L words within L // 5 word edits of it share all but q * (L // 5) of the L - q + 1
+# word q-grams of the longer. If grams are taken in any fixed order, a short prefix of each line's grams thus meets the
+# other's: pairs of lines up to 7 words meet in bigrams, longer ones in trigrams. Nothing similar is lost.
+
+_MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+
+
+def _edits(words):
+    """Word edits that ``SIMILARITY`` allows when the longer line has ``words`` words."""
+    return words // 5
+
+
+def _prefix(words: np.ndarray, q: int) -> np.ndarray:
+    """How many of a line's first q-grams must be looked at so that no line within ``SIMILARITY`` is missed."""
+    after = 5 * (words // 5 + 1)  # partners with more words need most at the next length that allows one more edit
+    most = np.maximum(q * _edits(words) - words, q * _edits(after) - after)
+    return np.minimum(words + 1 + most, words - q + 1)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _MIX[0]
+    return x ^ (x >> np.uint64(29))
+
+
+def _prefix_grams(lines: list[list[str]], hashes: _WordHash, hot: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the line, hash of the gram) of the first q-grams of each line; a repeated gram is numbered.
+
+    Grams in ``hot`` (sorted) come last in the order, others by their hash.
+    """
+    sizes = np.array([len(x) for x in lines])
+    words = np.fromiter((hashes[w] for x in lines for w in x), dtype="<u8", count=int(sizes.sum()))
+    line = np.repeat(np.arange(len(lines)), sizes)
+    grams = np.full(len(words) - q + 1, q, dtype=np.uint64)
+    for i in range(q):
+        grams = _mixed(grams + words[i : len(words) - q + 1 + i] * _MIX[1 + i])
+    inside = line[: len(grams)] == line[q - 1 :]
+    line, grams = line[: len(grams)][inside], grams[inside]
+
+    def at_run(new: np.ndarray) -> np.ndarray:
+        starts = np.flatnonzero(new)
+        return np.arange(len(new)) - np.repeat(starts, np.diff([*starts, len(new)]))
+
+    order = np.lexsort((grams, line))
+    line, grams = line[order], grams[order]
+    new = np.r_[True, (line[1:] != line[:-1]) | (grams[1:] != grams[:-1])]
+    again = at_run(new).astype(np.uint64)
+    grams = np.where(again > 0, _mixed(grams + again * _MIX[3]), grams).view(np.int64)
+    common = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams if len(hot) else np.zeros(len(grams), dtype=bool)
+    order = np.lexsort((grams, common, line))
+    line, grams = line[order], grams[order]
+    first = at_run(np.r_[True, line[1:] != line[:-1]]) < _prefix(sizes, q)[line]
+    return line[first], grams[first]
+
+
+def _gram_rows(docs: DataFrame, hot: np.ndarray, sampled: bool = False) -> DataFrame:
+    """(gram, key) of the lines of ``docs``; copies of a line come once for each task, or a few times."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        hashes, seen = _WordHash(), set()
+        for batch in batches:
+            for low in range(0, len(batch), 256):
+                keys, found = [], []
+                for text in batch.column(0).slice(low, 256).to_pylist():
+                    for line in _DIGIT.sub("0", (text or "").lower()).split("\n"):
+                        words = _WORD.findall(line)
+                        if len(words) >= WHOLE_WORDS:
+                            key = xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
+                            if key not in seen and not (sampled and key % HOT_SHARE):
+                                seen.add(key)
+                                keys.append(key)
+                                found.append(words)
+                if len(seen) >= MEMO_ENTRIES:
+                    seen.clear()
+                for q, fits in ((2, lambda n: n <= 7), (3, lambda n: n >= 7)):
+                    own = [i for i, x in enumerate(found) if fits(len(x))]
+                    if own:
+                        line, grams = _prefix_grams([found[i] for i in own], hashes, hot, q)
+                        named = np.array([keys[i] for i in own], dtype=np.uint64).view(np.int64)[line]
+                        yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(named)], names=["gram", "key"])
+
+    return map_rows(docs.select("text"), work, "gram long, key long")
+
+
+def _common_grams(docs: DataFrame) -> np.ndarray:
+    """Sorted grams that many sampled lines have. They only steer the order of grams, not what is found."""
+    counts = _gram_rows(docs, np.zeros(0, dtype=np.int64), sampled=True).distinct().groupBy("gram").agg(F.count("*").alias("n"))
+    found = counts.where("n >= 4").orderBy(F.desc("n"), "gram").limit(HOT_GRAMS).select("gram").toArrow()
+    return np.sort(found.column("gram").to_numpy())
+
+
+def _by_run(work: Callable[[list[np.ndarray]], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` over the columns of rows sorted by the first one, so that rows with equal values stay together."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not len(batch):
+                continue
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))
+            if cut or (held and held[-1][0][-1] != columns[0][0]):
+                held.append([c[:cut] for c in columns])
+                yield work([np.concatenate(c) for c in zip(*held, strict=True)])
+                held = []
+            held.append([c[cut:] for c in columns])
+        if held:
+            yield work([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    return over
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return starts, np.diff(np.r_[starts, len(keys)])
+
+
+def _shared(columns: list[np.ndarray]) -> pa.RecordBatch:
+    """The (gram, key) rows, each once, of grams with several keys."""
+    gram, key = columns
+    once = np.r_[True, (gram[1:] != gram[:-1]) | (key[1:] != key[:-1])]
+    gram, key = gram[once], key[once]
+    starts, sizes = _runs(gram)
+    several = np.repeat(sizes > 1, sizes)
+    return pa.RecordBatch.from_arrays([pa.array(gram[several]), pa.array(key[several])], names=["gram", "key"])
+
+
+def _may_match(x, y, words: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Whether sizes and word sketches allow a similarity of ``SIMILARITY``: an edit changes the length by at most one
+    word and the sketch by at most two bits."""
+    allowed = _edits(np.maximum(words[x], words[y]))
+    differing = np.bitwise_count((low[x] ^ low[y]).view(np.uint64)) + np.bitwise_count((high[x] ^ high[y]).view(np.uint64))
+    return (np.abs(words[x] - words[y]) <= allowed) & (differing <= 2 * allowed)
+
+
+def _reach(left: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(x, rows first reached from x): ``near`` asks which of the rows not yet reached link to x, so that linked rows are
+    asked once and each component is whole."""
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            hit = near(x, left)
+            if hit.any():
+                yield x, left[hit]
+                queue += left[hit].tolist()
+                left = left[~hit]
+
+
+def _candidates(columns: list[np.ndarray]) -> pa.RecordBatch:
+    """A spanning forest of the pairs of keys that share a gram and may match."""
+    gram, key, words, low, high = columns
+    words = words.astype(np.int64)
+    starts, sizes = _runs(gram)
+    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    small = np.repeat(sizes <= 32, sizes)
+    at, step = np.flatnonzero(small), 1
+    while len(at := at[at < len(gram) - step]):
+        at = at[gram[at] == gram[at + step]]
+        near = at[_may_match(at, at + step, words, low, high)]
+        left.append(key[near])
+        right.append(key[near + step])
+        step += 1
+    for start, size in zip(starts[sizes > 32].tolist(), sizes[sizes > 32].tolist(), strict=True):
+        for x, hit in _reach(np.arange(start, start + size), lambda x, rest: _may_match(x, rest, words, low, high)):
+            left.append(np.full(len(hit), key[x]))
+            right.append(key[hit])
+    kept = _forest(np.concatenate(left), np.concatenate(right))
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in kept], pa.int64()), pa.array([b for _, b in kept], pa.int64())], names=["u", "v"])
+
+
+def edit_distance(a: list, b: list) -> int:
+    """Edits (one item in, out or changed) between two lists, bit-parallel after Myers and Hyyro."""
+    low, high_a, high_b = 0, len(a), len(b)
+    while low < high_a and low < high_b and a[low] == b[low]:
+        low += 1
+    while high_a > low and high_b > low and a[high_a - 1] == b[high_b - 1]:
+        high_a, high_b = high_a - 1, high_b - 1
+    a, b = a[low:high_a], b[low:high_b]
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    plus, minus, distance = every, 0, len(a)
+    for x in b:
+        match = places.get(x, 0)
+        zero = (((match & plus) + plus) ^ plus) | match | minus
+        up, down = minus | (every & ~(zero | plus)), plus & zero
+        distance += bool(up & last) - bool(down & last)
+        up, down = (up << 1 | 1) & every, (down << 1) & every
+        plus, minus = down | (every & ~(zero | up)), up & zero
+    return distance
+
+
+def _verified(columns: list[np.ndarray]) -> pa.RecordBatch:
+    """(key, group) of lines that really match another, each group named by its smallest key.
+
+    Every line of a candidate component is compared with all that may match it and are not linked to it already.
+    """
+    component, key, words, low, high, codes = columns
+    words = words.astype(np.int64)
+    keys, groups = [], []
+    for start, size in zip(*map(np.ndarray.tolist, _runs(component)), strict=True):
+        texts = {i: np.frombuffer(codes[i], dtype=np.uint32).tolist() for i in range(start, start + size)}
+
+        def near(x: int, rest: np.ndarray, texts: dict = texts) -> np.ndarray:
+            hit = _may_match(x, rest, words, low, high)
+            for i in np.flatnonzero(hit).tolist():
+                y = int(rest[i])
+                hit[i] = edit_distance(texts[x], texts[y]) <= max(len(texts[x]), len(texts[y])) // 5
+            return hit
+
+        root: dict[int, int] = {}
+        for x, hit in _reach(np.arange(start, start + size), near):
+            top = root.setdefault(x, x)
+            root |= dict.fromkeys(hit.tolist(), top)
+        least: dict[int, int] = {}
+        for x, top in root.items():
+            least[top] = min(least.get(top, int(key[x])), int(key[x]))
+        keys += [int(key[x]) for x in root]
+        groups += [least[top] for top in root.values()]
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(groups, pa.int64())], names=["key", "group"])
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(component, key, words, low, high, codes) of the wanted lines of each text, codes being a 32-bit hash of each word."""
+    import xxhash
+
+    names = ["component", "key", "words", "low", "high"]
+
+    def flush(out: list[dict], codes: list[bytes]) -> pa.RecordBatch:
+        columns = [pa.array([x[n] for x in out], pa.int32() if n == "words" else pa.int64()) for n in names]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(codes, pa.binary())], names=[*names, "codes"])
+
+    for batch in batches:
+        out, codes, held = [], [], 0
+        for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
+            parts = (text.as_py() or "").split("\n")
+            for line in wanted.as_py():
+                found = normal_words(parts[line["line"]])
+                out.append(line)
+                codes.append(np.array([xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) for w in found], dtype=np.uint32).tobytes())
+                held += len(codes[-1])
+            if len(out) > 4096 or held > 4 << 20:
+                yield flush(out, codes)
+                out, codes, held = [], [], 0
+        if out:
+            yield flush(out, codes)
+
+
+def whole_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(key, group) of lines that equal no other but link to some, a group being named by its smallest key.
+
+    ``lines`` comes from ``signatures(docs, sketches=True)``. All pairs of lines with an edit similarity of at least
+    ``SIMILARITY`` over words link. Pairs that share a gram and whose sizes and sketches allow it form candidate
+    components (a superset of the groups); each is compared in full inside, texts travelling once.
+    """
+    nodes = staged(
+        lines.where(F.col("words") >= WHOLE_WORDS).groupBy("key")
+        .agg(F.max("words").alias("words"), F.max("low").alias("low"), F.max("high").alias("high"), F.min(F.struct("doc_id", "text_hash", "line")).alias("first")),
+        "lines",
+    )
+    rows = _gram_rows(docs, _common_grams(docs)).repartition(F.col("gram")).sortWithinPartitions("gram", "key")
+    shared = staged(rows.mapInArrow(_by_run(_shared), "gram long, key long"), "line-grams")
+    known = shared.join(nodes.select("key", "words", "low", "high"), "key").select("gram", "key", "words", "low", "high")
+    dealt = known.repartition(F.col("gram")).sortWithinPartitions("gram", "key")
+    links = staged(dealt.mapInArrow(_by_run(_candidates), "u long, v long"), "line-links")
+    alike = connected_components(links).select(F.col("node").alias("key"), "component")
+    member = nodes.join(alike, "key")
+    wanted = (  # the lines of a document that are to be compared travel as one list, so its text is split once
+        member.groupBy("first.doc_id", "first.text_hash")
+        .agg(F.collect_list(F.struct("first.line", "component", "key", "words", "low", "high")).alias("lines")).alias("m")
+    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").dropDuplicates(["doc_id", "text_hash"]).alias("d")
+    own = F.col("m.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("m.text_hash") == F.col("d.text_hash"))
+    coded = map_rows(texts.join(wanted, own).select("text", "lines"), _coded, "component long, key long, words int, low long, high long, codes binary")
+    dealt = coded.repartition(F.col("component")).sortWithinPartitions("component", "key")
+    return staged(map_rows(dealt, _by_run(_verified), "key long, group long"), "line-groups")
+
+
+def dedup(docs: DataFrame, whole: bool = False) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``; all rows and columns stay, ``n_dropped`` counts lines removed.
 
     Lines are the parts of a text between newlines. They match if their normal forms (lower case, no punctuation, digits as
     0) are equal, or, from 8 words on, if their SimHashes differ in at most 3 bits and their edit similarity over words is
-    at least 0.8; matching lines form connected groups. Of each group the occurrence with the smallest doc_id, then
+    at least 0.8. With ``whole``, as the queries have it, all pairs of lines with that edit similarity match, however many
+    bits differ; a line of 4 words can match one of 5. Matching lines form connected groups. Of each group the occurrence with the smallest doc_id, then
     text hash, then line number stays. Lines of fewer than 3 words always stay.
 
     A null text stays null; empty texts stay empty. A null doc_id comes first, so its lines win. Rows with the same
@@ -257,8 +557,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     table gives no rows; a column already named ``n_dropped`` is replaced.
     """
     docs = docs.drop("n_dropped")
-    lines = staged(signatures(docs), "signatures")
-    groups = line_groups(docs, lines)
+    lines = staged(signatures(docs, sketches=whole), "signatures")
+    groups = whole_groups(docs, lines) if whole else line_groups(docs, lines)
     named = lines.join(groups, "key", "left").withColumn("group", F.coalesce("group", "key"))
     place = F.struct("doc_id", "text_hash", "line")
     winners = named.groupBy("group").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("group", "first")

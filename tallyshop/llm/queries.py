@@ -73,7 +73,7 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_lines(spark: SparkSession, folder: str) -> DataFrame:
-    deduped = lines.dedup(_table(spark, folder, "documents").select("doc_id", "text"))
+    deduped = lines.dedup(_table(spark, folder, "documents").select("doc_id", "text"), whole=True)
     return deduped.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), "n_dropped")
 
 

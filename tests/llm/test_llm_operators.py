@@ -363,6 +363,57 @@ def test_fuzzy_lines_group_as_all_pairs_do(spark, docs):
     assert kept == set(group.values()) and len(kept) < len(rows)
 
 
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_whole_lines_group_as_brute_force_does(docs):
+    r = random.Random(11)
+    rows = []
+    for b in range(40):
+        words = [word(r) for _ in range(r.choice([4, 5, 7, 8, 9, 12, 20, 45]))]
+        for v in range(4):
+            own = list(words)
+            for _ in range(v * max(1, len(words) // 10)):
+                at = r.randrange(len(own))
+                own[at : at + 1] = r.choice([[], [word(r)], [own[at], word(r)]]) or own[at : at + 1][: len(own) == 1]
+            rows.append((100 * b + v, " ".join(own) + " x y"[: 0 if len(own) > 2 else 4]))
+    rows += [(9000, "the the the the the the the the"), (9001, "the the the the the the the the the")]
+    texts = {d: t.split() for d, t in rows}
+    near = [(a, b) for a in texts for b in texts if a < b and 5 * plain_distance(texts[a], texts[b]) <= max(len(texts[a]), len(texts[b]))]
+    group = roots(texts, near)
+    kept = {x.doc_id for x in lines.dedup(docs(rows), whole=True).collect() if x.text}
+    assert kept == set(group.values()) and len(near) > 50  # recall 1 against brute force
+    assert kept < {x.doc_id for x in lines.dedup(docs(rows)).collect() if x.text}
+
+
+def test_edit_distance_is_that_of_the_plain_table():
+    r = random.Random(12)
+    for _ in range(300):
+        a, b = ([r.randrange(4) for _ in range(r.randrange(90))] for _ in range(2))
+        assert lines.edit_distance(a, b) == plain_distance(a, b)
+
+
+def test_links_outside_the_leader_and_long_lines_are_verified(docs):
+    r = random.Random(13)
+    chain = [[word(r) for _ in range(50)]]
+    for _ in range(5):  # each is 8 edits from the one before; the ends are not alike
+        own = list(chain[-1])
+        for at in r.sample(range(50), 8):
+            own[at] = word(r)
+        chain.append(own)
+    long = [word(r) for _ in range(9000)]
+    spread = [w if i % 6 else word(r) for i, w in enumerate(long)]  # a sixth of the words changed, evenly spread
+    rows = [(i, " ".join(x)) for i, x in enumerate(chain)] + [(10, " ".join(long)), (11, " ".join(spread))]
+    assert {x.doc_id for x in lines.dedup(docs(rows), whole=True).collect() if x.text} == {0, 10}
+
+
 # --- packing ---------------------------------------------------------------------------------------------------------
 
 
