@@ -23,6 +23,7 @@ LONG_WORDS = 8192
 WHOLE_WORDS = 4  # shorter lines cannot lie within SIMILARITY of another without being equal
 HOT_SHARE = 32  # one line in so many is sampled to find common n-grams
 HOT_GRAMS = 20_000
+SKETCH_BITS = 1024  # a power of two
 MEMO_ENTRIES = 150_000
 _WORD = re.compile(r"\w+")
 _DIGIT = re.compile(r"\d")
@@ -61,22 +62,21 @@ def _simhashes(lines: list[list[str]], hashes: _WordHash) -> np.ndarray:
     return np.packbits(2 * sums > sizes[:, None], axis=1, bitorder="little").view("<i8").ravel()
 
 
-def _sketches(lines: list[list[str]], hashes: _WordHash) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit numbers for each list of words, of which each word flips one bit."""
+def _sketches(lines: list[list[str]], hashes: _WordHash) -> list[bytes]:
+    """``SKETCH_BITS`` bits for each list of words, of which each word flips one."""
     sizes = np.array([len(x) for x in lines])
-    bits = np.fromiter((hashes[w] & 127 for x in lines for w in x), dtype=np.int64, count=int(sizes.sum()))
-    odd = np.bincount(np.repeat(np.arange(len(lines)) * 128, sizes) + bits, minlength=128 * len(lines)) & 1
-    both = np.packbits(odd.astype(np.uint8).reshape(-1, 128), axis=1, bitorder="little").view("<i8")
-    return both[:, 0].copy(), both[:, 1].copy()
+    bits = np.fromiter((hashes[w] & (SKETCH_BITS - 1) for x in lines for w in x), dtype=np.int64, count=int(sizes.sum()))
+    odd = np.bincount(np.repeat(np.arange(len(lines)) * SKETCH_BITS, sizes) + bits, minlength=SKETCH_BITS * len(lines)) & 1
+    return [x.tobytes() for x in np.packbits(odd.astype(np.uint8).reshape(-1, SKETCH_BITS), axis=1)]
 
 
 def signatures(docs: DataFrame, sketches: bool = False) -> DataFrame:
     """(doc_id, text_hash, line, key, print, words) of every line with at least ``MIN_WORDS`` words.
 
-    ``key`` is a hash of the normalised line, ``print`` its SimHash over words. With ``sketches``, two halves ``low`` and
-    ``high`` of its word sketch come in place of ``print``. Rows with the same id and text count as one document.
+    ``key`` is a hash of the normalised line, ``print`` its SimHash over words. With ``sketches``, its word sketch (``sketch``) comes in
+    place of ``print``. Rows with the same id and text count as one document.
     """
-    kind = ["low", "high"] if sketches else ["print"]
+    kind = "sketch" if sketches else "print"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -99,12 +99,12 @@ def signatures(docs: DataFrame, sketches: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([
                         part.column(0).take(at), part.column(1).take(at), pa.array(numbers, pa.int32()),
                         pa.array(np.array(keys, dtype=np.uint64).view(np.int64)),
-                        *map(pa.array, _sketches(found, hashes) if sketches else [_simhashes(found, hashes)]),
+                        pa.array(_sketches(found, hashes) if sketches else _simhashes(found, hashes)),
                         pa.array([len(x) for x in found], pa.int32()),
-                    ], names=["doc_id", "text_hash", "line", "key", *kind, "words"])
+                    ], names=["doc_id", "text_hash", "line", "key", kind, "words"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return map_rows(rows, work, f"doc_id long, text_hash long, line int, key long, {' long, '.join(kind)} long, words int")
+    return map_rows(rows, work, f"doc_id long, text_hash long, line int, key long, {kind} {'binary' if sketches else 'long'}, words int")
 
 
 def _block_keys(fingerprint: Column) -> Column:
@@ -388,12 +388,20 @@ def _shared(columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(gram[several]), pa.array(key[several])], names=["gram", "key"])
 
 
-def _may_match(x, y, words: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+def _bits(sketches: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), dtype=np.uint64).reshape(-1, SKETCH_BITS // 64)
+
+
+def _may_match(x, y, words: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Whether sizes and word sketches allow a similarity of ``SIMILARITY``: an edit changes the length by at most one
-    word and the sketch by at most two bits."""
+    word and the sketch by at most two bits. ``y`` is an array of rows."""
     allowed = _edits(np.maximum(words[x], words[y]))
-    differing = np.bitwise_count((low[x] ^ low[y]).view(np.uint64)) + np.bitwise_count((high[x] ^ high[y]).view(np.uint64))
-    return (np.abs(words[x] - words[y]) <= allowed) & (differing <= 2 * allowed)
+    found = np.abs(words[x] - words[y]) <= allowed
+    at = np.flatnonzero(found)
+    for part in np.array_split(at, len(at) // 65_536 + 1):
+        other = x[part] if isinstance(x, np.ndarray) else x
+        found[part] = np.bitwise_count(bits[other] ^ bits[y[part]]).sum(axis=1, dtype=np.int64) <= 2 * allowed[part]
+    return found
 
 
 def _reach(left: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
@@ -412,20 +420,20 @@ def _reach(left: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> I
 
 def _candidates(columns: list[np.ndarray]) -> pa.RecordBatch:
     """A spanning forest of the pairs of keys that share a gram and may match."""
-    gram, key, words, low, high = columns
-    words = words.astype(np.int64)
+    gram, key, words, bits = columns
+    words, bits = words.astype(np.int64), _bits(bits)
     starts, sizes = _runs(gram)
     left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     small = np.repeat(sizes <= 32, sizes)
     at, step = np.flatnonzero(small), 1
     while len(at := at[at < len(gram) - step]):
         at = at[gram[at] == gram[at + step]]
-        near = at[_may_match(at, at + step, words, low, high)]
+        near = at[_may_match(at, at + step, words, bits)]
         left.append(key[near])
         right.append(key[near + step])
         step += 1
     for start, size in zip(starts[sizes > 32].tolist(), sizes[sizes > 32].tolist(), strict=True):
-        for x, hit in _reach(np.arange(start, start + size), lambda x, rest: _may_match(x, rest, words, low, high)):
+        for x, hit in _reach(np.arange(start, start + size), lambda x, rest: _may_match(x, rest, words, bits)):
             left.append(np.full(len(hit), key[x]))
             right.append(key[hit])
     kept = _forest(np.concatenate(left), np.concatenate(right))
@@ -462,14 +470,14 @@ def _verified(columns: list[np.ndarray]) -> pa.RecordBatch:
 
     Every line of a candidate component is compared with all that may match it and are not linked to it already.
     """
-    component, key, words, low, high, codes = columns
-    words = words.astype(np.int64)
+    component, key, words, bits, codes = columns
+    words, bits = words.astype(np.int64), _bits(bits)
     keys, groups = [], []
     for start, size in zip(*map(np.ndarray.tolist, _runs(component)), strict=True):
         texts = {i: np.frombuffer(codes[i], dtype=np.uint32).tolist() for i in range(start, start + size)}
 
         def near(x: int, rest: np.ndarray, texts: dict = texts) -> np.ndarray:
-            hit = _may_match(x, rest, words, low, high)
+            hit = _may_match(x, rest, words, bits)
             for i in np.flatnonzero(hit).tolist():
                 y = int(rest[i])
                 hit[i] = edit_distance(texts[x], texts[y]) <= max(len(texts[x]), len(texts[y])) // 5
@@ -488,13 +496,13 @@ def _verified(columns: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(component, key, words, low, high, codes) of the wanted lines of each text, codes being a 32-bit hash of each word."""
+    """(component, key, words, sketch, codes) of the wanted lines of each text, codes being a 32-bit hash of each word."""
     import xxhash
 
-    names = ["component", "key", "words", "low", "high"]
+    names = ["component", "key", "words", "sketch"]
 
     def flush(out: list[dict], codes: list[bytes]) -> pa.RecordBatch:
-        columns = [pa.array([x[n] for x in out], pa.int32() if n == "words" else pa.int64()) for n in names]
+        columns = [pa.array([x[n] for x in out], {"words": pa.int32(), "sketch": pa.binary()}.get(n, pa.int64())) for n in names]
         return pa.RecordBatch.from_arrays([*columns, pa.array(codes, pa.binary())], names=[*names, "codes"])
 
     for batch in batches:
@@ -522,24 +530,26 @@ def whole_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """
     nodes = staged(
         lines.where(F.col("words") >= WHOLE_WORDS).groupBy("key")
-        .agg(F.max("words").alias("words"), F.max("low").alias("low"), F.max("high").alias("high"), F.min(F.struct("doc_id", "text_hash", "line")).alias("first")),
+        .agg(F.max("words").alias("words"), F.max("sketch").alias("sketch"), F.min(F.struct("doc_id", "text_hash", "line")).alias("first")),
         "lines",
     )
     rows = _gram_rows(docs, _common_grams(docs)).repartition(F.col("gram")).sortWithinPartitions("gram", "key")
     shared = staged(rows.mapInArrow(_by_run(_shared), "gram long, key long"), "line-grams")
-    known = shared.join(nodes.select("key", "words", "low", "high"), "key").select("gram", "key", "words", "low", "high")
+    known = shared.join(nodes.select("key", "words", "sketch"), "key").select("gram", "key", "words", "sketch")
     dealt = known.repartition(F.col("gram")).sortWithinPartitions("gram", "key")
     links = staged(dealt.mapInArrow(_by_run(_candidates), "u long, v long"), "line-links")
     alike = connected_components(links).select(F.col("node").alias("key"), "component")
     member = nodes.join(alike, "key")
     wanted = (  # the lines of a document that are to be compared travel as one list, so its text is split once
         member.groupBy("first.doc_id", "first.text_hash")
-        .agg(F.collect_list(F.struct("first.line", "component", "key", "words", "low", "high")).alias("lines")).alias("m")
+        .agg(F.collect_list(F.struct("first.line", "component", "key", "words", "sketch")).alias("lines")).alias("m")
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").dropDuplicates(["doc_id", "text_hash"]).alias("d")
     own = F.col("m.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("m.text_hash") == F.col("d.text_hash"))
-    coded = map_rows(texts.join(wanted, own).select("text", "lines"), _coded, "component long, key long, words int, low long, high long, codes binary")
-    dealt = coded.repartition(F.col("component")).sortWithinPartitions("component", "key")
+    coded = map_rows(texts.join(wanted, own).select("text", "lines"), _coded, "component long, key long, words int, sketch binary, codes binary")
+    # An explicit number, as comparing takes long for its bytes and tasks of few bytes would be put together.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = coded.repartition(tasks, "component").sortWithinPartitions("component", "key")
     return staged(map_rows(dealt, _by_run(_verified), "key long, group long"), "line-groups")
 
 
