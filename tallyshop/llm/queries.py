@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyshop.llm import chat, forest, html_text, lines, packing, pieces, quality, rules, shards, simhash, toxicity, whitening
+from tallyshop.llm import chat, forest, html_text, lines, packing, pieces, quality, rules, shards, simhash, toxicity, trie, whitening
 from tallyshop.llm.common import remainder
 
 
@@ -86,6 +86,10 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed_digest(packing.pack(_table(spark, folder, "documents"), _tokenizer()))
 
 
+def op11_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.build_respliced(_table(spark, folder, "conversations"))
+
+
 def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(_table(spark, folder, "embeddings"))
 
@@ -96,9 +100,9 @@ def op13_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """name -> (spark, folder) -> DataFrame."""
-    return {"op1_simhash": op1_simhash, "op2_html": op2_html, "op3_chat": op3_chat, "op4_forest": op4_forest, "op5_quality": op5_quality, "op6_pieces": op6_pieces, "op7_rules": op7_rules, "op8_toxicity": op8_toxicity, "op9_lines": op9_lines, "op10_packing": op10_packing, "op12_whitening": op12_whitening, "op13_sharding": op13_sharding}
+    return {"op1_simhash": op1_simhash, "op2_html": op2_html, "op3_chat": op3_chat, "op4_forest": op4_forest, "op5_quality": op5_quality, "op6_pieces": op6_pieces, "op7_rules": op7_rules, "op8_toxicity": op8_toxicity, "op9_lines": op9_lines, "op10_packing": op10_packing, "op11_trie": op11_trie, "op12_whitening": op12_whitening, "op13_sharding": op13_sharding}
 
 
 def llm_oracles() -> dict[str, str]:
     """DuckDB twins of the queries that SQL can express."""
-    return {"op3_chat": chat.ORACLE, "op13_sharding": shards.ORACLE}
+    return {"op3_chat": chat.ORACLE, "op11_trie": trie.ORACLE, "op13_sharding": shards.ORACLE}
