@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyshop.functions.columns import flag, shown
-from tallyshop.operators import customers, features, forecast, models
+from tallyshop.operators import customers, features, forecast, models, recursion
 from tallyshop.operators.marts import customer_base
 from tallyshop.plans.registry import query
 from tallyshop.session import materialise
@@ -103,7 +103,7 @@ def _(cat):
     return shown(models.best_blend(scale, list(bases), "y")).withColumn("chosen", flag(F.col("chosen")))
 
 
-@query("recursive_forecast")
+@query("block_forecast")
 def _(cat):
     series = _series(cat)
     rows = models.training_rows(models.forecast_frame(series, "revenue"))
@@ -112,6 +112,37 @@ def _(cat):
     return shown(forecast.spike_clip(predicted, series, "revenue", factor=1.2))
 
 
+def _day_by_day(cat):
+    """Series, and their forecasts by a boosted model that sees the forecasts of earlier days."""
+    series = _series(cat)
+    known = models.known_ahead()
+    rows = materialise(features.recency_weights(recursion.training_frame(series, "revenue", known)))
+    names = [*recursion.PAST, *known]
+    model = models.pipeline(models.gbt(), names).fit(rows)
+    predicted = recursion.recursive_forecast(series, forecast.horizon(series, HORIZON), "revenue", model, names, known)
+    return series, materialise(forecast.spike_clip(predicted, series, "revenue", factor=1.2))
+
+
+@query("recursive_forecast")
+def _(cat):
+    return shown(_day_by_day(cat)[1])
+
+
+@query(
+    "recursive_forecast_calendar",
+    f"""SELECT series_id, cast(max(date) + interval 1 day AS date) AS first_day, cast(max(date) + interval {HORIZON} day AS date) AS last_day, cast({HORIZON} AS bigint) AS days,
+               cast({HORIZON} AS bigint) AS distinct_days, cast({HORIZON} AS bigint) AS within_bounds, cast(0 AS bigint) AS unknown FROM m_series GROUP BY series_id""",
+)
+def _(cat):
+    """Calendar, row count and bounds of the day-by-day forecast."""
+    series, found = _day_by_day(cat)
+    caps = series.groupBy("series_id").agg((F.percentile("revenue", F.lit(0.95)) * 1.2).alias("cap"))
+    return found.join(caps, "series_id").groupBy("series_id").agg(
+        F.min("date").alias("first_day"), F.max("date").alias("last_day"), F.count("*").alias("days"), F.count_distinct("date").alias("distinct_days"),
+        F.count_if((F.col("forecast") >= 0) & (F.col("forecast") <= F.col("cap"))).alias("within_bounds"), F.count_if(F.col("forecast").isNull()).alias("unknown"),
+    )
+
+
 @query("direct_year_ahead_forecast")
 def _(cat):
     series = _series(cat)
