@@ -44,7 +44,7 @@ def ks_normal(df: DataFrame, column: str) -> DataFrame:
 
 
 def pearson(df: DataFrame, x: Column | str, y: Column | str) -> DataFrame:
-    """Pearson correlation with its t statistic and approximate p-value."""
+    """Pearson correlation with its t statistic and two-sided p-value."""
     both = dbl(x).isNotNull() & dbl(y).isNotNull()
     agg = df.agg(count_if(both).alias("n"), F.corr(dbl(x), dbl(y)).alias("r"))
     return agg.select("n", "r", correlation_t("r", "n").alias("t"), correlation_p("r", "n").alias("p_value"))
@@ -146,9 +146,9 @@ def kruskal_wallis(df: DataFrame, value: str, group: str) -> DataFrame:
     )
 
 
-def kruskal_p_value(result: DataFrame, groups: int) -> DataFrame:
-    """Adds the p-value of H for a known number of groups."""
-    return result.withColumn("p_value", chi_square_sf("H", groups - 1))
+def kruskal_p_value(result: DataFrame) -> DataFrame:
+    """Adds the p-value of H: chi-square with one degree of freedom less than there are groups."""
+    return result.withColumn("p_value", chi_square_sf("H", F.col("groups") - 1))
 
 
 def dunn_posthoc(df: DataFrame, value: str, group: str) -> DataFrame:

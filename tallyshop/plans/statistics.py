@@ -1,11 +1,8 @@
 """Queries for statistics and baskets."""
 
-import math
-
 from pyspark.sql import functions as F
 
 from tallyshop.functions.columns import dbl, shown
-from tallyshop.functions.distributions import _ERFC_A, _ERFC_P
 from tallyshop.operators import baskets, customers
 from tallyshop.operators import daily as daily_op
 from tallyshop.operators import statistics as op
@@ -16,14 +13,29 @@ from tallyshop.sources.tables import Catalog
 
 
 
-def _erfc(x: str) -> str:
-    """Oracle text of the same polynomial the library uses for erfc (arguments of at least zero)."""
-    poly = "0.0::double"
-    for a in reversed(_ERFC_A):
-        poly = f"(({poly} + {a}::double) / (1 + {_ERFC_P}::double * ({x})))"
-    return f"({poly} * exp(-({x}) * ({x})))"
+def _simpson(density: str, upper: str) -> str:
+    """Oracle text of the integral of ``density`` (of u) from 0 to ``upper``, by Simpson's rule over 4,000 steps."""
+    weight = "CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    cell = density.replace("{u}", f"(i * ({upper}) / 4000.0::double)")
+    return f"(list_sum(list_transform(range(4001), lambda i: {weight} * ({cell}))) * ({upper}) / 12000.0::double)"
+
+
+def _normal_p(z: str) -> str:
+    """Two-sided normal tail."""
+    return f"greatest(1 - 2 / sqrt(2 * pi()) * {_simpson('exp(-{u} * {u} / 2)', f'abs({z})')}, 0)"
+
+
+def _student_p(t: str, v: str) -> str:
+    """Two-sided tail of Student's t."""
+    constant = f"exp(lgamma(({v} + 1) / 2.0::double) - lgamma({v} / 2.0::double)) / sqrt({v} * pi())"
+    return f"greatest(1 - 2 * {constant} * {_simpson(f'pow(1 + {{u}} * {{u}} / {v}, -({v} + 1) / 2.0::double)', f'abs({t})')}, 0)"
 
 
+def _chi_square_p(x: str, k: str) -> str:
+    """Upper tail of chi-square, integrated over the square root."""
+    constant = f"exp((1 - {k} / 2.0::double) * ln(2.0::double) - lgamma({k} / 2.0::double))"
+    return f"greatest(1 - {constant} * {_simpson(f'pow({{u}}, {k} - 1) * exp(-{{u}} * {{u}} / 2)', f'sqrt({x})')}, 0)"
+
 
 @query(
     "moments",
@@ -71,13 +83,22 @@ def _(cat):
 
 @query(
     "correlation_p_values",
-    f"""SELECT n, {r6('r')} AS r, {r6('r * sqrt((n - 2) / (1 - r * r))')} AS t, {r6(_erfc('abs(atanh(r) * sqrt(n - 3)) / sqrt(2)'))} AS p_value
-        FROM (SELECT count(*) AS n, corr(cast(payment_value AS double), cast(installments AS double)) AS r FROM r_payments) x""",
+    f"""SELECT n, {r6('r')} AS r, {r6('t')} AS t, {r6(_student_p('t', '(n - 2)'))} AS p_value FROM (SELECT n, r, r * sqrt((n - 2) / (1 - r * r)) AS t
+        FROM (SELECT count(*) AS n, corr(cast(payment_value AS double), cast(installments AS double)) AS r FROM r_payments) x) y""",
 )
 def _(cat):
     return shown(op.pearson(cat.payments, "payment_value", "installments"))
 
 
+@query(
+    "spearman_p_values",
+    f"""SELECT n, {r6('r')} AS r, {r6('t')} AS t, {r6(_student_p('t', '(n - 2)'))} AS p_value FROM (SELECT n, r, r * sqrt((n - 2) / (1 - r * r)) AS t
+        FROM (SELECT count(*) AS n, corr(a, b) AS r FROM (SELECT {_RANK.format(c='quantity')} AS a, {_RANK.format(c='unit_price')} AS b FROM r_order_items) x) y) z""",
+)
+def _(cat):
+    return shown(op.spearman(cat.order_items, "quantity", "unit_price"))
+
+
 _FEATURES = ["order_id", "customer_id", "order_status_delivered", "order_status_cancelled", "device_type_mobile", "order_source_direct", "Revenue", "COGS", "delivered_share"]
 ORACLE_MARTS["m_feature_days"] = """SELECT o.*, order_status_delivered / cast(greatest(order_id, 1) AS double) AS delivered_share, coalesce("Revenue", 0) AS "Revenue", coalesce("COGS", 0) AS "COGS" FROM m_daily_orders o
   LEFT JOIN (SELECT Date AS date, cast(Revenue AS double) AS "Revenue", cast(COGS AS double) AS "COGS" FROM r_sales) s USING (date)"""
@@ -138,10 +159,6 @@ def _kruskal(group: str, extra: str = "") -> str:
              CASE WHEN (h - k + 1) / (n - k) >= 0.16 THEN 'large' WHEN (h - k + 1) / (n - k) >= 0.04 THEN 'medium' ELSE 'small' END AS level{extra} FROM c"""
 
 
-# p-value of H for six groups, i.e. five degrees of freedom
-_FIVE = r6(f"{_erfc('sqrt(h / 2)')} + exp(-h / 2) * (pow(h / 2, 0.5) / {math.gamma(1.5)!r}::double + pow(h / 2, 1.5) / {math.gamma(2.5)!r}::double)")
-
-
 @query("kruskal_price_by_category", _kruskal("category"))
 def _(cat):
     return shown(op.kruskal_wallis(cat.products, "price", "category"))
@@ -152,9 +169,17 @@ def _(cat):
     return shown(op.kruskal_wallis(cat.products, "price", "segment"))
 
 
-@query("kruskal_p_value", _kruskal("category", f", {_FIVE} AS p_value"))
+_KRUSKAL_P = f", {r6(_chi_square_p('h', '(k - 1)'))} AS p_value"
+
+
+@query("kruskal_p_value", _kruskal("category", _KRUSKAL_P))
+def _(cat):
+    return shown(op.kruskal_p_value(op.kruskal_wallis(cat.products, "price", "category")))
+
+
+@query("kruskal_p_value_by_segment", _kruskal("segment", _KRUSKAL_P))
 def _(cat):
-    return shown(op.kruskal_p_value(op.kruskal_wallis(cat.products, "price", "category"), 6))
+    return shown(op.kruskal_p_value(op.kruskal_wallis(cat.products, "price", "segment")))
 
 
 def _dunn(extra: str = "") -> str:
@@ -171,7 +196,7 @@ def _(cat):
     return shown(op.dunn_posthoc(cat.products, "price", "category").drop("p_bonferroni"))
 
 
-@query("dunn_p_values", _dunn(f", {r6('least(1.0::double, ' + _erfc('abs(z) / sqrt(2)') + ' * pairs)')} AS p_bonferroni"))
+@query("dunn_p_values", _dunn(f", {r6('least(1.0::double, ' + _normal_p('z') + ' * pairs)')} AS p_bonferroni"))
 def _(cat):
     return shown(op.dunn_posthoc(cat.products, "price", "category"))
 
