@@ -37,7 +37,7 @@ def chi_even(x, k):
     for i in range(1, k // 2):
         term *= x / 2 / i
         total += term
-    return math.exp(-x / 2) * total
+    return math.exp(math.log(total) - x / 2)
 
 
 def student_closed(t, v):
