@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallyshop.functions.columns import col, dbl
 
 # Terms of the gamma series and fraction, and of the beta fraction. They converge like the square root of the larger parameter.
-GAMMA_TERMS, BETA_TERMS = 600, 300
+GAMMA_TERMS, BETA_TERMS = 1300, 300
 # From SHIFT on Stirling's series gives 1e-15; beyond LARGE the tails are taken from the normal distribution.
 SHIFT, LARGE = 10, 20_000.0
 TINY = 1e-300
@@ -52,7 +52,7 @@ def _fraction(terms: int, start: list[Column], step) -> Column:
 def gamma_q(a: Column | str, x: Column | str) -> Column:
     """Upper regularised incomplete gamma function Q(a, x) for a > 0; 1 for x <= 0.
 
-    The series of P below a + 1, the continued fraction of Q above, each with 600 terms, which do for a up to 20,000;
+    The series of P below a + 1, the continued fraction of Q above, each with 1,300 terms, which do for a up to 20,000;
     beyond, the Wilson-Hilferty normal, whose error there is below 1e-6.
     """
     a, x = dbl(a), dbl(x)
