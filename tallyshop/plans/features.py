@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyshop.functions import calendar as cal
 from tallyshop.functions.columns import dbl, shown
+from tallyshop.operators import decomposition
 from tallyshop.operators import features as op
 from tallyshop.operators.daily import daily_inventory
 from tallyshop.plans.daily import SPEC
@@ -361,3 +362,22 @@ def _(cat):
     return cat.sales.select("Revenue", F.inline(grains)).groupBy("grain", "bucket").agg(
         F.count("*").alias("days"), mean_exact("Revenue").alias("avg_revenue"), r6_col(F.median(dbl("Revenue"))).alias("median_revenue")
     )  # one row per calendar day goes in
+
+
+@query("stl_strengths")
+def _(cat):
+    return shown(decomposition.strengths(decomposition.decompose(op.daily_series(cat), "revenue")))
+
+
+@query(
+    "stl_calendar",
+    f"""SELECT series_id, min(date) AS first_day, max(date) AS last_day, count(*) AS days, {r6('avg(revenue)')} AS mean_value, {r6('avg(revenue)')} AS mean_of_parts, count(*) AS days_that_add_up FROM m_series GROUP BY series_id""",
+)
+def _(cat):
+    """The decomposition covers the calendar, and its parts add up to the series."""
+    parts = decomposition.decompose(op.daily_series(cat), "revenue")
+    total = F.col("trend") + F.col("seasonal") + F.col("residual")
+    return shown(parts.groupBy("series_id").agg(
+        F.min("date").alias("first_day"), F.max("date").alias("last_day"), F.count("*").alias("days"), F.avg("value").alias("mean_value"),
+        F.avg(total).alias("mean_of_parts"), F.count_if(F.abs(total - F.col("value")) < 1e-6).alias("days_that_add_up"),
+    ))
