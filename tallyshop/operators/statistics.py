@@ -70,23 +70,37 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return agg.select("n", "r", correlation_t("r", "n").alias("t"), correlation_p("r", "n").alias("p_value"))
 
 
+def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
+    """Names of the numeric columns of a table, sorted."""
+    numeric = ("byte", "short", "integer", "long", "float", "double", "decimal")
+    return sorted(f.name for f in df.schema.fields if f.name not in exclude and f.dataType.typeName().split("(")[0] in numeric)
+
+
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """Correlation of every pair of columns; the matrix is columns × columns, whatever the rows.
 
-    Constant columns give NULL.
+    Columns are standardised first, so that large means cost no digits. Rows with a null in any column are left out;
+    constant columns give NULL.
     """
-    vectors = VectorAssembler(inputCols=columns, outputCol="v", handleInvalid="skip").transform(
-        df.select(*[dbl(c).alias(c) for c in columns])
-    )
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+    rows = df.select(*[dbl(c).alias(c) for c in columns]).dropna()
+    stats = {
+        r["column"]: r
+        for r in long_values(rows, columns).groupBy("column").agg(
+            F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), (F.min("value") < F.max("value")).alias("moves")
+        ).collect()
+    }  # one row per column
+    moving = [c for c in columns if c in stats and stats[c]["moves"]]
+    place = {c: i for i, c in enumerate(moving)}
+    if moving:
+        scaled = rows.select(*[((F.col(c) - stats[c]["mean"]) / stats[c]["std"]).alias(c) for c in moving])
+        vectors = VectorAssembler(inputCols=moving, outputCol="_vector").transform(scaled)
+        matrix = Correlation.corr(vectors, "_vector").first()[0].toArray()
     pairs = [
-        (a, b, float(matrix[i, j]))
+        (a, b, float(matrix[place[a], place[b]]) if a in place and b in place else None)
         for i, a in enumerate(columns)
-        for j, b in enumerate(columns)
-        if i < j
+        for b in columns[i + 1 :]
     ]
-    out = df.sparkSession.createDataFrame(pairs, "feature_a string, feature_b string, r double")
-    return out.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
+    return df.sparkSession.createDataFrame(pairs, "feature_a string, feature_b string, r double")
 
 
 def top_pairs(pairs: DataFrame, k: int = 20, positive: bool = True) -> DataFrame:
@@ -197,7 +211,7 @@ def chi_square(df: DataFrame, row: str, column: str) -> DataFrame:
 def binned_mutual_information(df: DataFrame, features: list[str], target: Column, bins: int = 8) -> DataFrame:
     """Mutual information (nats) of each feature with a target, both in equal-frequency bins.
 
-    Edges are exact percentiles, bins are closed on the right; only bin counts are shuffled.
+    Edges are exact percentiles, bins are closed on the right; only bin counts are shuffled. A null leaves its feature's row out.
     """
     probabilities = [i / bins for i in range(1, bins)]
     data = df.select(*[dbl(f).alias(f) for f in features], dbl(target).alias("_target"))
@@ -213,10 +227,8 @@ def binned_mutual_information(df: DataFrame, features: list[str], target: Column
     def bin_of(value: str, inner: str) -> Column:
         return F.size(F.filter(inner, lambda e: e < F.col(value)))
 
-    rows = data.dropna().select(
-        F.col("_target").alias("y_value"),
-        F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x_value")) for f in features])),
-    )
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x_value")) for f in features])
+    rows = data.select(F.col("_target").alias("y_value"), F.inline(pairs)).where("x_value IS NOT NULL AND y_value IS NOT NULL")
     binned = rows.join(F.broadcast(table), "feature").select(
         "feature", bin_of("x_value", "x_edges").alias("x"), bin_of("y_value", "y_edges").alias("y")
     )

@@ -6,6 +6,7 @@ from tallyshop.functions.columns import shown, slug
 from tallyshop.operators import daily as op
 from tallyshop.operators import models
 from tallyshop.plans.registry import ORACLE_MARTS, big, money, query, r6
+from tallyshop.session import materialise
 
 SPEC = op.DailySpec(
     "1995-01-01", "2001-12-31",
@@ -157,6 +158,37 @@ _FACTS = """SELECT * FROM m_daily_orders JOIN m_daily_payments USING (date) JOIN
 _PROCESSED = _FACTS + " JOIN m_daily_customers USING (date) JOIN m_daily_promotions USING (date) JOIN m_daily_inventory USING (date) JOIN m_daily_web USING (date)"
 
 
+ORACLE_MARTS["m_processed"] = _PROCESSED
+ORACLE_MARTS["m_daily_sales"] = "SELECT date, \"Revenue\", \"COGS\" FROM m_processed"
+# Every column of the daily table as (date, f, v) rows; the names come from the table.
+ORACLE_MARTS["m_daily_values"] = """SELECT date, f, v FROM (
+  UNPIVOT (SELECT date, CAST(COLUMNS(* EXCLUDE (date)) AS DOUBLE) FROM m_processed) ON COLUMNS(* EXCLUDE (date)) INTO NAME f VALUE v) u"""
+
+# Sources of the daily table: the mart of the oracle, and a function from the catalogue to a table with the source's columns.
+SOURCES = {
+    "orders": ("m_daily_orders", lambda cat: op.orders_by_day(cat.orders, SPEC)),
+    "payments": ("m_daily_payments", lambda cat: op.payments_by_day(cat.orders, cat.payments, SPEC).select("date", "payment_value", "installments")),
+    "returns": ("m_daily_returns", lambda cat: op.returns_by_day(cat.returns)),
+    "shipments": ("m_daily_shipments", lambda cat: op.daily_shipments(cat, SPEC)),
+    "reviews": ("m_daily_reviews", lambda cat: op.reviews_by_day(cat.reviews, SPEC)),
+    "sales": ("m_daily_sales", lambda cat: cat.sales.select("Revenue", "COGS")),
+    "customers": ("m_daily_customers", lambda cat: op.daily_customers(cat, SPEC)),
+    "promotions": ("m_daily_promotions", lambda cat: op.daily_promotions(cat, SPEC)),
+    "inventory": ("m_daily_inventory", lambda cat: op.daily_inventory(cat, SPEC)),
+    "web": ("m_daily_web", lambda cat: op.daily_web(cat, SPEC)),
+}
+
+
+def source_columns(cat) -> dict[str, list[str]]:
+    """Columns of the daily table by source, taken from the sources' schemas."""
+    return {name: [c for c in build(cat).columns if c != "date"] for name, (_, build) in SOURCES.items()}
+
+
+def daily_table(cat):
+    """The daily table as the queries show it, computed once."""
+    return materialise(shown(op.processed_daily(op.promotions_in_use(cat), SPEC), EXACT))
+
+
 @query("processed_daily", _PROCESSED)
 def _(cat):
     return shown(op.processed_daily(op.promotions_in_use(cat), SPEC), EXACT)

@@ -4,8 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyshop.functions.columns import shown
 from tallyshop.operators import quality as op
-from tallyshop.operators.daily import on_spine, processed_daily, returns_by_day
-from tallyshop.plans.daily import SPEC
+from tallyshop.plans.daily import SOURCES, daily_table, source_columns
 from tallyshop.plans.registry import big, money, query, r6
 
 
@@ -369,25 +368,32 @@ def _(cat):
     return lines.groupBy("applicable_category").agg(F.count("*").alias("lines"))
 
 
-_GROUPS = {"returns": ["total_quantity_return", "total_refund_amount"]}
+def _long(mart: str) -> str:
+    """Oracle text: every column of a daily mart as (date, f, v) rows."""
+    return f"(SELECT * FROM (UNPIVOT (SELECT date, CAST(COLUMNS(* EXCLUDE (date)) AS DOUBLE) FROM {mart}) ON COLUMNS(* EXCLUDE (date)) INTO NAME f VALUE v) u)"
 
 
-@query(
-    "feature_group_quality",
-    f"""SELECT 'returns' AS feature_group, 2 AS columns, {r6('(count(*) FILTER (total_quantity_return = 0) + count(*) FILTER (total_refund_amount = 0)) / cast(2 * count(*) AS double) * 100')} AS zero_pct,
-               {r6('0')} AS null_pct FROM m_daily_returns""",
+_GROUP_QUALITY = _union(
+    f"""SELECT '{g}' AS feature_group, cast(count(DISTINCT f) AS int) AS columns, {r6('count(*) FILTER (v = 0) / cast(count(*) AS double) * 100')} AS zero_pct, {r6('0')} AS null_pct FROM {_long(t)} x"""
+    for g, (t, _) in SOURCES.items()
 )
+
+
+@query("feature_group_quality", _GROUP_QUALITY)
 def _(cat):
-    return op.feature_group_quality(on_spine(cat, SPEC, returns_by_day(cat.returns)), _GROUPS)
+    return op.feature_group_quality(daily_table(cat), source_columns(cat))
 
 
 @query(
     "feature_group_activity",
-    f"""SELECT last_day(date) AS month_end, {r6('count(*) FILTER (total_quantity_return <> 0 OR total_refund_amount <> 0) / cast(count(*) AS double) * 100')} AS returns
-        FROM m_daily_returns GROUP BY 1""",
+    "SELECT * FROM " + " JOIN ".join(
+        f"""(SELECT last_day(date) AS month_end, {r6('count(*) FILTER (a > 0) / cast(count(*) AS double) * 100')} AS {g} FROM (SELECT date, max(abs(v)) AS a FROM {_long(t)} x GROUP BY date) d GROUP BY 1) {g}_x"""
+        + (" USING (month_end)" if i else "")
+        for i, (g, (t, _)) in enumerate(SOURCES.items())
+    ),
 )
 def _(cat):
-    return op.feature_group_activity(on_spine(cat, SPEC, returns_by_day(cat.returns)), _GROUPS)
+    return op.feature_group_activity(daily_table(cat), source_columns(cat))
 
 
 @query(
@@ -420,20 +426,7 @@ def _(cat):
     return shown(op.box_summary(cat.products, "price", "category", "size"))
 
 
-_ALL_GROUPS = {
-    "orders": ("m_daily_orders", ["order_id", "customer_id"]), "payments": ("m_daily_payments", ["payment_value", "installments"]),
-    "returns": ("m_daily_returns", _GROUPS["returns"]), "promotions": ("m_daily_promotions", ["promo_flag", "avg_discount_value"]),
-    "inventory": ("m_daily_inventory", ["total_stock_on_hand", "avg_fill_rate"]), "web": ("m_daily_web", ["sessions", "page_views"]),
-}
-
-
-@query(
-    "feature_groups_of_daily_table",
-    _union(
-        f"""SELECT '{g}' AS feature_group, 2 AS columns, {r6(f'(count(*) FILTER ({a} = 0) + count(*) FILTER ({b} = 0)) / cast(2 * count(*) AS double) * 100')} AS zero_pct, {r6('0')} AS null_pct FROM {t}"""
-        for g, (t, (a, b)) in _ALL_GROUPS.items()
-    ),
-)
+@query("feature_groups_of_daily_table", _GROUP_QUALITY)
 def _(cat):
-    groups = {name: columns for name, (_, columns) in _ALL_GROUPS.items()}
-    return op.feature_group_quality(processed_daily(cat, SPEC), groups)
+    daily = daily_table(cat)
+    return op.feature_group_quality(daily, source_columns(cat))

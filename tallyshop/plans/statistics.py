@@ -1,14 +1,11 @@
 """Queries for statistics and baskets."""
 
-from pyspark.sql import functions as F
-
-from tallyshop.functions.columns import dbl, shown
-from tallyshop.operators import baskets, customers
-from tallyshop.operators import daily as daily_op
+from tallyshop.functions.columns import shown
+from tallyshop.operators import baskets, customers, information, models
 from tallyshop.operators import statistics as op
 from tallyshop.operators.marts import modal_value
-from tallyshop.plans.daily import SPEC
-from tallyshop.plans.registry import ORACLE_MARTS, query, r6
+from tallyshop.plans.daily import daily_table
+from tallyshop.plans.registry import query, r6
 from tallyshop.sources.tables import Catalog
 
 
@@ -99,37 +96,28 @@ def _(cat):
     return shown(op.spearman(cat.order_items, "quantity", "unit_price"))
 
 
-_FEATURES = ["order_id", "customer_id", "order_status_delivered", "order_status_cancelled", "device_type_mobile", "order_source_direct", "Revenue", "COGS", "delivered_share"]
-ORACLE_MARTS["m_feature_days"] = """SELECT o.*, order_status_delivered / cast(greatest(order_id, 1) AS double) AS delivered_share, coalesce("Revenue", 0) AS "Revenue", coalesce("COGS", 0) AS "COGS" FROM m_daily_orders o
-  LEFT JOIN (SELECT Date AS date, cast(Revenue AS double) AS "Revenue", cast(COGS AS double) AS "COGS" FROM r_sales) s USING (date)"""
-
+_PAIRS = f"""SELECT a.f AS feature_a, b.f AS feature_b, CASE WHEN min(a.v) < max(a.v) AND min(b.v) < max(b.v) THEN {r6('corr(a.v, b.v)')} END AS r
+    FROM m_daily_values a JOIN m_daily_values b ON a.date = b.date AND a.f < b.f WHERE a.f <> 'is_web_data_simulated' AND b.f <> 'is_web_data_simulated' GROUP BY a.f, b.f"""
 
-def _feature_days(cat: Catalog):
-    sales = cat.sales.select(F.col("Date").alias("date"), dbl("Revenue").alias("Revenue"), dbl("COGS").alias("COGS"))
-    days = daily_op.on_spine(cat, SPEC, daily_op.orders_by_day(cat.orders, SPEC), sales)
-    return days.withColumn("delivered_share", dbl("order_status_delivered") / F.greatest("order_id", F.lit(1)))
 
-
-_PAIRS = " UNION ALL ".join(
-    f"""SELECT '{a}' AS feature_a, '{b}' AS feature_b, {r6(f'corr(cast("{a}" AS double), cast("{b}" AS double))')} AS r FROM m_feature_days"""
-    for i, a in enumerate(_FEATURES)
-    for b in _FEATURES[i + 1:]
-)
+def _pairs(cat: Catalog):
+    daily = daily_table(cat)
+    return shown(op.correlation_pairs(daily, op.numeric_columns(daily, ("is_web_data_simulated",))))
 
 
 @query("feature_correlations", _PAIRS)
 def _(cat):
-    return shown(op.correlation_pairs(_feature_days(cat), _FEATURES))
+    return _pairs(cat)
 
 
 @query("top_positive_pairs", f"SELECT * FROM ({_PAIRS}) p WHERE r > 0 ORDER BY r DESC, feature_a, feature_b LIMIT 20")
 def _(cat):
-    return op.top_pairs(shown(op.correlation_pairs(_feature_days(cat), _FEATURES)))
+    return op.top_pairs(_pairs(cat))
 
 
 @query("top_negative_pairs", f"SELECT * FROM ({_PAIRS}) p WHERE r < 0 ORDER BY r, feature_a, feature_b LIMIT 20")
 def _(cat):
-    return op.top_pairs(shown(op.correlation_pairs(_feature_days(cat), _FEATURES)), positive=False)
+    return op.top_pairs(_pairs(cat), positive=False)
 
 
 @query(
@@ -212,11 +200,12 @@ def _(cat):
     return shown(op.chi_square(last.join(customers.segments(cat), "customer_id"), "delivery_days", "segment"))
 
 
-_MI_FEATURES = ["order_id", "customer_id", "order_status_delivered", "device_type_mobile"]
+_ERA = "1999-01-01"
 
 
 def _mi(where: str) -> str:
-    cells = " UNION ALL ".join(f"""SELECT '{f}' AS f, cast("{f}" AS double) AS v, ln(1 + "Revenue") AS y FROM m_feature_days WHERE {where}""" for f in _MI_FEATURES)
+    barred = ", ".join(f"'{c}'" for c in models.LEAKY_COLUMNS)
+    cells = f"""SELECT f, v, ln(1 + greatest("Revenue", 0)) AS y FROM m_daily_values JOIN (SELECT date, "Revenue" FROM m_processed) t USING (date) WHERE f NOT IN ({barred}) AND {where}"""
     probabilities = "[0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]"
     return f"""(SELECT f, sum(n / tot * ln(n * tot / (nx * ny))) AS mi FROM (
        SELECT f, cast(n AS double) AS n, cast(sum(n) OVER (PARTITION BY f) AS double) AS tot, cast(sum(n) OVER (PARTITION BY f, xb) AS double) AS nx, cast(sum(n) OVER (PARTITION BY f, yb) AS double) AS ny
@@ -228,10 +217,17 @@ def _mi(where: str) -> str:
     "mutual_information",
     f"""SELECT a.f AS feature, {r6('a.mi')} AS mi_full, {r6('b.mi')} AS mi_era, {r6('b.mi - a.mi')} AS delta, row_number() OVER (ORDER BY round(a.mi, 9) DESC, a.f) AS rank_full,
                row_number() OVER (ORDER BY round(b.mi, 9) DESC, a.f) AS rank_era, CASE WHEN a.mi < 0.01 AND b.mi < 0.01 THEN 1 ELSE 0 END AS useless
-        FROM {_mi('true')} a JOIN {_mi("date >= date '1999-01-01'")} b ON a.f = b.f""",
+        FROM {_mi('true')} a JOIN {_mi(f"date >= date '{_ERA}'")} b ON a.f = b.f""",
 )
 def _(cat):
-    return shown(op.mutual_information(_feature_days(cat), _MI_FEATURES, "Revenue", "1999-01-01"))
+    daily = daily_table(cat)
+    return shown(op.mutual_information(daily, op.numeric_columns(daily, models.LEAKY_COLUMNS), "Revenue", _ERA))
+
+
+@query("mutual_information_neighbours")
+def _(cat):
+    daily = daily_table(cat)
+    return shown(information.feature_ranking(daily, op.numeric_columns(daily, models.LEAKY_COLUMNS), "Revenue", _ERA))
 
 
 # --- baskets -------------------------------------------------------------------------------------
