@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from itertools import combinations
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -344,84 +343,6 @@ def cascade(series: DataFrame, revenue_oof: DataFrame, folds: int = 5) -> tuple[
     return stacking(rows, features, bases, folds, meta=ridge(weighted=False))
 
 
-# --- blends ----------------------------------------------------------------------------------------
-
-
-def nonnegative_weights(rows: DataFrame, columns: list[str], target: str, intercept: bool = False) -> list[float]:
-    """Least squares with weights of at least zero.
-
-    Only the Gram matrix (columns × columns sums) reaches the driver; with few columns every
-    support set is solved and the best feasible one kept, which is exact.
-    """
-    names = [*columns, *(["_one"] if intercept else [])]
-    data = rows.withColumn("_one", F.lit(1.0)) if intercept else rows
-    k = len(names)
-    cells = [F.sum(F.col(names[i]) * F.col(names[j])) for i in range(k) for j in range(i, k)]
-    right = [F.sum(F.col(n) * F.col(target)) for n in names]
-    sums = list(data.agg(*[c.alias(f"c{i}") for i, c in enumerate([*cells, *right])]).first())
-    gram, at = np.zeros((k, k)), 0
-    for i in range(k):
-        for j in range(i, k):
-            gram[i, j] = gram[j, i] = sums[at]
-            at += 1
-    b = np.array(sums[at:], dtype=float)
-    best, best_loss = np.zeros(k), 0.0
-    for size in range(1, k + 1):
-        for chosen in combinations(range(k), size):
-            w = np.zeros(k)
-            w[list(chosen)] = np.linalg.lstsq(gram[np.ix_(chosen, chosen)], b[list(chosen)], rcond=None)[0]
-            loss = float(w @ gram @ w - 2 * w @ b)
-            if (w >= -1e-12).all() and loss < best_loss:
-                best, best_loss = np.maximum(w, 0.0), loss
-    return [float(v) for v in best]
-
-
-def simplex_grid(columns: int, step: float = 0.05) -> list[tuple[float, ...]]:
-    """All weight vectors that add up to 1 on a grid."""
-    parts = round(1 / step)
-
-    def fill(left: int, slots: int):
-        if slots == 1:
-            yield (left,)
-            return
-        for first in range(left + 1):
-            for rest in fill(left - first, slots - 1):
-                yield (first, *rest)
-
-    return [tuple(v * step for v in point) for point in fill(parts, columns)]
-
-
-def mae_of_weights(rows: DataFrame, columns: list[str], target: str, candidates: list[tuple[float, ...]]) -> list[float]:
-    """Mean absolute error of each weight vector, all of them in one pass."""
-    def loss(weights):
-        mixed = sum((F.col(c) * w for c, w in zip(columns, weights)), F.lit(0.0))
-        return F.avg(F.abs(F.col(target) - mixed))
-
-    scores: list[float] = []
-    for start in range(0, len(candidates), 100):  # keeps generated code within JVM method limits
-        part = candidates[start:start + 100]
-        scores += list(rows.agg(*[loss(w).alias(f"w{i}") for i, w in enumerate(part)]).first())
-    return [float(s) for s in scores]
-
-
-def best_blend(rows: DataFrame, columns: list[str], target: str, step: float = 0.05) -> DataFrame:
-    """Least-squares weights (scaled to add up to 1) against the best grid weights, by MAE.
-
-    The two are compared as they would be applied.
-    """
-    raw = nonnegative_weights(rows, columns, target)
-    total = sum(raw) or 1.0
-    scaled = tuple(w / total for w in raw)
-    grid = simplex_grid(len(columns), step)
-    losses = mae_of_weights(rows, columns, target, [scaled, *grid])
-    pick = int(np.argmin(losses[1:]))
-    table = [("least_squares", losses[0], scaled), ("grid", losses[1 + pick], grid[pick])]
-    chosen = min(table, key=lambda r: r[1])[0]
-    data = [(m, float(e), m == chosen, *map(float, w)) for m, e, w in table]
-    schema = "method string, mae double, chosen boolean, " + ", ".join(f"weight_{c} double" for c in columns)
-    return rows.sparkSession.createDataFrame(data, schema)
-
-
 # --- forecasts ---------------------------------------------------------------------------------------
 
 

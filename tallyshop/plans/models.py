@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyshop.functions.columns import flag, shown
-from tallyshop.operators import customers, features, forecast, models, recursion
+from tallyshop.operators import blends, customers, features, forecast, models, recursion
 from tallyshop.operators.marts import customer_base
 from tallyshop.plans.registry import query
 from tallyshop.session import materialise
@@ -100,7 +100,7 @@ def _(cat):
     bases = {"boost": models.gbt, "ridge": models.ridge, "forest": models.random_forest}
     _, oof = models.out_of_fold(rows, models.feature_names(rows), bases, folds=5, gap=30)
     scale = oof.select(F.expm1("label").alias("y"), *[F.expm1(n).alias(n) for n in bases])
-    return shown(models.best_blend(scale, list(bases), "y")).withColumn("chosen", flag(F.col("chosen")))
+    return shown(blends.best_blend(scale, list(bases), "y")).withColumn("chosen", flag(F.col("chosen")))
 
 
 @query("block_forecast")
