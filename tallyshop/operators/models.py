@@ -13,7 +13,7 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tallyshop.functions import calendar as cal
 from tallyshop.functions.columns import clip, count_if, dbl, mean_exact, ratio
+from tallyshop.functions.scale import lookup, value_ranks, with_row_number
 from tallyshop.operators.features import (
     SERIES,
     centred_year_ago,
@@ -432,10 +433,48 @@ def decomposed_forecast(series: DataFrame, value: str, model: PipelineModel, day
 CHURN_FEATURES = ["total_items", "avg_delivery_days", "avg_rating", "AOV", "promo_usage_rate", "category_diversity"]
 
 
+def split_position(key: str, seed: int = SEED) -> Column:
+    """A number of 52 bits from the MD5 of key and seed: the order in which the rows of a class are dealt to training."""
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
+
+
+def stratified_split(rows: DataFrame, label: str, key: str, train_share: float = 0.8, seed: int = SEED) -> DataFrame:
+    """Adds ``is_train``: exactly round(share × rows) of each class, those first by the hash of their key.
+
+    Rows are numbered over the whole table in the order of class and hash, so no class meets in one task; a class's
+    numbers start after the classes before it. Repeated keys lie side by side. A null label is a class of its own.
+    """
+    ordered = with_row_number(
+        rows.withColumn("_hash", split_position(key, seed)).withColumn("_tie", F.xxhash64(*rows.columns)).withColumn("_row", F.monotonically_increasing_id()),
+        [F.col(label).asc_nulls_first(), "_hash", key, "_tie", "_row"], "_at",
+    )
+    classes = rows.groupBy(F.col(label).alias("_class")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy(F.col("_class").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)  # one row per class
+    starts = classes.select("_class", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    joined = ordered.join(F.broadcast(starts), F.col(label).eqNullSafe(F.col("_class")))
+    quota = F.floor(F.col("_n") * F.lit(float(train_share)) + 0.5)
+    return joined.select(*rows.columns, (F.col("_at") - F.col("_start") <= quota).alias("is_train"))
+
+
+def auc_by_ranks(scored: DataFrame, label: str, score: str) -> DataFrame:
+    """(positives, negatives, auc): the chance that a positive scores above a negative, ties counting half.
+
+    Rows are collapsed to (score, positives, rows) before they are ranked, so a score that many rows share is one row of the
+    order. Rows without label or score are left out; without both classes the AUC is null.
+    """
+    known = scored.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    cells = known.groupBy(score).agg(F.count("*").alias("_n"), F.count_if(F.col(label) == 1).alias("_p"))
+    ranked = lookup(cells, value_ranks(cells, score, "_n").select(score, "rank"), [score], "inner")
+    sums = ranked.agg(F.coalesce(F.sum("_p"), F.lit(0)).alias("positives"), F.coalesce(F.sum(F.col("_n") - F.col("_p")), F.lit(0)).alias("negatives"), F.sum(F.col("_p") * F.col("rank")).alias("_ranks"))
+    p, n = dbl("positives"), dbl("negatives")
+    return sums.select("positives", "negatives", F.try_divide(F.col("_ranks") - p * (p + 1) / 2, p * n).alias("auc"))
+
+
 def churn_rows(customers: DataFrame, rfm: DataFrame, train_share: float = 0.8) -> DataFrame:
-    """Features, label (segment Churn Risk) and a train mark from the hash of the customer id.
+    """Features, label (segment Churn Risk) and a train mark that gives each label the same share to the row.
 
-    The hash gives every label the same share and stays the same across runs. The label comes from the
+    The mark depends on the customer ids alone, so it stays the same across runs. The label comes from the
     same period as the features, so the model describes churners rather than predicts them.
     """
     base = customers.select(
@@ -443,12 +482,9 @@ def churn_rows(customers: DataFrame, rfm: DataFrame, train_share: float = 0.8) -
         ratio("promo_lines", "total_lines").alias("promo_usage_rate"), "category_diversity",
     )
     joined = base.join(rfm.select("customer_id", "segment"), "customer_id")
-    share = F.pmod(F.xxhash64("customer_id", F.lit(SEED)), F.lit(1000)) / 1000
     numbers = [dbl(c).alias(c) for c in CHURN_FEATURES]
-    return materialise(joined.select(
-        "customer_id", *numbers, F.when(F.col("segment") == "Churn Risk", 1.0).otherwise(0.0).alias("label"),
-        (share < train_share).alias("is_train"),
-    ))
+    labelled = joined.select("customer_id", *numbers, F.when(F.col("segment") == "Churn Risk", 1.0).otherwise(0.0).alias("label"))
+    return materialise(stratified_split(materialise(labelled), "label", "customer_id", train_share))
 
 
 @dataclass
@@ -456,8 +492,8 @@ class ChurnModel:
     model: PipelineModel
     scored: DataFrame
 
-    def auc(self) -> float:
-        return BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction").evaluate(self.scored)
+    def auc(self) -> float | None:
+        return auc_by_ranks(self.scored, "label", "probability").first()["auc"]
 
     def confusion(self) -> DataFrame:
         return self.scored.groupBy("label", "prediction").agg(F.count("*").alias("customers"))
@@ -472,7 +508,7 @@ class ChurnModel:
         return counts.select(
             "n", "tp", "fp", "fn", ratio("right", "n").alias("accuracy"), ratio("tp", F.col("tp") + F.col("fp")).alias("precision"),
             ratio("tp", F.col("tp") + F.col("fn")).alias("recall"),
-            ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"), F.lit(self.auc()).alias("auc"),
+            ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"), F.lit(self.auc()).cast("double").alias("auc"),
         )
 
     def importances(self) -> DataFrame:

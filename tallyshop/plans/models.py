@@ -200,3 +200,36 @@ def _(cat):
 def _(cat):
     rows, churn = _churn(cat)
     return shown(models.revenue_saved(churn.scored, rows))
+
+
+_CHURN_LABELS = "SELECT customer_id, CASE WHEN segment = 'Churn Risk' THEN 1.0::double ELSE 0.0::double END AS label FROM m_rfm JOIN m_customer USING (customer_id)"
+_CHURN_DEALT = f"""SELECT customer_id, label, row_number() OVER (PARTITION BY label ORDER BY ('0x' || substr(md5(customer_id || ':{models.SEED}'), 1, 13))::BIGINT, customer_id)
+    <= floor(count(*) OVER (PARTITION BY label) * 0.8::double + 0.5) AS is_train FROM ({_CHURN_LABELS}) l"""
+
+
+@query("churn_split", f"SELECT customer_id, label, is_train FROM ({_CHURN_DEALT}) d")
+def _(cat):
+    """Which customers train the churn classifier: four fifths of each class, to the row."""
+    return models.churn_rows(customer_base(cat), customers.segments(cat)).select("customer_id", "label", "is_train")
+
+
+@query(
+    "churn_confusion_margins",
+    f"SELECT label, count(*) AS customers FROM ({_CHURN_DEALT}) d WHERE NOT is_train GROUP BY label",
+)
+def _(cat):
+    """Test customers per class, added up from the confusion matrix."""
+    return _churn(cat)[1].confusion().groupBy("label").agg(F.sum("customers").alias("customers"))
+
+
+@query(
+    "churn_score_auc",
+    f"""SELECT cast(sum(label) AS bigint) AS positives, cast(sum(1 - label) AS bigint) AS negatives,
+               round((sum(label * rk) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * sum(1 - label)), 6) AS auc
+        FROM (SELECT label, rank() OVER (ORDER BY total_items) + (count(*) OVER (PARTITION BY total_items) - 1) / 2.0::double AS rk
+              FROM ({_CHURN_LABELS}) l JOIN (SELECT customer_id, cast(total_items AS double) AS total_items FROM m_customer) c USING (customer_id) WHERE total_items IS NOT NULL) x""",
+)
+def _(cat):
+    """How well the number of items bought alone tells churners from others."""
+    rows = models.churn_rows(customer_base(cat), customers.segments(cat))
+    return shown(models.auc_by_ranks(rows, "label", "total_items"))
