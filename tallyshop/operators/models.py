@@ -104,6 +104,18 @@ def engineer_features(daily: DataFrame, target: str = "Revenue") -> DataFrame:
     return usable_columns(base.withColumns(new))
 
 
+def daily_rows(daily: DataFrame, target: str = "Revenue", useless: tuple[str, ...] = ()) -> DataFrame:
+    """The engineered daily table as training rows of one series, without leaks, noise and ``useless`` columns.
+
+    Days without a full year before are left out; a growth that is unknown because a driver was 0 counts as none.
+    """
+    frame = engineer_features(daily, target).drop(*useless)
+    lags = [c for c in frame.columns if c.startswith("label_") and c not in useless]
+    numbers = [F.coalesce(dbl(c), F.lit(0.0)).alias(c) for c in feature_names(frame)]
+    rows = frame.where("label IS NOT NULL").dropna(subset=lags).select(F.lit("all").alias(SERIES), "date", "label", *numbers)
+    return materialise(recency_weights(rows, eras=()))
+
+
 def feature_names(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
     """Numeric columns that may be features: no keys, targets, weights or fold marks."""
     barred = {SERIES, "date", "label", "weight", "fold", *LEAKY_COLUMNS, *exclude}
@@ -228,6 +240,40 @@ def gbt_search(rows: DataFrame, features: list[str], folds: int = 5) -> tuple[Pi
     return grid_search(rows, features, estimator, grid, folds)
 
 
+def staged_boosting(
+    rows: DataFrame, features: list[str], folds: int = 5, gap: int = 30, first: int = 50, limit: int = 800, patience: int = 50, estimator: GBTRegressor | None = None
+) -> tuple[PipelineModel, DataFrame]:
+    """Boosted trees whose number is found on forward folds, then fitted again on all rows.
+
+    Each fold's model tells the error of every prefix of its trees on the days after its training days. If the best mean error lies
+    within ``patience`` trees of the last one, the models are fitted with twice as many trees, up to ``limit``; the same seed gives the same
+    first trees, so a longer model continues a shorter one. The table has a row per length: (trees, mae_log, folds, chosen, last, limit).
+    """
+    estimator = (estimator or gbt()).copy()
+    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
+    ready = materialise(assembler.transform(rows).select("date", "label", "weight", "features"))
+    ranges = fold_ranges(rows, folds, gap)
+    length = min(first, limit)
+
+    def prefix_errors(job: tuple) -> list[float]:
+        train_to, valid_from, valid_to = job
+        model = estimator.copy().setMaxIter(length).fit(ready.where(F.col("date") <= F.lit(train_to)))
+        part = ready.where(F.col("date").between(F.lit(valid_from), F.lit(valid_to))).withColumn("weight", F.lit(1.0))
+        return model.evaluateEachIteration(part, "absolute")
+
+    while True:
+        with ThreadPool(4) as pool:
+            errors = np.mean(pool.map(prefix_errors, ranges), axis=0)
+        best = int(np.argmin(errors))
+        if len(errors) - 1 - best >= patience or length >= limit:
+            break
+        length = min(2 * length, limit)
+    table = [(i + 1, float(e), len(ranges), i == best, len(errors), limit) for i, e in enumerate(errors)]
+    scores = rows.sparkSession.createDataFrame(table, "trees int, mae_log double, folds int, chosen boolean, last int, limit int")
+    model = Pipeline(stages=[assembler, estimator.copy().setMaxIter(best + 1)]).fit(rows)
+    return model, scores
+
+
 def importance_table(model: PipelineModel, features: list[str], spark) -> DataFrame:
     """Features of a fitted tree model by importance."""
     values = model.stages[-1].featureImportances.toArray()

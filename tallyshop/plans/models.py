@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from tallyshop.functions.columns import flag, shown
-from tallyshop.operators import blends, customers, features, forecast, models, recursion
+from tallyshop.operators import blends, customers, features, forecast, information, models, recursion, statistics
 from tallyshop.operators.marts import customer_base
+from tallyshop.plans.daily import daily_table
 from tallyshop.plans.registry import query
 from tallyshop.session import materialise
 
@@ -233,3 +234,54 @@ def _(cat):
     """How well the number of items bought alone tells churners from others."""
     rows = models.churn_rows(customer_base(cat), customers.segments(cat))
     return shown(models.auc_by_ranks(rows, "label", "total_items"))
+
+
+def _daily_rows(cat):
+    """Training rows from the daily table without the columns that say nothing about the days before the hold-out year."""
+    daily = daily_table(cat)
+    before = daily.where(F.col("date") < HOLD_OUT)
+    names = statistics.numeric_columns(daily, models.LEAKY_COLUMNS)
+    ranking = information.feature_ranking(before, names, "Revenue", "1998-01-01")
+    return models.daily_rows(daily, useless=tuple(information.useless_features(ranking)))
+
+
+@query("daily_boosting")
+def _(cat):
+    """Accuracy on the last year of boosted trees over the daily table, as long as forward folds of the years before say."""
+    rows = _daily_rows(cat)
+    names = models.feature_names(rows)
+    model, lengths = models.staged_boosting(rows.where(F.col("date") < HOLD_OUT), names, folds=3, first=30, limit=120, patience=20)
+    scored = models.predict(model, rows.where(F.col("date") >= HOLD_OUT))
+    scale = scored.select("series_id", F.expm1("label").alias("y"), F.expm1("prediction").alias("p"))
+    trees = lengths.where("chosen").first()["trees"]
+    metrics = forecast.forecast_metrics(scale, "y", "p", "series_id", offset=1.0)
+    return shown(metrics.withColumns({"features": F.lit(len(names)), "trees": F.lit(trees)}))
+
+
+@query("boosting_lengths")
+def _(cat):
+    """Error on forward folds by number of trees, and the number taken."""
+    rows = _rows(cat)
+    lengths = models.staged_boosting(rows, models.feature_names(rows), folds=3, first=30, limit=240, patience=20, estimator=models.gbt(depth=4, step=0.3))[1]
+    return shown(lengths).withColumn("chosen", flag(F.col("chosen")))
+
+
+FROZEN = ("customer_cumulative", "unique_cities_cumulative", "total_stock_on_hand", "unique_products_in_stock", "avg_fill_rate")
+
+
+@query(
+    "daily_table_forecast_calendar",
+    f"""SELECT cast(max(date) + interval 1 day AS date) AS first_day, cast(max(date) + interval {HORIZON} day AS date) AS last_day, cast({HORIZON} AS bigint) AS days, cast(0 AS bigint) AS unknown
+        FROM m_spine""",
+)
+def _(cat):
+    """Calendar and gaps of a day-by-day forecast whose drivers (customers, stock) stay at their last known values."""
+    daily = daily_table(cat)
+    series = daily.select(F.lit("all").alias("series_id"), "date", F.col("Revenue").alias("revenue"), *FROZEN)
+    known = models.known_ahead()
+    rows = recursion.training_frame(series, "revenue", {**known, **{n: F.col(n).cast("double") for n in FROZEN}})
+    names = [*recursion.PAST, *known, *FROZEN]
+    model = models.pipeline(models.gbt(), names).fit(materialise(features.recency_weights(rows)))
+    future = forecast.frozen_drivers(series, forecast.horizon(series, HORIZON), list(FROZEN))
+    found = recursion.recursive_forecast(series, future, "revenue", model, names, known)
+    return found.agg(F.min("date").alias("first_day"), F.max("date").alias("last_day"), F.count("*").alias("days"), F.count_if(F.col("forecast").isNull() | (F.col("forecast") < 0)).alias("unknown"))
