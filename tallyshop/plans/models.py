@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyshop.functions.columns import flag, shown
-from tallyshop.operators import blends, customers, features, forecast, information, models, recursion, statistics
+from tallyshop.operators import blends, customers, features, forecast, information, models, recursion, search, statistics
 from tallyshop.operators.marts import customer_base
 from tallyshop.plans.daily import daily_table
 from tallyshop.plans.registry import query
@@ -65,12 +65,28 @@ def _(cat):
     return shown(models.elastic_net_search(rows, models.feature_names(rows))[1])
 
 
-@query("hyperparameter_search")
+@query("hyperparameter_grid")
 def _(cat):
     rows = _rows(cat)
     return shown(models.gbt_search(rows, models.feature_names(rows))[1])
 
 
+# Short and shallow trees, so that eighty trials end within a minute or two.
+_SPACE = {
+    "maxIter": search.Range(3, 12, whole=True), "maxDepth": search.Range(2, 4, whole=True), "stepSize": search.Range(0.05, 0.6, log=True),
+    "minInstancesPerNode": search.Range(5, 60, whole=True), "featureShare": search.Range(0.4, 1.0),
+}
+
+
+@query("hyperparameter_search")
+def _(cat):
+    """Eighty trials of an adaptive search over boosted trees of the whole business' series."""
+    series = materialise(features.total_series(cat))
+    rows = models.training_rows(models.forecast_frame(series, "revenue"))
+    table = search.boosting_search(rows, models.feature_names(rows), folds=3, space=_SPACE)[1]
+    return shown(table).withColumns({c: flag(F.col(c)) for c in ("stopped", "best")})
+
+
 @query("feature_importance")
 def _(cat):
     rows = _rows(cat)
