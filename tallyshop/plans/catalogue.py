@@ -13,7 +13,7 @@ from tallyshop.sources.retail_views import retail_catalog
 
 MODULES = (
     "questions", "marts", "customers", "promotions", "returns", "supply", "daily", "quality", "statistics",
-    "features", "forecast", "models",
+    "features", "forecast", "models", "sources",
 )
 
 for _module in MODULES:

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from tallyshop.sources.schemas import SCHEMAS
 
 
+# Column in which the CSV reader leaves the text of a line with a wrong number of fields.
+CORRUPT = "_malformed_line"
+
+
 class Catalog:
     """Tables by name; a table is built on first use and kept as a lazy DataFrame."""
 
@@ -66,16 +70,27 @@ def read_table(
     fmt: str | None = None,
     mode: str = "PERMISSIVE",
     dates: tuple[str, ...] = (),
+    rescue: str | None = None,
 ) -> DataFrame:
     """Read one table; CSV is read as text by header and cast to the schema of ``name``.
 
     Casting by column name rather than by position lets files carry a leaked index column or
-    another column order. ``mode='FAILFAST'`` raises on a malformed row or value.
+    another column order. ``mode='FAILFAST'`` raises on a malformed row or value. ``rescue`` names a further column of a CSV
+    table: a map from each column whose text could not be cast to that text, and from ``_row`` to the whole line
+    where it has too few or too many fields; null for a clean row.
     """
     fmt = fmt or ("csv" if path.rstrip("/").endswith(".csv") else "parquet")
     if fmt != "csv":
         return drop_index_column(spark.read.format(fmt).load(path))
-    raw = drop_index_column(spark.read.option("header", True).option("mode", mode).csv(path))
+    reader = spark.read.option("header", True).option("mode", mode)
+    if rescue:
+        if mode == "FAILFAST":
+            raise ValueError("a table is rescued or fails, not both")
+        header = reader.csv(path).columns
+        texts = ", ".join(f"`{c}` string" for c in [*header, CORRUPT])
+        # fields can only be counted if all of them are parsed
+        reader = reader.schema(texts).option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False)
+    raw = drop_index_column(reader.csv(path))
     wanted = {f.name: f.dataType for f in SCHEMAS[name].fields} if name in SCHEMAS else {}
 
     def typed(column: str) -> Column:
@@ -92,7 +107,17 @@ def read_table(
             parsed = F.when(F.isnan(parsed), None).otherwise(parsed)
         return parsed.alias(column)
 
-    return raw.select(*[typed(c) for c in raw.columns])
+    columns = [c for c in raw.columns if not (rescue and c == CORRUPT)]
+    if not rescue:
+        return raw.select(*[typed(c) for c in columns])
+    # a NaN is a number that the double columns show as null, not a text that could not be read
+    lost = [
+        F.when(F.col(c).isNotNull() & typed(c).isNull() & ~F.lower(F.trim(c)).isin("", "nan"), F.struct(F.lit(c).alias("key"), F.col(c).alias("value")))
+        for c in columns if c in wanted or c in dates
+    ]
+    line = F.when(F.col(CORRUPT).isNotNull(), F.struct(F.lit("_row").alias("key"), F.col(CORRUPT).alias("value")))
+    found = F.filter(F.array(*lost, line), lambda e: e.isNotNull())
+    return raw.select(*[typed(c) for c in columns], F.when(F.size(found) > 0, F.map_from_entries(found)).alias(rescue))
 
 
 def table_name(file_name: str) -> str:
@@ -101,19 +126,33 @@ def table_name(file_name: str) -> str:
     return re.sub(r"^cleaned_|_cleaned$", "", stem.strip().lower())
 
 
+def table_paths(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of the CSV and Parquet tables (files or folders) in a folder, listed by Spark's file reader; no content is read."""
+    root = folder.rstrip("/")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    inside = re.escape(re.sub(r"^[a-z0-9]+:(//[^/]*)?", "", root))
+    names = listed.select(F.regexp_extract("path", rf"^.*?{inside}/([^/]+\.(?:csv|parquet))(?:/.*)?$", 1).alias("name")).where("name <> ''")
+    return sorted(f"{root}/{row.name}" for row in names.distinct().collect())  # one row per table
+
+
 def load_catalog(spark: SparkSession, folder: str) -> Catalog:
     """Catalogue of every CSV or Parquet table in a folder, named after its file."""
-    jvm = spark._jvm.org.apache.hadoop.fs
-    path = jvm.Path(folder)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    paths = [status.getPath().toString() for status in found]
-    paths = [p for p in paths if re.search(r"\.(csv|parquet)$", p)]
     return Catalog(
         spark,
-        {table_name(p): (lambda p=p: read_table(spark, p, table_name(p))) for p in paths},
+        {table_name(p): (lambda p=p: read_table(spark, p, table_name(p))) for p in table_paths(spark, folder)},
     )
 
 
+def write_partitions(df: DataFrame, path: str, by: str) -> None:
+    """Write the partitions of ``by`` that occur in ``df`` and leave all others of the Parquet table as they are.
+
+    Rows of one value are dealt to several tasks by a hash of the row, so a large partition is not written by one.
+    """
+    spread = F.pmod(F.xxhash64(*df.columns), F.lit(8))
+    writer = df.repartition(F.col(by), spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(by).parquet(path)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = ()) -> None:
     """Write a table (Parquet by default, CSV with a header on request)."""
     writer = df.write.mode("overwrite").format(fmt)
