@@ -86,10 +86,11 @@ def days_from_nearest(date: Column | str, days: tuple[str, ...]) -> Column:
 
 
 def lunar_features(date: Column | str, days: tuple[str, ...] = LUNAR_NEW_YEAR, width: float = 7.0) -> dict[str, Column]:
-    """Distance to the lunar new year, its week, the two weeks before, the week after, a bell curve."""
+    """Distance to the lunar new year, its week and month, the two weeks before, the week after, a bell curve."""
     gap = days_from_nearest(date, days)
     return {
-        "days_to_lunar": gap, "is_lunar_week": flag(F.abs(gap) <= 7), "is_pre_lunar2w": flag((gap >= -14) & (gap < 0)),
+        "days_to_lunar": gap, "is_lunar_week": flag(F.abs(gap) <= 7), "is_lunar_month": flag(F.abs(gap) <= 30),
+        "is_pre_lunar2w": flag((gap >= -14) & (gap < 0)),
         "is_post_lunar1w": flag((gap > 0) & (gap <= 7)), "lunar_proximity": F.exp(-0.5 * F.pow(gap / width, F.lit(2))),
     }
 

@@ -60,31 +60,39 @@ def seasonal_naive(series: DataFrame, dates: DataFrame, value: str, period: int
     return keyed.join(known, [SERIES, "_source"], "left").drop("_source")
 
 
-def direct_lag_features(series: DataFrame, dates: DataFrame, value: str, lags: list[int], shift: int = 365) -> DataFrame:
+def _moved_back(source: Column, shift: int, whole: bool) -> Column:
+    """A source day on or after the first future day, moved back by one shift, or (``whole``) by as many as it takes."""
+    ahead = F.datediff(source, F.col("_first"))
+    shifts = F.floor(ahead / shift) + 1 if whole else F.lit(1)
+    return F.when(ahead >= 0, F.date_sub(source, (shifts * shift).cast("int"))).otherwise(source)
+
+
+def direct_lag_features(series: DataFrame, dates: DataFrame, value: str, lags: list[int], shift: int = 365, whole: bool = False) -> DataFrame:
     """Lags for all future days at once: a source day that is itself in the future moves a year back.
 
-    Only actual history is read, so no forecast feeds another. Unknown sources are 0.
+    Only actual history is read, so no forecast feeds another. Unknown sources are 0; with ``whole`` a source moves back
+    until it lies in the past, and unknown ones are null.
     """
     first = dates.groupBy(SERIES).agg(F.min("date").alias("_first"))
     wanted = dates.join(first, SERIES).select(SERIES, "date", "_first", F.explode(F.array(*[F.lit(k) for k in lags])).alias("_lag"))
     source = F.date_sub(F.col("date"), F.col("_lag"))
-    moved = F.when(source >= F.col("_first"), F.date_sub(source, shift)).otherwise(source)
+    moved = _moved_back(source, shift, whole)
     known = series.select(SERIES, F.col("date").alias("_source"), F.col(value).alias("_v"))
     found = wanted.withColumn("_source", moved).join(known, [SERIES, "_source"], "left")
-    return found.groupBy(SERIES, "date").agg(
-        *[F.coalesce(F.max(F.when(F.col("_lag") == k, F.col("_v"))), F.lit(0.0)).alias(f"{value}_lag{k}") for k in lags]
-    )
+    lag = {k: F.max(F.when(F.col("_lag") == k, F.col("_v"))) for k in lags}
+    return found.groupBy(SERIES, "date").agg(*[(c if whole else F.coalesce(c, F.lit(0.0))).alias(f"{value}_lag{k}") for k, c in lag.items()])
 
 
-def direct_rolling_features(series: DataFrame, dates: DataFrame, value: str, windows: list[int], shift: int = 365) -> DataFrame:
+def direct_rolling_features(series: DataFrame, dates: DataFrame, value: str, windows: list[int], shift: int = 365, whole: bool = False) -> DataFrame:
     """Mean, deviation, minimum and maximum over the days before each future day, sources as above."""
     widest = max(windows)
     first = dates.groupBy(SERIES).agg(F.min("date").alias("_first"))
     wanted = dates.join(first, SERIES).withColumn("_lag", F.explode(F.sequence(F.lit(1), F.lit(widest))))
     source = F.date_sub(F.col("date"), F.col("_lag"))
-    moved = F.when(source >= F.col("_first"), F.date_sub(source, shift)).otherwise(source)
+    moved = _moved_back(source, shift, whole)
     known = series.select(SERIES, F.col("date").alias("_source"), F.col(value).alias("_v"))
-    found = wanted.withColumn("_source", moved).join(known, [SERIES, "_source"], "left").fillna(0.0, ["_v"])
+    found = wanted.withColumn("_source", moved).join(known, [SERIES, "_source"], "left")
+    found = found if whole else found.fillna(0.0, ["_v"])
     stats = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     return found.groupBy(SERIES, "date").agg(
         *[f(F.when(F.col("_lag") <= w, F.col("_v"))).alias(f"{value}_r{s}{w}") for w in windows for s, f in stats.items()]

@@ -19,6 +19,7 @@ from tallyshop.functions.columns import (
     ratio,
 )
 from tallyshop.functions.scale import lookup, percentile_scalar, salted_lookup
+from tallyshop.operators.quality import histograms
 from tallyshop.session import materialise
 from tallyshop.sources.tables import Catalog
 
@@ -287,13 +288,6 @@ def assert_customer_rules(customers: DataFrame) -> DataFrame:
     return customers.withColumn("rules_hold", F.when(ok, 1).otherwise(broken))
 
 
-def counts_of(df: DataFrame, column: str, dimension: str) -> DataFrame:
-    """Frequency of one column in a long (dimension, value, n) layout."""
-    return df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n")).select(
-        F.lit(dimension).alias("dimension"), "value", "n"
-    )
-
-
 def long_counts(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Frequencies of several columns in one pass over the table (long layout)."""
     pairs = F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in columns])
@@ -307,6 +301,16 @@ def customer_distributions(customers: DataFrame, geography: DataFrame) -> DataFr
     return long_counts(enriched, ["region", "acquisition_channel", "gender", "age_group", "signup_year"])
 
 
+BEHAVIOUR_BINS = {"total_orders": 30, "AOV": 30, "freq_per_month": 30, "category_diversity": 20, "promo_usage_rate": 20}
+
+
+def customer_behaviour(customers: DataFrame, bins: dict[str, int] | None = None) -> DataFrame:
+    """How customers buy: histograms of orders, order value, frequency, categories and promotion use, and repeat against one-time buyers."""
+    shapes = histograms(customers, bins or BEHAVIOUR_BINS)
+    repeat = customers.groupBy(F.col("repeat_flag").cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    return shapes.unionByName(repeat.select(F.lit("repeat_flag").alias("measure"), "bin", dbl("bin").alias("low"), "n"))
+
+
 def geography_distributions(geography: DataFrame) -> DataFrame:
     return long_counts(geography, ["region", "city", "district"])
 

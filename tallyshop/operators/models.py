@@ -425,37 +425,69 @@ DIRECT_LAGS = [1, 7, 14, 30, 90, 365]
 DIRECT_WINDOWS = [7, 30]
 
 
-def direct_frame(series: DataFrame, value: str) -> DataFrame:
-    """Training rows of the one-shot model: short lags and rolling statistics of the log value."""
-    from tallyshop.operators.features import lag_features, rolling_features
+def direct_rows(logged: DataFrame, dates: DataFrame) -> DataFrame:
+    """Features of the one-shot model for ``dates`` (series_id, date) from a log series (label) that ends before them.
 
-    logged = series.select(*KEYS, F.log1p(clip(dbl(value), low=0.0)).alias("label"))
-    stats = ("mean", "std", "min", "max")
-    return logged.withColumns({**lag_features("label", DIRECT_LAGS), **rolling_features("label", DIRECT_WINDOWS, stats), **known_ahead()})
+    Short lags and rolling statistics whose source lies in the future move back by whole years into the past, so nothing feeds back.
+    """
+    lags = direct_lag_features(logged, dates, "label", DIRECT_LAGS, whole=True)
+    rolling = direct_rolling_features(logged, dates, "label", DIRECT_WINDOWS, whole=True)
+    return lags.join(rolling, KEYS).withColumns(known_ahead())
+
+
+def direct_frame(series: DataFrame, value: str, days: int = 365, cutoffs: int = 4) -> DataFrame:
+    """Training rows of the one-shot model, made as they will be served.
+
+    History is cut off 1, 2, ... years before its end; the ``days`` days after each cut get the features that a forecast made on
+    that day would have had, and their true log value as label.
+    """
+    logged = materialise(series.select(*KEYS, F.log1p(clip(dbl(value), low=0.0)).alias("label")).where("label IS NOT NULL"))
+    ends = logged.groupBy(SERIES).agg(F.max("date").alias("_end"))
+    frames = []
+    for k in range(1, cutoffs + 1):
+        cut = F.date_sub("_end", 365 * k)
+        marked = logged.join(ends, SERIES)
+        past = marked.where(F.col("date") <= cut).select(*KEYS, "label")
+        ahead = marked.where((F.col("date") > cut) & (F.col("date") <= F.date_add(cut, days))).select(*KEYS, "label")
+        frames.append(direct_rows(past, ahead.select(*KEYS)).join(ahead, KEYS))
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out
 
 
 def direct_forecast(series: DataFrame, value: str, model: PipelineModel, days: int) -> DataFrame:
-    """One-shot forecast: sources that lie in the future move a year back, so nothing feeds back."""
+    """One-shot forecast over ``direct_rows``; a source that the history does not reach takes the mean of its series."""
     logged = series.select(*KEYS, F.log1p(clip(dbl(value), low=0.0)).alias("label"))
     future = materialise(horizon(series, days))
-    lags = direct_lag_features(logged, future, "label", DIRECT_LAGS)
-    rolling = direct_rolling_features(logged, future, "label", DIRECT_WINDOWS)
-    rows = lags.join(rolling, KEYS).withColumns(known_ahead())
-    return predict(model, rows).select(*KEYS, clip(F.expm1("prediction"), low=0.0).alias("forecast"))
+    rows = direct_rows(logged, future)
+    means = logged.groupBy(SERIES).agg(F.avg("label").alias("_mean"))
+    names = [c for c in rows.columns if c.startswith("label_")]
+    filled = rows.join(means, SERIES).withColumns({n: F.coalesce(n, F.lit(0.0) if "_rstd" in n else F.col("_mean")) for n in names}).drop("_mean")
+    return predict(model, filled).select(*KEYS, clip(F.expm1("prediction"), low=0.0).alias("forecast"))
+
+
+RESIDUAL_LAGS = (364, 365, 371)
+
+
+def residual_lags(value: str = "label") -> dict[str, Column]:
+    """Lags of the residual about a year back, else a year farther, else its mean, which is 0 by construction of the trend and season."""
+    return {f"resid_lag{k}": F.coalesce(lag_at(value, k), lag_at(value, k + 364), F.lit(0.0)) for k in RESIDUAL_LAGS}
 
 
 def residual_frame(series: DataFrame, value: str) -> DataFrame:
-    """Decomposed log value; residual as label with its own lags and the calendar."""
+    """Decomposed log value; residual as label with its own lags and the calendar, for days whose lags reach into the series."""
     logged = series.select(*KEYS, F.log1p(clip(dbl(value), low=0.0)).alias("v"))
     parts = decompose(logged, "v").select(*KEYS, "trend", "seasonal", F.col("residual").alias("label"))
-    lags = {f"resid_lag{k}": lag_at("label", k) for k in (364, 365, 371)}
-    return parts.withColumns({**lags, **known_ahead()})
+    reached = parts.withColumn("_reached", lag_at("label", max(RESIDUAL_LAGS)).isNotNull())
+    return reached.withColumns({**residual_lags(), **known_ahead()}).where("_reached").drop("_reached")
 
 
 def decomposed_forecast(series: DataFrame, value: str, model: PipelineModel, days: int = 357) -> DataFrame:
     """Last trend level, last year's seasonal part and the modelled residual (within ±1.5), put together.
 
-    Trend and seasonal parts are those of the last day that has a full window.
+    Trend and seasonal parts are those of the last day that has a full window. Day 366 takes the season of day 365 where no
+    leap year has one. Lags are those of ``residual_frame``.
     """
     logged = series.select(*KEYS, F.log1p(clip(dbl(value), low=0.0)).alias("v"))
     parts = materialise(decompose(logged, "v"))
@@ -463,13 +495,13 @@ def decomposed_forecast(series: DataFrame, value: str, model: PipelineModel, day
     season = parts.where("seasonal IS NOT NULL").groupBy(SERIES, F.dayofyear("date").alias("_doy")).agg(
         F.max_by("seasonal", "date").alias("seasonal")
     )
+    eve = season.where("_doy = 365").select(SERIES, F.col("seasonal").alias("_eve"))
     future = horizon(series, days)
     residuals = parts.select(*KEYS, F.col("residual").alias("label"))
     joined = residuals.unionByName(future.withColumn("label", F.lit(None).cast("double")))
-    lags = {f"resid_lag{k}": lag_at("label", k) for k in (364, 365, 371)}
-    rows = joined.withColumns({**lags, **known_ahead()}).join(future, KEYS, "left_semi").fillna(0.0)
-    rows = rows.withColumn("_doy", F.dayofyear("date")).join(level, SERIES).join(season, [SERIES, "_doy"], "left")
-    out = predict(model, rows.fillna(0.0, ["seasonal"]))
+    rows = joined.withColumns({**residual_lags(), **known_ahead()}).join(future, KEYS, "left_semi")
+    rows = rows.withColumn("_doy", F.dayofyear("date")).join(level, SERIES).join(season, [SERIES, "_doy"], "left").join(eve, SERIES, "left")
+    out = predict(model, rows.withColumn("seasonal", F.coalesce("seasonal", "_eve")).drop("label"))
     total = F.col("trend") + F.col("seasonal") + clip("prediction", -1.5, 1.5)
     return out.select(*KEYS, clip(F.expm1(total), low=0.0).alias("forecast"))
 

@@ -362,6 +362,20 @@ def histogram(df: DataFrame, value: Column | str, bins: int) -> DataFrame:
     return rows.groupBy(bucket.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def histograms(df: DataFrame, bins: dict[str, int]) -> DataFrame:
+    """Equal-width bins over the range of several columns in one pass: (measure, bin, low, n). The maximum belongs to the last bin.
+
+    A column with one value has one bin. Null values are left out.
+    """
+    values = long_values(df, list(bins)).where("value IS NOT NULL")
+    counts = F.create_map(*[F.lit(v) for pair in bins.items() for v in pair])
+    ends = values.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).withColumn("_bins", F.try_element_at(counts, F.col("column")))
+    step = F.try_divide(F.col("hi") - F.col("lo"), F.col("_bins").cast("double"))
+    at = F.least(F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("lo"), step)), F.lit(0)), F.col("_bins") - 1)
+    binned = values.join(F.broadcast(ends), "column")  # one row per measure
+    return binned.groupBy(F.col("column").alias("measure"), at.cast("long").alias("bin")).agg(F.min("value").alias("low"), F.count("*").alias("n"))
+
+
 def box_summary(df: DataFrame, value: str, *groups: str) -> DataFrame:
     """Five-number summary per group."""
     ends = df.groupBy(*groups).agg(dbl(F.min(value)).alias("min"), dbl(F.max(value)).alias("max"), F.count(value).alias("n"))

@@ -14,7 +14,7 @@ from tallyshop.functions.distributions import (
     correlation_t,
     normal_two_sided,
 )
-from tallyshop.functions.scale import lookup, percentile_rows, value_ranks
+from tallyshop.functions.scale import lookup, percentile_rows, value_ranks, with_row_number
 from tallyshop.operators.quality import long_values
 from tallyshop.session import materialise
 
@@ -168,18 +168,16 @@ def kruskal_p_value(result: DataFrame) -> DataFrame:
 def dunn_posthoc(df: DataFrame, value: str, group: str) -> DataFrame:
     """z and Bonferroni p of each pair of groups, from mean ranks.
 
-    Only one row per group takes part in the pairing.
+    Groups are numbered; each asks for the numbers above its own, which an equality join answers, so pairs spread over tasks.
     """
-    stats = group_ranks(df, value, group).select(
-        F.struct(F.col(group).alias("g"), (F.col("rank_sum") / F.col("n")).alias("mean"), "n", "tie_sum").alias("s")
+    stats = materialise(group_ranks(df, value, group).select(F.col(group).alias("g"), (F.col("rank_sum") / F.col("n")).alias("mean"), "n", "tie_sum"))
+    sums = stats.agg(F.struct(F.sum("n").alias("N"), F.sum("tie_sum").alias("ties"), F.count("*").alias("k")).alias("s")).scalar()
+    numbered = materialise(with_row_number(stats, ["g"], "i"))
+    k = sums["k"]
+    asked = numbered.where(F.col("i") < k).select(F.struct("g", "mean", "n").alias("a"), F.explode(F.sequence(F.col("i") + 1, k)).alias("j"))
+    pairs = asked.join(numbered.select(F.col("i").alias("j"), F.struct("g", "mean", "n").alias("b")), "j").select(
+        "a", "b", sums["N"].alias("N"), sums["ties"].alias("ties"), (k * (k - 1) / 2).alias("comparisons")
     )
-    packed = stats.agg(F.sort_array(F.collect_list("s")).alias("all"))  # as many as there are groups
-    total = F.aggregate("all", F.lit(0.0), lambda a, s: a + s["n"])
-    ties = F.aggregate("all", F.lit(0.0), lambda a, s: a + s["tie_sum"])
-    k = F.size("all")
-    pairs = packed.select(
-        total.alias("N"), ties.alias("ties"), (k * (k - 1) / 2).alias("comparisons"), F.posexplode("all").alias("i", "a"), "all"
-    ).select("N", "ties", "comparisons", "a", F.explode(F.slice("all", F.col("i") + 2, k)).alias("b"))
     variance = (F.col("N") * (F.col("N") + 1) / 12 - F.col("ties") / (12 * (F.col("N") - 1))) * (1 / F.col("a.n") + 1 / F.col("b.n"))
     z = (F.col("a.mean") - F.col("b.mean")) / F.sqrt(variance)
     return pairs.select(

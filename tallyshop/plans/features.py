@@ -90,7 +90,7 @@ _GAP = f"(SELECT date_diff('day', h, d) FROM unnest({_dates(LUNAR)}) u(h) ORDER
 
 @query(
     "lunar_features",
-    f"""SELECT d AS date, g AS days_to_lunar, {_B.format('abs(g) <= 7')} AS is_lunar_week, {_B.format('g >= -14 AND g < 0')} AS is_pre_lunar2w,
+    f"""SELECT d AS date, g AS days_to_lunar, {_B.format('abs(g) <= 7')} AS is_lunar_week, {_B.format('abs(g) <= 30')} AS is_lunar_month, {_B.format('g >= -14 AND g < 0')} AS is_pre_lunar2w,
                {_B.format('g > 0 AND g <= 7')} AS is_post_lunar1w, {r6('exp(-0.5 * pow(g / 7.0::double, 2))')} AS lunar_proximity
         FROM (SELECT d, {_GAP} AS g FROM (SELECT Date AS d FROM r_sales) x) y""",
 )

@@ -190,6 +190,23 @@ def _(cat):
     return op.customer_distributions(cat.customers, cat.geography)
 
 
+_MEASURES = {"total_orders": ("cast(total_orders AS double)", 30), "AOV": ("aov", 30), "freq_per_month": ("total_orders / (greatest(tenure, 1) / 30.0::double)", 30),
+             "category_diversity": ("cast(category_diversity AS double)", 20), "promo_usage_rate": ("promo_usage_rate", 20)}
+
+
+@query(
+    "customer_behaviour",
+    " UNION ALL ".join(
+        f"""SELECT '{m}' AS measure, cast(CASE WHEN hi > lo THEN least(floor((v - lo) / ((hi - lo) / {b}.0::double)), {b - 1}) ELSE 0 END AS bigint) AS bin, {r6('min(v)')} AS low, count(*) AS n
+            FROM (SELECT {e} AS v FROM m_customer) x, (SELECT min({e}) AS lo, max({e}) AS hi FROM m_customer) y WHERE v IS NOT NULL GROUP BY 2"""
+        for m, (e, b) in _MEASURES.items()
+    )
+    + " UNION ALL SELECT 'repeat_flag', cast(total_orders > 1 AS bigint), cast(cast(total_orders > 1 AS int) AS double), count(*) FROM m_customer GROUP BY total_orders > 1",
+)
+def _(cat):
+    return op.customer_behaviour(op.customer_360(cat)).withColumn("low", r6_col("low"))
+
+
 @query(
     "geography_distributions",
     _long("r_geography", {"region": "region", "city": "city", "district": "district"}),

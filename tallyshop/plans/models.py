@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from tallyshop.functions import calendar as cal
 from tallyshop.functions.columns import flag, shown
 from tallyshop.operators import blends, customers, features, forecast, information, models, recursion, search, statistics
 from tallyshop.operators.marts import customer_base
 from tallyshop.plans.daily import daily_table
+from tallyshop.plans.features import LUNAR
 from tallyshop.plans.registry import query
 from tallyshop.session import materialise
 
@@ -132,7 +134,7 @@ def _(cat):
 def _day_by_day(cat):
     """Series, and their forecasts by a boosted model that sees the forecasts of earlier days."""
     series = _series(cat)
-    known = models.known_ahead()
+    known = {**models.known_ahead(), **cal.lunar_features("date", LUNAR)}
     rows = materialise(features.recency_weights(recursion.training_frame(series, "revenue", known)))
     names = [*recursion.PAST, *known]
     model = models.pipeline(models.gbt(), names).fit(rows)

@@ -50,6 +50,14 @@ def _(cat):
 
 @query(
     "duplicate_rows",
+    """SELECT count(*) AS rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem) d) AS duplicates FROM lineitem""",
+)
+def _(cat):
+    return op.duplicate_rows(cat.spark.read.parquet(cat.source("lineitem")))
+
+
+@query(
+    "duplicate_lines_of_a_part",
     """SELECT count(*) AS rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey, l_returnflag FROM lineitem) d) AS duplicates FROM lineitem""",
 )
 def _(cat):
