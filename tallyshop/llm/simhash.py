@@ -43,15 +43,17 @@ def fingerprint(text: str | None, words: int, seed: int) -> int:
     return int(np.packbits(set_bits, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fingerprint) of every row of ``docs`` (doc_id, text), fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, carry: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, fingerprint) of every row of ``docs`` (doc_id, text), fingerprint as a signed long; ``carry`` names longs to go along."""
+    carry = carry or {}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [fingerprint(text.as_py(), words, seed) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), *batch.columns[2:]], names=["doc_id", "fingerprint", *carry])
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), work, "doc_id long, fingerprint long")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *[c.alias(n) for n, c in carry.items()])
+    return map_rows(rows, work, "".join(["doc_id long, fingerprint long", *[f", {n} long" for n in carry]]))
 
 
 def _segments(distance: int) -> list[tuple[int, int]]:
@@ -114,6 +116,13 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, seed: in
     An empty table gives no rows; other columns are ignored.
     """
     prints = staged(fingerprints(docs, words, seed), "fingerprints")
+    return prints.join(_groups(prints, distance), "fingerprint").select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def _groups(prints: DataFrame, distance: int) -> DataFrame:
+    """(fingerprint, component, component_id) of each distinct fingerprint: its group's smallest fingerprint and doc_id."""
     nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
     members = connected_components(links(nodes.select("fingerprint"), distance))
     named = (
@@ -121,19 +130,24 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, seed: in
         .withColumn("component", F.coalesce("component", "fingerprint"))
     )
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    names = named.join(least, "component").select("fingerprint", "component_id")
-    return prints.join(names, "fingerprint").select(
-        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return named.join(least, "component").select("fingerprint", "component", "component_id")
 
 
 def keep_one(docs: DataFrame, distance: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of the smallest doc_id.
 
-    All columns stay. Rows without an id stay: nothing can name them. If several rows share the smallest id, the
-    one with the smallest text stays. Same cases as ``near_duplicates`` otherwise.
+    All columns stay. Rows without an id stay: nothing can name them. Of several rows with the smallest id of their group, that
+    with the smallest hash of its text stays, and of rows equal in both any one, so the choice of ids and texts does not depend on how rows are
+    dealt out. Rows of one id with texts of different groups are judged each in its own. Same cases as ``near_duplicates`` otherwise.
     """
-    groups = near_duplicates(docs, distance, words, seed).select(F.col("doc_id").alias("_doc"), "component_id")
-    heads = groups.where("_doc = component_id").select("_doc").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(heads, F.col("doc_id").cast("long") == F.col("_doc")).drop("_doc")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    text = {"t0": F.xxhash64("text"), "t1": F.xxhash64(F.lit("second"), F.col("text"))}
+    prints = staged(fingerprints(docs, words, seed, text), "fingerprints")
+    groups = _groups(prints, distance).select("fingerprint", "component")
+    first = F.min(F.struct("doc_id", *text)).alias("first")
+    heads = prints.where("doc_id IS NOT NULL").join(groups, "fingerprint").groupBy("component").agg(first).select(
+        F.col("first.doc_id").alias("_doc"), F.col("first.t0").alias("_t0"), F.col("first.t1").alias("_t1")
+    )
+    keyed = docs.where("doc_id IS NOT NULL").withColumns({"_k0": text["t0"], "_k1": text["t1"]})
+    same = (F.col("doc_id").cast("long") == F.col("_doc")) & (F.col("_k0") == F.col("_t0")) & (F.col("_k1") == F.col("_t1"))
+    kept = keyed.join(heads, same).dropDuplicates(["_doc", "_k0", "_k1"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -88,6 +88,15 @@ def test_keep_one_keeps_columns_and_rows_without_id(docs):
     assert simhash.near_duplicates(docs([])).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 2, 3, 7])
+def test_keep_one_chooses_rows_not_ids(docs, parts):
+    a, b = "alpha beta gamma delta epsilon", "one two three four five"
+    kept = simhash.keep_one(docs([(0, b), (1, a), (1, b), (1, a), (2, None), (3, ""), (2, a)]).repartition(parts)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.text) == [(0, b), (1, a)]
+    assert [r.doc_id for r in kept if not r.text] == [2]
+    assert simhash.keep_one(docs([])).collect() == []
+
+
 # --- pages -----------------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var a="</p><article>";</script></head><body class="has-sidebar"><header>Site</header>
