@@ -46,11 +46,12 @@ def fingerprint(text: str | None, words: int, seed: int) -> int:
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, carry: dict[str, Column] | None = None) -> DataFrame:
     """(doc_id, fingerprint) of every row of ``docs`` (doc_id, text), fingerprint as a signed long; ``carry`` names longs to go along."""
     carry = carry or {}
+    names = ["doc_id", "fingerprint", *carry]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [fingerprint(text.as_py(), words, seed) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), *batch.columns[2:]], names=["doc_id", "fingerprint", *carry])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), *batch.columns[2:]], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", *[c.alias(n) for n, c in carry.items()])
     return map_rows(rows, work, "".join(["doc_id long, fingerprint long", *[f", {n} long" for n in carry]]))
