@@ -3,6 +3,7 @@
 from tallyshop.operators import customers as op
 from tallyshop.operators.marts import customer_base
 from tallyshop.plans.registry import ORACLE_MARTS, big, money, query, r6
+from tallyshop.session import materialise
 
 CALENDAR_MONTHS = 84  # January 1995 to December 2001, the calendar of the orders
 _EDGES = ", ".join(f"quantile_cont({{v}}, {q}) AS {{n}}{i}" for i, q in enumerate((0.2, 0.4, 0.6, 0.8)))
@@ -63,7 +64,8 @@ def _(cat):
         FROM m_rfm JOIN m_customer USING (customer_id) GROUP BY segment""",
 )
 def _(cat):
-    return op.segment_summary(op.segments(cat), customer_base(cat))
+    base = materialise(customer_base(cat))
+    return op.segment_summary(op.rfm_segments(op.value_of(base)), base)
 
 
 @query(

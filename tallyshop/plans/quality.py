@@ -145,7 +145,7 @@ def _(cat):
     ),
 )
 def _(cat):
-    return op.check_all_rules(cat)
+    return op.check_all_rules(cat.kept("orders", "order_items"))
 
 
 @query(

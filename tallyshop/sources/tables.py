@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyshop.session import materialise
 from tallyshop.sources.schemas import SCHEMAS
 
 
@@ -43,6 +44,15 @@ class Catalog:
         same = {name: (lambda name=name: self[name]) for name in self._builders}
         return Catalog(self.spark, {**same, **{name: (lambda df=df: df) for name, df in tables.items()}}, self.folder)
 
+    def kept(self, *names: str) -> Catalog:
+        """This catalogue, with some tables written once to the shared folder; tables derived from them read that copy.
+
+        For derived tables that several parts of one job need: the sources behind them are scanned once.
+        """
+        for name in names:
+            self._tables[name] = materialise(self[name])
+        return self
+
     def names(self) -> list[str]:
         return sorted(self._builders)
 
