@@ -7,6 +7,8 @@ partition crosses over.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,25 +16,70 @@ from tallyshop.functions.columns import col, dbl
 from tallyshop.session import materialise
 
 
-def global_running(df: DataFrame, order: list[Column | str], sums: dict[str, Column | str]) -> DataFrame:
+# Buckets of a running total per shuffle partition, sampled rows per bucket, and the most buckets.
+BUCKETS, SAMPLED, MOST_BUCKETS = 4, 20, 2000
+
+# An order column: ascending with nulls first, or descending with nulls last as ("column", "desc") or F.col("column").desc().
+Order = Column | str | tuple[Column | str, str]
+
+
+def _direction(order: Order) -> tuple[Column, bool]:
+    """The expression to order by, and whether it falls."""
+    if isinstance(order, tuple):
+        if order[1] != "desc":
+            raise ValueError("an order is a column or (column, 'desc')")
+        return col(order[0]), True
+    if isinstance(order, Column) and (sort := re.fullmatch(r"Column<'(.*) (ASC|DESC) NULLS (FIRST|LAST)'>", str(order))):
+        name, way, nulls = sort.groups()
+        if not re.fullmatch(r"\w+", name) or (way, nulls) not in (("ASC", "FIRST"), ("DESC", "LAST")):
+            raise ValueError(f"say {order} as a column or (column, 'desc')")
+        return F.col(name), way == "DESC"
+    return col(order), False
+
+
+def _falling(c: Column, kind: str) -> list[Column]:
+    """Columns whose ascending order is the descending order of ``c``, nulls last."""
+    if kind in ("byte", "short", "integer", "long"):
+        return [c.isNull(), F.bitwise_not(c)]
+    if kind == "date":
+        return [c.isNull(), F.bitwise_not(F.unix_date(c))]
+    if kind in ("float", "double"):
+        return [F.when(c.isNull(), 2).when(F.isnan(c), 0).otherwise(1), -c]
+    if kind.startswith("decimal"):
+        return [c.isNull(), -c]
+    raise ValueError(f"no descending order over {kind} columns")
+
+
+def global_running(df: DataFrame, order: list[Order], sums: dict[str, Column | str]) -> DataFrame:
     """Running totals of the whole table in ``order`` (which must be total, i.e. end in a key).
 
     Adds one column per entry of ``sums``: the total of that expression up to and including
-    the row. ``F.lit(1)`` gives the global row number. AQE may merge neighbouring ranges of a
-    small table. The ranged table is written once to the checkpoint folder, because partition
-    numbers must be the same for totals and rows.
+    the row. ``F.lit(1)`` gives the global row number. The table is written once to the checkpoint folder. Rows are put into
+    buckets between the edges of a sample (twenty rows per bucket, 40,000 at most), move once, to their bucket, are summed there in order,
+    and get the total of the buckets before theirs.
     """
-    order = [col(o) for o in order]
+    spark = df.sparkSession
     values = {f"_v_{name}": col(expr) for name, expr in sums.items()}
-    ranged = materialise(
-        df.withColumns(values).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    )
-    totals = ranged.groupBy("_part").agg(*[F.sum(v).alias(f"_t{v}") for v in values])
+    parts = [_direction(o) for o in order]
+    written = materialise(df.withColumns({**values, **{f"_k{i}": c for i, (c, _) in enumerate(parts)}}))
+    keys = [F.col(f"_k{i}") for i in range(len(parts))]
+    kinds = [written.schema[f"_k{i}"].dataType.typeName() for i in range(len(parts))]
+    rising = [c for k, kind, (_, falls) in zip(keys, kinds, parts, strict=True) for c in (_falling(k, kind) if falls else [k])]
+    key = F.struct(*[c.alias(f"f{i}") for i, c in enumerate(rising)])
+    buckets = min(BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
+    sample = written.select(key.alias("key")).orderBy(F.xxhash64("key"), "key").limit(SAMPLED * buckets)
+    ranked = sample.select("key", (F.row_number().over(Window.orderBy("key")) - 1).alias("at"), F.count("*").over(Window.partitionBy()).alias("n"))
+    # row at of n opens bucket floor(at * buckets / n) if the row before it lies in an earlier one
+    opens = ranked.where(F.floor(F.col("at") * buckets / F.col("n")) > F.floor((F.col("at") - 1) * buckets / F.col("n"))).where("at > 0")
+    edges = opens.agg(F.sort_array(F.collect_list("key")).alias("edges")).scalar()  # less than ``buckets`` of them
+    placed = written.withColumn("_edges", edges).withColumn("_part", F.size(F.filter("_edges", lambda e: e <= key))).drop("_edges")
+    totals = placed.groupBy("_part").agg(*[F.sum(v).alias(f"_t{v}") for v in values])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_part", *[F.sum(f"_t{v}").over(before).alias(f"_o{v}") for v in values])
-    local = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    running = ranged.withColumns({f"_l{v}": F.sum(v).over(local) for v in values})
-    # offsets holds at most one row per shuffle partition, whatever the size of the data
+    sorting = [k.desc() if falls else k for k, (_, falls) in zip(keys, parts, strict=True)]
+    local = Window.partitionBy("_part").orderBy(*sorting).rowsBetween(Window.unboundedPreceding, 0)
+    running = placed.withColumns({f"_l{v}": F.sum(v).over(local) for v in values})
+    # one row per bucket, whatever the size of the data
     joined = running.join(F.broadcast(offsets), "_part")
     done = {
         name: F.col(f"_l_v_{name}") + F.coalesce(F.col(f"_o_v_{name}"), F.lit(0).cast("int"))
@@ -41,7 +88,7 @@ def global_running(df: DataFrame, order: list[Column | str], sums: dict[str, Col
     return joined.select(*df.columns, *[expr.alias(name) for name, expr in done.items()])
 
 
-def with_row_number(df: DataFrame, order: list[Column | str], name: str = "rn") -> DataFrame:
+def with_row_number(df: DataFrame, order: list[Order], name: str = "rn") -> DataFrame:
     """Global row number 1..n in a total order."""
     return global_running(df, order, {name: F.lit(1).cast("long")})
 

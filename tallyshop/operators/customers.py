@@ -109,7 +109,7 @@ def segment_summary(rfm: DataFrame, customers: DataFrame) -> DataFrame:
 def pareto(df: DataFrame, key: str, value: str) -> DataFrame:
     """Cumulative share of a value over keys from the largest down (ties in key order)."""
     running = global_running(
-        df, [F.col(value).desc(), F.col(key)], {"position": F.lit(1).cast("long"), "cumulative": value}
+        df, [(value, "desc"), key], {"position": F.lit(1).cast("long"), "cumulative": value}
     )
     last = running.agg(F.max(F.struct("position", "cumulative")).alias("s")).scalar()
     return running.withColumns(
@@ -130,7 +130,7 @@ def pareto_customers(rfm: DataFrame) -> DataFrame:
     sums = {f"_s{i}": F.when(F.col("segment") == n, F.col("M")).otherwise(0) for i, n in enumerate(names)}
     running = global_running(
         rfm.select("customer_id", "segment", "M"),
-        [F.col("M").desc(), F.col("customer_id")],
+        [("M", "desc"), "customer_id"],
         {"position": F.lit(1).cast("long"), "cum_revenue": "M", **sums},
     )
     last = running.agg(F.max(F.struct("position", "cum_revenue")).alias("s")).scalar()

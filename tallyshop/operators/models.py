@@ -525,7 +525,7 @@ def stratified_split(rows: DataFrame, label: str, key: str, train_share: float =
     """
     ordered = with_row_number(
         rows.withColumn("_hash", split_position(key, seed)).withColumn("_tie", F.xxhash64(*rows.columns)).withColumn("_row", F.monotonically_increasing_id()),
-        [F.col(label).asc_nulls_first(), "_hash", key, "_tie", "_row"], "_at",
+        [label, "_hash", key, "_tie", "_row"], "_at",
     )
     classes = rows.groupBy(F.col(label).alias("_class")).agg(F.count("*").alias("_n"))
     before = Window.orderBy(F.col("_class").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)  # one row per class

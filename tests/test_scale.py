@@ -100,3 +100,30 @@ def test_order_gaps_of_a_hot_customer(spark):
     assert median_order_gap(orders).first()[0] == gaps.median()
     counted = {r["gap"]: r["n"] for r in order_gaps(orders).collect()}
     assert counted == gaps.astype(int).value_counts().to_dict()
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_running_totals_of_any_kind_of_order(spark, parts):
+    rng = np.random.default_rng(5)
+    rows = [(i, None if i % 11 == 0 else float(rng.choice([0.5, 1.5, -2.0, float("nan")])), None if i % 7 == 0 else int(i % 5), f"k{i % 3}") for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, x double, n int, s string").repartition(parts)
+    for order, plain in (
+        ([("x", "desc"), "id"], [F.col("x").desc(), "id"]), ([("n", "desc"), "s", ("id", "desc")], [F.col("n").desc(), "s", F.col("id").desc()]),
+        (["s", "x", "id"], ["s", "x", "id"]), ([F.col("n").desc(), F.col("id").asc()], [F.col("n").desc(), "id"]),
+    ):
+        found = [r.id for r in scale.with_row_number(df, order).orderBy("rn").collect()]
+        assert found == [r.id for r in df.orderBy(*plain).collect()]
+    with pytest.raises(ValueError):
+        scale.with_row_number(df, [("s", "desc"), "id"])
+    with pytest.raises(ValueError):
+        scale.with_row_number(df, [(F.col("n") + 1).desc(), "id"])
+    assert scale.with_row_number(df.limit(0), ["id"]).collect() == []
+
+
+def test_running_totals_move_rows_once(spark):
+    df = spark.range(5000).select("id", (F.col("id") % 17).cast("double").alias("v"))
+    plan = scale.global_running(df, [("v", "desc"), "id"], {"total": "v"})._jdf.queryExecution().optimizedPlan().toString()
+    found = scale.global_running(df, [("v", "desc"), "id"], {"total": "v"})
+    explained = found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+    main = explained.split("Subqueries")[0]
+    assert "CartesianProduct" not in plan and main.count("Exchange hashpartitioning(_part") <= 2 and "rangepartitioning" not in main
