@@ -45,22 +45,23 @@ def training_sample(docs: DataFrame, labels: DataFrame, target: str, holdout: in
     Rows whose crc32(id) mod ``holdout`` is ``left_out`` are never taken. At most ``per_label`` rows of each label are,
     the same ones on every run: those first by a hash. Labels without a document do not count.
     """
-    from pyspark.sql import Window
+    def first(rows: DataFrame, *order: Column | str) -> DataFrame:
+        """The first ``per_label`` rows of each label; every partition sends that many at most."""
+        found = [rows.where(F.col("label") == value).orderBy(*order).limit(per_label) for value in (0, 1)]
+        return found[0].unionByName(found[1])
 
     marks = (
         labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), holdout) != left_out))
         .groupBy("doc_id").agg(F.max(target).cast("int").alias("label"))
     )
     there = docs.select(F.col("doc_id").alias("doc_id")).distinct()
-    of_label = Window.partitionBy("label")
-    first = of_label.orderBy(F.xxhash64("doc_id"), "doc_id")
-    marked = marks.join(there, "doc_id")
+    marked = staged(marks.join(there, "doc_id"), "marked")
     sizes = marked.groupBy("label").agg(F.count("*").alias("of"))
-    ids = marked.withColumn("at", F.row_number().over(first)).where(F.col("at") <= per_label)
+    ids = first(marked, F.xxhash64("doc_id"), "doc_id")
     # Two labels times ``per_label`` ids at most: small enough to send to every task, whatever the input.
-    texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids.drop("at")), "doc_id")
-    again = of_label.orderBy(F.xxhash64("doc_id", "text"))  # an id may have many rows
-    return texts.withColumn("at", F.row_number().over(again)).where(F.col("at") <= per_label).join(sizes, "label").select("text", "label", "of")
+    texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    chosen = first(texts, F.xxhash64("doc_id", "text"))  # an id may have many rows
+    return chosen.join(F.broadcast(sizes), "label").select("text", "label", "of")  # one size per label
 
 
 def fit_in_task(sample: DataFrame, fit: Callable[[list[str], list[int], dict[int, int]], object]):
