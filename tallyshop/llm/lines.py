@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tallyshop.llm.common import map_rows, staged
+from tallyshop.llm.common import map_rows, released_shuffles, staged
 from tallyshop.llm.components import connected_components
 
 MIN_WORDS = 3  # shorter lines are left alone
@@ -23,7 +23,8 @@ LONG_WORDS = 8192
 WHOLE_WORDS = 4  # shorter lines cannot lie within SIMILARITY of another without being equal
 HOT_SHARE = 32  # one line in so many is sampled to find common n-grams
 HOT_GRAMS = 20_000
-SKETCH_BITS = 1024  # a power of two
+SKETCH_BITS = 1024  # a power of two, and a multiple of 4 * 64
+SLIM_WORDS = 160  # lines up to here have sketches folded to a quarter, in which unlike lines still differ by far more than edits allow
 MEMO_ENTRIES = 150_000
 _WORD = re.compile(r"\w+")
 _DIGIT = re.compile(r"\d")
@@ -63,11 +64,13 @@ def _simhashes(lines: list[list[str]], hashes: _WordHash) -> np.ndarray:
 
 
 def _sketches(lines: list[list[str]], hashes: _WordHash) -> list[bytes]:
-    """``SKETCH_BITS`` bits for each list of words, of which each word flips one."""
+    """``SKETCH_BITS`` bits for each list of words, of which each word flips one; a quarter of that, folded, up to ``SLIM_WORDS``."""
     sizes = np.array([len(x) for x in lines])
     bits = np.fromiter((hashes[w] & (SKETCH_BITS - 1) for x in lines for w in x), dtype=np.int64, count=int(sizes.sum()))
     odd = np.bincount(np.repeat(np.arange(len(lines)) * SKETCH_BITS, sizes) + bits, minlength=SKETCH_BITS * len(lines)) & 1
-    return [x.tobytes() for x in np.packbits(odd.astype(np.uint8).reshape(-1, SKETCH_BITS), axis=1)]
+    odd = odd.astype(np.uint8).reshape(-1, 4, SKETCH_BITS // 4)
+    slim, wide = np.packbits(np.bitwise_xor.reduce(odd, axis=1), axis=1), np.packbits(odd.reshape(-1, SKETCH_BITS), axis=1)
+    return [(s if n <= SLIM_WORDS else w).tobytes() for n, s, w in zip(sizes.tolist(), slim, wide, strict=True)]
 
 
 def signatures(docs: DataFrame, sketches: bool = False) -> DataFrame:
@@ -388,19 +391,36 @@ def _shared(columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(gram[several]), pa.array(key[several])], names=["gram", "key"])
 
 
-def _bits(sketches: np.ndarray) -> np.ndarray:
-    return np.frombuffer(b"".join(sketches), dtype=np.uint64).reshape(-1, SKETCH_BITS // 64)
+class _Bits:
+    """Word sketches of rows: all of them folded, and those of long lines in full as well."""
 
+    def __init__(self, sketches: np.ndarray):
+        whole = SKETCH_BITS // 8
+        self.long = np.fromiter((len(x) == whole for x in sketches), dtype=bool, count=len(sketches))
+        self.place = np.cumsum(self.long) - 1
+        self.wide = np.frombuffer(b"".join(sketches[self.long]), dtype=np.uint64).reshape(-1, SKETCH_BITS // 64)
+        self.slim = np.empty((len(sketches), SKETCH_BITS // 256), dtype=np.uint64)
+        self.slim[~self.long] = np.frombuffer(b"".join(sketches[~self.long]), dtype=np.uint64).reshape(-1, SKETCH_BITS // 256)
+        self.slim[self.long] = np.bitwise_xor.reduce(self.wide.reshape(-1, 4, SKETCH_BITS // 256), axis=1)
 
-def _may_match(x, y, words: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How many bits the sketches of rows ``x`` and ``y`` differ in, folded where one of the two lines is short."""
+        found = np.bitwise_count(self.slim[x] ^ self.slim[y]).sum(axis=1, dtype=np.int64)
+        both = np.flatnonzero(self.long[x] & self.long[y])
+        if len(both):
+            found[both] = np.bitwise_count(self.wide[self.place[x[both]]] ^ self.wide[self.place[y[both]]]).sum(axis=1, dtype=np.int64)
+        return found
+
+
+def _may_match(x, y, words: np.ndarray, bits: _Bits) -> np.ndarray:
     """Whether sizes and word sketches allow a similarity of ``SIMILARITY``: an edit changes the length by at most one
-    word and the sketch by at most two bits. ``y`` is an array of rows."""
+    word and the sketch, folded or not, by at most two bits. ``y`` is an array of rows."""
     allowed = _edits(np.maximum(words[x], words[y]))
     found = np.abs(words[x] - words[y]) <= allowed
     at = np.flatnonzero(found)
     for part in np.array_split(at, len(at) // 65_536 + 1):
-        other = x[part] if isinstance(x, np.ndarray) else x
-        found[part] = np.bitwise_count(bits[other] ^ bits[y[part]]).sum(axis=1, dtype=np.int64) <= 2 * allowed[part]
+        other = x[part] if isinstance(x, np.ndarray) else np.full(len(part), x)
+        found[part] = bits.differ(other, y[part]) <= 2 * allowed[part]
     return found
 
 
@@ -421,7 +441,7 @@ def _reach(left: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> I
 def _candidates(columns: list[np.ndarray]) -> pa.RecordBatch:
     """A spanning forest of the pairs of keys that share a gram and may match."""
     gram, key, words, bits = columns
-    words, bits = words.astype(np.int64), _bits(bits)
+    words, bits = words.astype(np.int64), _Bits(bits)
     starts, sizes = _runs(gram)
     left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     small = np.repeat(sizes <= 32, sizes)
@@ -471,7 +491,7 @@ def _verified(columns: list[np.ndarray]) -> pa.RecordBatch:
     Every line of a candidate component is compared with all that may match it and are not linked to it already.
     """
     component, key, words, bits, codes = columns
-    words, bits = words.astype(np.int64), _bits(bits)
+    words, bits = words.astype(np.int64), _Bits(bits)
     keys, groups = [], []
     for start, size in zip(*map(np.ndarray.tolist, _runs(component)), strict=True):
         texts = {i: np.frombuffer(codes[i], dtype=np.uint32).tolist() for i in range(start, start + size)}
@@ -540,12 +560,16 @@ def whole_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
     links = staged(dealt.mapInArrow(_by_run(_candidates), "u long, v long"), "line-links")
     alike = connected_components(links).select(F.col("node").alias("key"), "component")
     member = nodes.join(alike, "key")
+    own = ["named", "doc_id", "text_hash"]  # without nulls, so that one shuffle of the texts serves both steps below
+
+    def placed(doc_id: Column) -> list[Column]:
+        return [doc_id.isNotNull().alias("named"), F.coalesce(doc_id, F.lit(0).cast("long")).alias("doc_id")]
+
     wanted = (  # the lines of a document that are to be compared travel as one list, so its text is split once
-        member.groupBy("first.doc_id", "first.text_hash")
-        .agg(F.collect_list(F.struct("first.line", "component", "key", "words", "sketch")).alias("lines")).alias("m")
+        member.select(*placed(F.col("first.doc_id")), "first.text_hash", F.struct("first.line", "component", "key", "words", "sketch").alias("line"))
+        .groupBy(*own).agg(F.collect_list("line").alias("lines"))
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").dropDuplicates(["doc_id", "text_hash"]).alias("d")
-    own = F.col("m.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("m.text_hash") == F.col("d.text_hash"))
+    texts = docs.select(*placed(F.col("doc_id").cast("long")), F.xxhash64("text").alias("text_hash"), "text").dropDuplicates(own)
     coded = map_rows(texts.join(wanted, own).select("text", "lines"), _coded, "component long, key long, words int, sketch binary, codes binary")
     # An explicit number, as comparing takes long for its bytes and tasks of few bytes would be put together.
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -567,8 +591,9 @@ def dedup(docs: DataFrame, whole: bool = False) -> DataFrame:
     table gives no rows; a column already named ``n_dropped`` is replaced.
     """
     docs = docs.drop("n_dropped")
-    lines = staged(signatures(docs, sketches=whole), "signatures")
-    groups = whole_groups(docs, lines) if whole else line_groups(docs, lines)
+    with released_shuffles(docs.sparkSession):
+        lines = staged(signatures(docs, sketches=whole), "signatures")
+        groups = whole_groups(docs, lines) if whole else line_groups(docs, lines)
     named = lines.join(groups, "key", "left").withColumn("group", F.coalesce("group", "key"))
     place = F.struct("doc_id", "text_hash", "line")
     winners = named.groupBy("group").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("group", "first")
