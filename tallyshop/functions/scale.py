@@ -50,6 +50,12 @@ def _falling(c: Column, kind: str) -> list[Column]:
     raise ValueError(f"no descending order over {kind} columns")
 
 
+def _edges_passed(edges: str, key: Column, most: int) -> Column:
+    """How many of at most ``most`` rising edges lie at or below the key, by binary search: steps of falling powers of two."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(edges, at + step - 1) <= key, at + step).otherwise(at))
+
+
 def global_running(df: DataFrame, order: list[Order], sums: dict[str, Column | str]) -> DataFrame:
     """Running totals of the whole table in ``order`` (which must be total, i.e. end in a key).
 
@@ -72,7 +78,7 @@ def global_running(df: DataFrame, order: list[Order], sums: dict[str, Column | s
     # row at of n opens bucket floor(at * buckets / n) if the row before it lies in an earlier one
     opens = ranked.where(F.floor(F.col("at") * buckets / F.col("n")) > F.floor((F.col("at") - 1) * buckets / F.col("n"))).where("at > 0")
     edges = opens.agg(F.sort_array(F.collect_list("key")).alias("edges")).scalar()  # less than ``buckets`` of them
-    placed = written.withColumn("_edges", edges).withColumn("_part", F.size(F.filter("_edges", lambda e: e <= key))).drop("_edges")
+    placed = written.withColumn("_edges", edges).withColumn("_part", _edges_passed("_edges", key, buckets)).drop("_edges")
     totals = placed.groupBy("_part").agg(*[F.sum(v).alias(f"_t{v}") for v in values])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_part", *[F.sum(f"_t{v}").over(before).alias(f"_o{v}") for v in values])

@@ -20,6 +20,7 @@ from tallyshop.functions.columns import (
 )
 from tallyshop.functions.scale import lookup, percentile_table
 from tallyshop.functions.spine import spine_of
+from tallyshop.session import materialise
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -266,7 +267,11 @@ def price_anomaly(products: DataFrame, low: float = 0.5, high: float = 2.0) -> D
 
 def iqr_bounds(df: DataFrame, columns: list[str], factor: float = 1.5) -> DataFrame:
     """Quartiles and outlier bounds per column."""
-    rows = long_values(df, columns)
+    return _bounds(long_values(df, columns), factor)
+
+
+def _bounds(rows: DataFrame, factor: float = 1.5) -> DataFrame:
+    """Quartiles and outlier bounds of (column, value) rows."""
     return percentile_table(rows, "value", {"q1": 0.25, "q3": 0.75}, ("column",), few_groups=True).withColumns(
         {
             "lower": F.col("q1") - factor * (F.col("q3") - F.col("q1")),
@@ -276,9 +281,9 @@ def iqr_bounds(df: DataFrame, columns: list[str], factor: float = 1.5) -> DataFr
 
 
 def iqr_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Bounds and number of values outside them, per column."""
-    bounds = iqr_bounds(df, columns)
-    rows = long_values(df, columns).join(F.broadcast(bounds), "column", "left")  # one row per column
+    """Bounds and number of values outside them, per column. The values are read twice, so they are written once."""
+    values = materialise(long_values(df, columns))
+    rows = values.join(F.broadcast(_bounds(values)), "column", "left")  # one row per column
     return rows.groupBy("column").agg(
         F.max("q1").alias("q1"), F.max("q3").alias("q3"), F.max("lower").alias("lower"), F.max("upper").alias("upper"),
         count_if(F.col("value") < F.col("lower")).alias("below"), count_if(F.col("value") > F.col("upper")).alias("above"),

@@ -127,3 +127,30 @@ def test_running_totals_move_rows_once(spark):
     explained = found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
     main = explained.split("Subqueries")[0]
     assert "CartesianProduct" not in plan and main.count("Exchange hashpartitioning(_part") <= 2 and "rangepartitioning" not in main
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 8, 31, 32])
+def test_buckets_are_found_by_binary_search(spark, n):
+    """As many edges at or below the key as a scan of all of them finds, nulls first, ties included."""
+    edges = [None, *range(3, 3 * n, 3)][:n]
+    rows = spark.createDataFrame([(v,) for v in [None, -1, *range(3 * n + 2)]], "v int")
+    cells = F.array(*[F.struct(F.lit(e).cast("int").alias("f0")) for e in edges]) if edges else F.array().cast("array<struct<f0:int>>")
+    key = F.struct(F.col("v").alias("f0"))
+    scan = F.size(F.filter("e", lambda e: e <= key))
+    found = rows.withColumn("e", cells).select(scale._edges_passed("e", key, 32).alias("a"), scan.alias("b"))
+    assert found.where("a <> b OR a IS NULL").count() == 0
+
+
+def test_outlier_bounds_read_the_table_once(spark):
+    from tallyshop.operators.quality import iqr_outliers
+
+    read = spark.sparkContext.accumulator(0)
+
+    def watched(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    table = spark.createDataFrame([(float(v),) for v in [*range(100), 1000, -1000]], "v double").mapInPandas(watched, "v double")
+    row = iqr_outliers(table, ["v"]).first()
+    assert (row["below"], row["above"], read.value) == (1, 1, 102)
