@@ -188,9 +188,14 @@ INVENTORY_MEASURES = (
 
 
 def inventory_snapshots(inventory: DataFrame, spec: DailySpec) -> DataFrame:
-    """Stock totals and means per snapshot date, with products per category and segment."""
-    return inventory.groupBy("snapshot_date").agg(
-        F.count_distinct("product_id").alias("unique_products_in_stock"),
+    """Stock totals and means per snapshot date, with products per category and segment.
+
+    A product's first row of a date counts it: rows are sorted as they are, where a distinct count would keep all these sums per product and date.
+    """
+    same = Window.partitionBy("snapshot_date", "product_id").orderBy("product_id")  # one row, unless a product is listed twice
+    first = (F.row_number().over(same) == 1) & F.col("product_id").isNotNull()
+    return inventory.withColumn("_first", first).groupBy("snapshot_date").agg(
+        F.count_if("_first").alias("unique_products_in_stock"),
         F.sum("stock_on_hand").alias("total_stock_on_hand"), F.sum("units_received").alias("total_units_received"),
         F.sum("units_sold").alias("total_units_sold"), F.avg("days_of_supply").alias("avg_days_of_supply"),
         F.avg("fill_rate").alias("avg_fill_rate"), F.sum("stockout_flag").alias("total_stockout_flags"),

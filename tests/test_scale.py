@@ -1,5 +1,7 @@
 """Exactness of the scalable building blocks, on skewed data, against plain Python."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -154,3 +156,43 @@ def test_outlier_bounds_read_the_table_once(spark):
     table = spark.createDataFrame([(float(v),) for v in [*range(100), 1000, -1000]], "v double").mapInPandas(watched, "v double")
     row = iqr_outliers(table, ["v"]).first()
     assert (row["below"], row["above"], read.value) == (1, 1, 102)
+
+
+def test_tasks_get_smaller_shares_of_a_larger_shuffle(spark):
+    """More partitions than spark.sql.shuffle.partitions where the rows need them."""
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k"}
+    before = {key: spark.conf.get(key, None) for key in small}
+    try:
+        for key, value in small.items():
+            spark.conf.set(key, value)
+        sums = spark.range(300_000).groupBy(F.xxhash64("id").alias("k")).agg(F.count("*").alias("n"))
+        parts = sums.select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+    assert parts > 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_settings_of_the_session_stay(spark):
+    from tallyshop.session import TASK_SETTINGS, tune
+
+    other = spark.newSession()
+    other.conf.set("spark.sql.files.maxPartitionBytes", "5m")
+    tune(other)
+    assert other.conf.get("spark.sql.files.maxPartitionBytes") == "5m"
+    assert all(other.conf.get(key) == value for key, value in TASK_SETTINGS.items() if not key.startswith("spark.sql.files"))
+
+
+def test_products_listed_twice_count_once_per_snapshot(spark):
+    from tallyshop.operators.daily import DailySpec, inventory_snapshots
+
+    rows = [("2000-01-31", p, 1, 1, 1, 1.0, 1.0, 0, 0, 0.5, "A", "S") for p in (1, 1, 2, None, None)] + [("2000-02-29", 1, 1, 1, 1, 1.0, 1.0, 0, 0, 0.5, "A", "S")]
+    names = "snapshot_date string, product_id long, stock_on_hand long, units_received long, units_sold long, days_of_supply double, fill_rate double, stockout_flag int, overstock_flag int, sell_through_rate double, category string, segment string"
+    out = inventory_snapshots(spark.createDataFrame(rows, names), DailySpec("2000-01-01", "2000-12-31", category=["A"], segment=["S"])).orderBy("snapshot_date")
+    assert [(r["unique_products_in_stock"], r["total_stock_on_hand"]) for r in out.collect()] == [(2, 5), (1, 1)]
+    import contextlib
+    import io
+
+    with contextlib.redirect_stdout(text := io.StringIO()):
+        out.explain()
+    assert "partial_sum" in text.getvalue() and "HashAggregate(keys=[snapshot_date" in text.getvalue() and ", product_id" not in "".join(re.findall(r"HashAggregate\(keys=\[(.*?)\]", text.getvalue()))
