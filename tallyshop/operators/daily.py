@@ -56,9 +56,12 @@ def daily_spec(cat: Catalog, start: str, end: str) -> DailySpec:
 
 
 def on_spine(cat: Catalog, spec: DailySpec, *summaries: DataFrame) -> DataFrame:
-    """Daily summaries left-joined to the calendar, missing numbers as 0."""
+    """Daily summaries left-joined to the calendar, missing numbers as 0.
+
+    A summary has one row per day whatever the data, so it is broadcast: a chain of sorted joins would hold a page of memory per sort.
+    """
     spine = date_spine(cat.spark, spec.start, spec.end)
-    joined = reduce(lambda left, right: left.join(right, "date", "left"), summaries, spine)
+    joined = reduce(lambda left, right: left.join(F.broadcast(right), "date", "left"), summaries, spine)
     return zero_filled(joined)
 
 
@@ -130,7 +133,7 @@ def reviews_by_day(reviews: DataFrame, spec: DailySpec) -> DataFrame:
     pairs = reviews.select(date, F.inline(ids)).where("id IS NOT NULL").distinct()
     distinct = pairs.groupBy("date").agg(*[F.count_if(F.col("kind") == k).alias(f"{k}_reviews") for k in kinds])
     rest = reviews.groupBy(date).agg(mean_exact("rating").alias("rating"), *one_hot_counts("review_title", spec.review_title))
-    return rest.join(distinct, "date", "left").select("date", *[f"{k}_reviews" for k in kinds], *rest.columns[1:])
+    return rest.join(F.broadcast(distinct), "date", "left").select("date", *[f"{k}_reviews" for k in kinds], *rest.columns[1:])
 
 
 def daily_customers(cat: Catalog, spec: DailySpec) -> DataFrame:
@@ -153,7 +156,7 @@ def daily_customers(cat: Catalog, spec: DailySpec) -> DataFrame:
     ).agg(F.count("city").alias("new_cities"))
     day_before = F.date_format(F.date_sub(first, 1), "yyyy-MM-dd")
     spine = cat.spark.range(1).select(F.explode(F.sequence(F.to_date(day_before), last)).alias("date"))
-    days = zero_filled(spine.join(signups, "date", "left").join(new_cities, "date", "left"))
+    days = zero_filled(spine.join(F.broadcast(signups), "date", "left").join(F.broadcast(new_cities), "date", "left"))
     before = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)  # calendar days
     known = {
         "customer_cumulative": "customer_daily_signup", "unique_cities_cumulative": "new_cities",
@@ -246,7 +249,7 @@ def daily_reviews(cat: Catalog, spec: DailySpec) -> DataFrame:
 
 def daily_master(cat: Catalog, spec: DailySpec) -> DataFrame:
     """Customer and promotion columns on one calendar."""
-    return daily_customers(cat, spec).join(daily_promotions(cat, spec), "date", "left")
+    return daily_customers(cat, spec).join(F.broadcast(daily_promotions(cat, spec)), "date", "left")
 
 
 def processed_daily(cat: Catalog, spec: DailySpec, legacy: bool = False) -> DataFrame:
@@ -263,5 +266,5 @@ def processed_daily(cat: Catalog, spec: DailySpec, legacy: bool = False) -> Data
     )
     parts = [] if legacy else [daily_customers(cat, spec), daily_promotions(cat, spec)]
     for part in [*parts, daily_inventory(cat, spec), daily_web(cat, spec)]:
-        out = out.join(part, "date", "left")
+        out = out.join(F.broadcast(part), "date", "left")
     return out

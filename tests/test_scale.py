@@ -196,3 +196,24 @@ def test_products_listed_twice_count_once_per_snapshot(spark):
     with contextlib.redirect_stdout(text := io.StringIO()):
         out.explain()
     assert "partial_sum" in text.getvalue() and "HashAggregate(keys=[snapshot_date" in text.getvalue() and ", product_id" not in "".join(re.findall(r"HashAggregate\(keys=\[(.*?)\]", text.getvalue()))
+
+
+def test_daily_summaries_join_without_sorts(spark, catalog):
+    """Summaries of one row per day: no sorted join, however large Spark takes them to be."""
+    import contextlib
+    import io
+
+    from tallyshop.operators.daily import DailySpec, on_spine
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        facts = spark.range(1000).select(F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") % 40).cast("int")).alias("date"), "id")
+        parts = [facts.groupBy("date").agg(F.sum("id").alias(name)) for name in ("a", "b", "c")]
+        out = on_spine(catalog(), DailySpec("2000-01-01", "2000-03-31"), *parts)
+        with contextlib.redirect_stdout(text := io.StringIO()):
+            out.explain()
+        rows = out.agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("c").alias("c")).first()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" not in text.getvalue() and tuple(rows) == (91, 499500, 499500)
