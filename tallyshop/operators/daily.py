@@ -80,15 +80,18 @@ def returns_by_day(returns: DataFrame) -> DataFrame:
 def orders_by_day(orders: DataFrame, spec: DailySpec) -> DataFrame:
     """Orders and distinct customers, and counts of every status, method, device and source.
 
-    Orders are counted per (day, customer) first, so distinct customers are rows of the second
-    step; order_id is the key of the table, so orders need no distinct count.
+    Orders and counts are summed per day as they are read. Distinct customers are rows of a (day, customer) table that moves before it is
+    made distinct: nearly every pair is new, so a scan that collected them first would hold all it reads. order_id is the key of the table,
+    so orders need no distinct count.
     """
     hot = [c for a in ("order_status", "payment_method", "device_type", "order_source") for c in one_hot_counts(a, getattr(spec, a))]
-    pairs = orders.groupBy(F.col("order_date").alias("date"), "customer_id").agg(F.count("order_id").alias("order_id"), *hot)
-    names = [c for c in pairs.columns if c not in ("date", "customer_id", "order_id")]
-    return pairs.groupBy("date").agg(
-        F.sum("order_id").alias("order_id"), F.count("customer_id").alias("customer_id"), *[F.sum(n).alias(n) for n in names]
-    )
+    date = F.col("order_date").alias("date")
+    rest = orders.groupBy(date).agg(F.count("order_id").alias("order_id"), *hot)
+    pairs = orders.select(F.col("order_date").alias("_date"), "customer_id").where("customer_id IS NOT NULL")
+    customers = pairs.repartition("_date", "customer_id").distinct().groupBy("_date").agg(F.count("*").alias("customer_id"))
+    joined = rest.join(F.broadcast(customers), F.col("date").eqNullSafe(F.col("_date")), "left")  # one row per day
+    names = [c for c in rest.columns if c not in ("date", "order_id")]
+    return joined.select("date", "order_id", F.coalesce("customer_id", F.lit(0).cast("long")).alias("customer_id"), *names)
 
 
 def shipments_by_day(shipments: DataFrame) -> tuple[DataFrame, DataFrame]:
