@@ -20,7 +20,7 @@ from tallyshop.functions.columns import (
 )
 from tallyshop.functions.scale import lookup, percentile_scalar, salted_lookup
 from tallyshop.operators.quality import histograms
-from tallyshop.session import materialise
+from tallyshop.session import materialise, sorted_groups
 from tallyshop.sources.tables import Catalog
 
 PROMO_FIELDS = (
@@ -181,13 +181,19 @@ def order_rows(cat: Catalog) -> DataFrame:
     )
 
 
+def kept_order_rows(cat: Catalog) -> DataFrame:
+    """The order rows, written once; the joins have sorted the lines by order, so each order is summed as it comes."""
+    with sorted_groups(cat.spark):
+        return materialise(order_rows(cat))
+
+
 def customer_base(cat: Catalog, orders: DataFrame | None = None) -> DataFrame:
     """Aggregates per customer from order rows, combined map-side before they travel.
 
     The order rows are written once: sums read them, and so does the count of categories, which
     goes over distinct (customer, category) pairs.
     """
-    orders = materialise(order_rows(cat)) if orders is None else orders
+    orders = kept_order_rows(cat) if orders is None else orders
     customers = orders.groupBy("customer_id").agg(
         F.count("*").alias("total_orders"),
         F.sum("quantity").alias("total_items"),
@@ -225,7 +231,7 @@ def customer_value(cat: Catalog) -> DataFrame:
 
 def customer_360(cat: Catalog, churn_days: int = 90, top_share: float = 0.2, bargain: float = 0.3) -> DataFrame:
     """Customer mart: behaviour, value, experience, returns, promotions, time and channels."""
-    orders = materialise(order_rows(cat))
+    orders = kept_order_rows(cat)
     base = materialise(customer_base(cat, orders))
     threshold = percentile_scalar(base, "total_profit", 1 - top_share)
     newest = base.agg(F.max("last_order").alias("d")).scalar()
