@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyshop.functions.columns import (
+    col,
     flag,
     mean_exact,
     one_hot_counts,
@@ -55,14 +56,24 @@ def daily_spec(cat: Catalog, start: str, end: str) -> DailySpec:
     return DailySpec(start, end, **{c: domain_values(cat[t], c) for c, t in places.items()})
 
 
-def on_spine(cat: Catalog, spec: DailySpec, *summaries: DataFrame) -> DataFrame:
-    """Daily summaries left-joined to the calendar, missing numbers as 0.
+def day_number(column: Column | str) -> Column:
+    """Days since 1970 as a whole number."""
+    return F.unix_date(col(column).cast("date")).cast("long")
+
 
-    A summary has one row per day whatever the data, so it is broadcast: a chain of sorted joins would hold a page of memory per sort.
+def join_by_day(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``left`` with the columns of ``right`` for its ``date``.
+
+    ``right`` has one row per day whatever the data, so it is broadcast: a chain of sorted joins would hold a page of memory per sort. Days are
+    compared as whole numbers: a broadcast by a whole number takes the room of its rows, one by a date a page of 64 MB for itself.
     """
-    spine = date_spine(cat.spark, spec.start, spec.end)
-    joined = reduce(lambda left, right: left.join(F.broadcast(right), "date", "left"), summaries, spine)
-    return zero_filled(joined)
+    days = right.select(day_number("date").alias("_day"), *[c for c in right.columns if c != "date"])
+    return left.join(F.broadcast(days), day_number("date") == F.col("_day"), "left").drop("_day")
+
+
+def on_spine(cat: Catalog, spec: DailySpec, *summaries: DataFrame) -> DataFrame:
+    """Daily summaries left-joined to the calendar, missing numbers as 0."""
+    return zero_filled(reduce(join_by_day, summaries, date_spine(cat.spark, spec.start, spec.end)))
 
 
 def zero_filled(df: DataFrame) -> DataFrame:
@@ -89,7 +100,9 @@ def orders_by_day(orders: DataFrame, spec: DailySpec) -> DataFrame:
     rest = orders.groupBy(date).agg(F.count("order_id").alias("order_id"), *hot)
     pairs = orders.select(F.col("order_date").alias("_date"), "customer_id").where("customer_id IS NOT NULL")
     customers = pairs.repartition("_date", "customer_id").distinct().groupBy("_date").agg(F.count("*").alias("customer_id"))
-    joined = rest.join(F.broadcast(customers), F.col("date").eqNullSafe(F.col("_date")), "left")  # one row per day
+    undated = F.lit(1 << 40)  # a number that no day has
+    days = customers.select(F.coalesce(day_number("_date"), undated).alias("_day"), "customer_id")  # one row per day
+    joined = rest.join(F.broadcast(days), F.coalesce(day_number("date"), undated) == F.col("_day"), "left")
     names = [c for c in rest.columns if c not in ("date", "order_id")]
     return joined.select("date", "order_id", F.coalesce("customer_id", F.lit(0).cast("long")).alias("customer_id"), *names)
 
@@ -136,7 +149,7 @@ def reviews_by_day(reviews: DataFrame, spec: DailySpec) -> DataFrame:
     pairs = reviews.select(date, F.inline(ids)).where("id IS NOT NULL").distinct()
     distinct = pairs.groupBy("date").agg(*[F.count_if(F.col("kind") == k).alias(f"{k}_reviews") for k in kinds])
     rest = reviews.groupBy(date).agg(mean_exact("rating").alias("rating"), *one_hot_counts("review_title", spec.review_title))
-    return rest.join(F.broadcast(distinct), "date", "left").select("date", *[f"{k}_reviews" for k in kinds], *rest.columns[1:])
+    return join_by_day(rest, distinct).select("date", *[f"{k}_reviews" for k in kinds], *rest.columns[1:])
 
 
 def daily_customers(cat: Catalog, spec: DailySpec) -> DataFrame:
@@ -159,7 +172,7 @@ def daily_customers(cat: Catalog, spec: DailySpec) -> DataFrame:
     ).agg(F.count("city").alias("new_cities"))
     day_before = F.date_format(F.date_sub(first, 1), "yyyy-MM-dd")
     spine = cat.spark.range(1).select(F.explode(F.sequence(F.to_date(day_before), last)).alias("date"))
-    days = zero_filled(spine.join(F.broadcast(signups), "date", "left").join(F.broadcast(new_cities), "date", "left"))
+    days = zero_filled(join_by_day(join_by_day(spine, signups), new_cities))
     before = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)  # calendar days
     known = {
         "customer_cumulative": "customer_daily_signup", "unique_cities_cumulative": "new_cities",
@@ -252,7 +265,7 @@ def daily_reviews(cat: Catalog, spec: DailySpec) -> DataFrame:
 
 def daily_master(cat: Catalog, spec: DailySpec) -> DataFrame:
     """Customer and promotion columns on one calendar."""
-    return daily_customers(cat, spec).join(F.broadcast(daily_promotions(cat, spec)), "date", "left")
+    return join_by_day(daily_customers(cat, spec), daily_promotions(cat, spec))
 
 
 def processed_daily(cat: Catalog, spec: DailySpec, legacy: bool = False) -> DataFrame:
@@ -268,6 +281,4 @@ def processed_daily(cat: Catalog, spec: DailySpec, legacy: bool = False) -> Data
         *shipments_by_day(cat.shipments), reviews_by_day(cat.reviews, spec), sales,
     )
     parts = [] if legacy else [daily_customers(cat, spec), daily_promotions(cat, spec)]
-    for part in [*parts, daily_inventory(cat, spec), daily_web(cat, spec)]:
-        out = out.join(F.broadcast(part), "date", "left")
-    return out
+    return reduce(join_by_day, [*parts, daily_inventory(cat, spec), daily_web(cat, spec)], out)

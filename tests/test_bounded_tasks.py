@@ -36,3 +36,18 @@ def test_lines_meet_by_order_before_they_are_summed(spark, tmp_path):
     ]
     physical = items.groupBy("order_id").sum("quantity")._jdf.queryExecution().sparkPlan().toString()
     assert "l_orderkey" in physical[physical.index("Exchange" if "Exchange" in physical else "Repartition"):]
+
+
+def test_days_are_joined_by_number(spark):
+    """A broadcast keyed by a date is a page of 64 MB in every task, whatever its rows; eleven of them are joined in the daily table."""
+    day = [date(2020, 1, d) for d in (1, 2, 3)]
+    left = spark.createDataFrame([(day[0], 1), (day[1], 2), (day[2], 3), (None, 4)], "date date, a int")
+    right = spark.createDataFrame([(day[0], 10), (day[1], 20), (day[1], 21), (None, 40)], "date date, b int")
+    found = daily.join_by_day(left, right)
+    assert found.columns == ["date", "a", "b"]
+    assert sorted((r.a, r.b or 0) for r in found.collect()) == [(1, 10), (2, 20), (2, 21), (3, 0), (4, 0)]
+    orders = spark.createDataFrame([(1, day[0], 7, "a", "p", "m", "s"), (2, None, 8, "b", "p", "m", "s")], SCHEMA)
+    reviews = spark.createDataFrame([(day[0], 1, 7, 3, 5, "Bad")], "review_date date, order_id long, customer_id long, product_id long, rating int, review_title string")
+    for joined in (found, daily.orders_by_day(orders, SPEC), daily.reviews_by_day(reviews, SPEC)):
+        keys = re.findall(r"BroadcastExchange HashedRelationBroadcastMode\(List\((.*?)\),", joined._jdf.queryExecution().executedPlan().toString())
+        assert keys and all("bigint" in k or "int" in k for k in keys) and not any("date" in k for k in keys)
