@@ -166,18 +166,26 @@ def modal_value(df: DataFrame, key: str, column: str, name: str) -> DataFrame:
 def order_rows(cat: Catalog) -> DataFrame:
     """Sums and counts of the item fact per order, and the categories of the order.
 
-    The fact is still partitioned by order_id here, so this needs no shuffle of its own.
+    Lines are summed per order before they meet orders and shipments, which say the same of all lines of an order, and once more after,
+    since an order or shipment listed twice repeats the lines. All of it is partitioned by order_id, so this needs no shuffle of its own.
     """
-    lines = item_fact(cat, ("orders", "shipments", "returns", "reviews", "products"))
-    sums = (
-        "quantity", "net_value", "profit", "discount_amount", "delivery_days", "rating", "return_qty", "refund_amount",
-    )
+    lines = item_fact(cat, ("returns", "reviews", "products"))
+    sums = ("quantity", "net_value", "profit", "discount_amount", "rating", "return_qty", "refund_amount")
+    counts = ("rating_n", "promo_lines", "total_lines")
     attributes = ("customer_id", "order_date", "device_type", "order_source")
-    return lines.groupBy("order_id").agg(
-        *[F.min(c).alias(c) for c in attributes], *[F.sum(c).alias(c) for c in sums],
-        F.count("delivery_days").alias("delivery_n"), F.count("rating").alias("rating_n"),
-        count_if(F.col("used_promo")).alias("promo_lines"), F.count("product_id").alias("total_lines"),
-        F.collect_set("category").alias("categories"),
+    per_order = lines.groupBy("order_id").agg(
+        *[F.sum(c).alias(c) for c in sums], F.count("rating").alias("rating_n"), count_if(F.col("used_promo")).alias("promo_lines"),
+        F.count("product_id").alias("total_lines"), F.collect_set("category").alias("categories"), F.count("*").alias("_lines"),
+    )
+    shipments = cat.shipments.select("order_id", F.datediff("delivery_date", "ship_date").alias("_days"))
+    joined = lookup(lookup(per_order, cat.orders.select("order_id", *attributes), ["order_id"]), shipments, ["order_id"])
+    total = {c: F.sum(c).cast(per_order.schema[c].dataType).alias(c) for c in (*sums, *counts)}
+    total["delivery_days"] = F.sum(F.col("_days") * F.col("_lines")).alias("delivery_days")
+    return joined.groupBy("order_id").agg(
+        *[F.min(c).alias(c) for c in attributes],
+        *[total[c] for c in ("quantity", "net_value", "profit", "discount_amount", "delivery_days", "rating", "return_qty", "refund_amount")],
+        F.sum(F.when(F.col("_days").isNotNull(), F.col("_lines")).otherwise(0)).alias("delivery_n"),
+        *[total[c] for c in counts], F.any_value("categories").alias("categories"),
     )
 
 
