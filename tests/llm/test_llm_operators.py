@@ -322,6 +322,23 @@ def test_rules_match_plain_counts_and_model(spark, docs, corpus):
     assert rules.judge(docs([])).count() == 0
 
 
+def test_every_ngram_has_its_own_probability(spark, docs):
+    r = random.Random(31)
+    # Tens of thousands of different n-grams over 3,000 characters in each language, so that 22 bits cannot tell them apart.
+    texts = {lang: ["".join(chr(r.randrange(0x4E00, 0x4E00 + 3000)) for _ in range(4000)) + " \U0010fffd" for _ in range(25)] for lang in ("aa", "bb")}
+    rows = [(100 * i + j, t, lang) for i, (lang, own) in enumerate(texts.items()) for j, t in enumerate(own)]
+    model = rules.learn(docs(rows))
+    grams = {lang: {t[i : i + 4] for t in ("\x02\x02\x02" + x for x in own) for i in range(len(t) - 3)} for lang, own in texts.items()}
+    assert {lang: len(model[lang][0, 4][0]) for lang in texts} == {lang: len(x) for lang, x in grams.items()}
+    assert all((np.diff(keys) > 0).all() for own in model.values() for keys, _ in own.values())
+    for lang, own in texts.items():
+        other = texts["bb" if lang == "aa" else "aa"]
+        found = rules._surprise(model, [lang] * 4, [own[0], own[1], other[0], "\0ab"])
+        assert found[:2] == pytest.approx(plain_kneser_ney(own)[:2], rel=1e-5)
+        assert found[2] > found[0]  # the grams of one language are not those of the other
+    assert rules._surprise(model, ["zz"], ["ab"])[0] == pytest.approx(2 * -math.log(1e-6))
+
+
 def test_bands_reject_strange_text_and_keep_plain(docs):
     r = random.Random(9)
     vocabulary = [word(r, "abcdefghijklmnop") for _ in range(300)]
