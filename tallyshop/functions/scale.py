@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyshop.functions.columns import col, dbl
-from tallyshop.session import materialise
+from tallyshop.session import materialise, released_shuffles
 
 
 # Buckets of a running total per shuffle partition, sampled rows per bucket, and the most buckets.
@@ -198,7 +198,8 @@ def frequent_keys(df: DataFrame, key: str, share: float) -> list:
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n").alias("_t")).scalar()
     hot = counts.where(F.col("_n") > total * share).select(key)
-    return [row[0] for row in hot.collect()]
+    with released_shuffles(df.sparkSession):
+        return [row[0] for row in hot.collect()]
 
 
 def lookup(fact: DataFrame, dimension: DataFrame, on: list[str], how: str = "left") -> DataFrame:
@@ -216,7 +217,7 @@ def salted_lookup(
     """Left lookup for a large dimension and a fact with hot keys.
 
     Rows of hot keys are spread over ``salts`` partitions by a hash of the whole row; only the
-    dimension rows of those (at most 1/share) keys are repeated.
+    dimension rows of those (at most 1/share) keys are repeated. The fact is read twice, first to find them: give a narrow one.
     """
     hot = frequent_keys(fact, key, share)
     is_hot = F.col(key).isin(hot) if hot else F.lit(False)

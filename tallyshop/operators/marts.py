@@ -58,26 +58,28 @@ def item_fact(cat: Catalog, parts: Iterable[str] = LOOKUPS, salted: bool = False
 
     Every lookup has one row per key, so the number of lines never changes; naming fewer
     ``parts`` drops whole joins (and their shuffles) without changing the other columns.
-    The order_id joins come first: they share one shuffle of the lines. ``salted`` spreads hot
+    The order_id joins share one shuffle of the lines; customers meet the orders, not the lines. ``salted`` spreads hot
     customers and products over many tasks where those dimensions are too large to broadcast
-    and AQE's split of skewed partitions is off or too coarse.
+    and AQE's split of skewed partitions is off or too coarse; products then meet the lines first, while these are
+    narrow, since finding the hot keys reads them once more and each salted join moves them.
     """
     parts = set(parts)
 
     def by_entity(fact: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
         return salted_lookup(fact, dimension, key) if salted else lookup(fact, dimension, [key])
 
-    out = cat.order_items.withColumns(
-        {
-            "gross_value": gross_value(),
-            "net_value": gross_value() - F.col("discount_amount"),
-            "used_promo": F.col("promo_id").isNotNull() | F.col("promo_id_2").isNotNull(),
-        }
-    )
+    def with_products(fact: DataFrame) -> DataFrame:
+        products = cat.products.select("product_id", "category", "segment", "cogs")
+        return by_entity(fact, products, "product_id")
+
+    out = with_products(cat.order_items) if salted and "products" in parts else cat.order_items
     if parts & {"orders", "customers", "geography"}:
         orders = cat.orders.select(
             "order_id", "customer_id", "order_date", "device_type", "order_source", "zip"
         )
+        if "customers" in parts:
+            customers = cat.customers.select("customer_id", "gender", "age_group", "acquisition_channel")
+            orders = by_entity(orders, customers, "customer_id")
         out = lookup(out, orders, ["order_id"]).withColumns(
             {
                 "order_year": F.year("order_date"),
@@ -85,6 +87,13 @@ def item_fact(cat: Catalog, parts: Iterable[str] = LOOKUPS, salted: bool = False
                 "order_weekday": F.weekday("order_date"),
             }
         )
+    out = out.withColumns(  # after the joins that may move the lines
+        {
+            "gross_value": gross_value(),
+            "net_value": gross_value() - F.col("discount_amount"),
+            "used_promo": F.col("promo_id").isNotNull() | F.col("promo_id_2").isNotNull(),
+        }
+    )
     if "shipments" in parts:
         shipments = cat.shipments.select("order_id", "ship_date", "delivery_date", "shipping_fee")
         out = lookup(out, shipments, ["order_id"]).withColumn(
@@ -108,14 +117,10 @@ def item_fact(cat: Catalog, parts: Iterable[str] = LOOKUPS, salted: bool = False
         )
     if "reviews" in parts:
         out = lookup(out, reviews_per_line(cat.reviews), ["order_id", "product_id"])
-    if "customers" in parts:
-        customers = cat.customers.select("customer_id", "gender", "age_group", "acquisition_channel")
-        out = by_entity(out, customers, "customer_id")
     if "geography" in parts:
         out = lookup(out, cat.geography.select("zip", "region"), ["zip"])
     if "products" in parts:
-        products = cat.products.select("product_id", "category", "segment", "cogs")
-        out = by_entity(out, products, "product_id")
+        out = out if salted else with_products(out)
         out = out.withColumn("cogs_total", F.col("quantity") * F.col("cogs"))
         out = out.withColumn("profit", F.col("net_value") - F.col("cogs_total"))
         if "returns" in parts:

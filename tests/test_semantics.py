@@ -251,6 +251,25 @@ def test_salted_item_fact_equals_plain(spark, catalog):
     assert sorted(map(str, plain.collect())) == sorted(map(str, salted.collect())) and plain.count() == n
 
 
+def test_salted_item_fact_seeks_hot_keys_in_narrow_tables(spark, catalog, monkeypatch):
+    items = spark.sql("SELECT 1L AS order_id, 2L AS product_id, 2 AS quantity, 3.0D AS unit_price, 1.0D AS discount_amount, cast(null AS string) AS promo_id, cast(null AS string) AS promo_id_2")
+    orders = spark.sql("SELECT 1L AS order_id, 5L AS customer_id, date'2020-01-01' AS order_date, 'm' AS device_type, 's' AS order_source, 1 AS zip")
+    people = spark.sql("SELECT 5L AS customer_id, 'F' AS gender, 'a' AS age_group, 'c' AS acquisition_channel")
+    goods = spark.sql("SELECT 2L AS product_id, 'a' AS category, 'x' AS segment, 1.0D AS cogs")
+    paid = spark.sql("SELECT 1L AS order_id, 6.0D AS payment_value")
+    seen = {}
+
+    def sought(df, key, share):
+        seen[key] = set(df.columns)
+        return []
+
+    monkeypatch.setattr("tallyshop.functions.scale.frequent_keys", sought)
+    cat = catalog(orders=orders, order_items=items, customers=people, products=goods, payments=paid)
+    row = marts.item_fact(cat, ("orders", "customers", "products", "payments"), salted=True).first()
+    assert (row.gender, row.category, row.net_value, row.profit, row.payment_value) == ("F", "a", 5.0, 3.0, 6.0)
+    assert seen == {"product_id": set(items.columns), "customer_id": set(orders.columns)}
+
+
 def test_validation_days_follow_their_training_days(spark):
     from tallyshop.operators import models
 
