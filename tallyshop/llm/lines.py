@@ -21,8 +21,12 @@ DISTANCE, BLOCKS = 3, 5  # five blocks, three differing bits: two blocks always
 SIMILARITY = 0.8
 LONG_WORDS = 8192
 WHOLE_WORDS = 4  # shorter lines cannot lie within SIMILARITY of another without being equal
-HOT_SHARE = 32  # one line in so many is sampled to find common n-grams
-HOT_GRAMS = 20_000
+HOT_SHARE = 32  # one text in so many is sampled to find common words
+HOT_WORDS = 50_000
+PARTS = 1 << 10  # grams travel in so many lots, packed; a power of two
+PACKED = 1 << 20  # grams that a task holds before it packs them
+CHUNK = 1 << 18  # characters split at a time
+PLAIN_COMPONENT = 256  # up to so many lines are compared with one another without an index
 SKETCH_BITS = 1024  # a power of two, and a multiple of 4 * 64
 SLIM_WORDS = 160  # lines up to here have sketches folded to a quarter, in which unlike lines still differ by far more than edits allow
 MEMO_ENTRIES = 150_000
@@ -63,14 +67,103 @@ def _simhashes(lines: list[list[str]], hashes: _WordHash) -> np.ndarray:
     return np.packbits(2 * sums > sizes[:, None], axis=1, bitorder="little").view("<i8").ravel()
 
 
+def _sketched(sizes: np.ndarray, words: np.ndarray) -> list[bytes]:
+    """``SKETCH_BITS`` bits for each line, of which each of its word hashes flips one; a quarter of that, folded, up to ``SLIM_WORDS``."""
+    out, ends = [], np.cumsum(sizes)
+    for low in range(0, len(sizes), 1024):
+        own = sizes[low : low + 1024]
+        bits = (words[ends[low] - own[0] : ends[low + len(own) - 1]] & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
+        odd = np.bincount(np.repeat(np.arange(len(own)) * SKETCH_BITS, own) + bits, minlength=SKETCH_BITS * len(own)) & 1
+        odd = odd.astype(np.uint8).reshape(-1, 4, SKETCH_BITS // 4)
+        slim, wide = np.packbits(np.bitwise_xor.reduce(odd, axis=1), axis=1), np.packbits(odd.reshape(-1, SKETCH_BITS), axis=1)
+        out += [(s if n <= SLIM_WORDS else w).tobytes() for n, s, w in zip(own.tolist(), slim, wide, strict=True)]
+    return out
+
+
 def _sketches(lines: list[list[str]], hashes: _WordHash) -> list[bytes]:
-    """``SKETCH_BITS`` bits for each list of words, of which each word flips one; a quarter of that, folded, up to ``SLIM_WORDS``."""
+    """The sketches of lists of words."""
     sizes = np.array([len(x) for x in lines])
-    bits = np.fromiter((hashes[w] & (SKETCH_BITS - 1) for x in lines for w in x), dtype=np.int64, count=int(sizes.sum()))
-    odd = np.bincount(np.repeat(np.arange(len(lines)) * SKETCH_BITS, sizes) + bits, minlength=SKETCH_BITS * len(lines)) & 1
-    odd = odd.astype(np.uint8).reshape(-1, 4, SKETCH_BITS // 4)
-    slim, wide = np.packbits(np.bitwise_xor.reduce(odd, axis=1), axis=1), np.packbits(odd.reshape(-1, SKETCH_BITS), axis=1)
-    return [(s if n <= SLIM_WORDS else w).tobytes() for n, s, w in zip(sizes.tolist(), slim, wide, strict=True)]
+    return _sketched(sizes, np.fromiter((hashes[w] for x in lines for w in x), dtype="<u8", count=int(sizes.sum())))
+
+
+_MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _MIX[0]
+    return x ^ (x >> np.uint64(29))
+
+
+_LETTERS: dict[int, np.ndarray] = {}
+
+
+def _letters(top: int) -> np.ndarray:
+    """A number for each code point up to ``top`` or beyond: 0 outside words (``_WORD``), the same for all digits (``_DIGIT``)."""
+    bits = max(8, top.bit_length())
+    if bits not in _LETTERS:
+        found = [chr(c) for c in range(min(1 << bits, 0x110000))]
+        codes = np.array([48 if c.isdecimal() else ord(c) if c.isalnum() or c == "_" else 0 for c in found], dtype=np.uint64)
+        _LETTERS[bits] = np.where(codes > 0, _mixed(_mixed(codes * _MIX[1])) | np.uint64(1), np.uint64(0))
+    return _LETTERS[bits]
+
+
+def _weights(count: int) -> np.ndarray:
+    """Odd numbers that stand for the first places of a word or line."""
+    return _mixed(_mixed((np.arange(count, dtype=np.uint64) + np.uint64(1)) * _MIX[2])) | np.uint64(1)
+
+
+def _places(starts: np.ndarray, count: int) -> np.ndarray:
+    """How far each of ``count`` items lies behind the start before it."""
+    return np.arange(count) - np.repeat(starts, np.diff(np.r_[starts, count]))
+
+
+class _Split:
+    """The lines of some texts, their words (those of ``normal_words``) as 64-bit hashes, all texts at once.
+
+    ``rows`` and ``numbers`` say for each line its text and its place there, ``sizes`` its words, ``ends`` where they end in ``words``.
+    """
+
+    def __init__(self, texts: list[str]):
+        counts = np.array([t.count("\n") + 1 for t in texts])
+        self.first = np.cumsum(counts) - counts
+        self.rows = np.repeat(np.arange(len(texts)), counts)
+        self.numbers = np.arange(len(self.rows)) - self.first[self.rows]
+        points = np.frombuffer("\n".join([t.lower() for t in texts]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        value = _letters(int(points.max(initial=0)))[points]
+        at = np.flatnonzero(value)
+        starts = np.flatnonzero(np.r_[len(at) > 0, at[1:] != at[:-1] + 1][: len(at)])
+        if len(starts):
+            place = _places(starts, len(at))
+            self.words = _mixed(np.add.reduceat(value[at] * _weights(int(place.max()) + 1)[place], starts))
+        else:
+            self.words = np.zeros(0, dtype=np.uint64)
+        line = np.searchsorted(np.flatnonzero(points == 10), at[starts])
+        self.sizes = np.bincount(line, minlength=len(self.rows))
+        self.ends = np.cumsum(self.sizes)
+
+    def chosen(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(lines of at least ``least`` words, their sizes, keys, words one after the other)."""
+        lines = np.flatnonzero(self.sizes >= least)
+        sizes, words = self.sizes[lines], self.words[np.repeat(self.sizes >= least, self.sizes)]
+        if not len(lines):
+            return lines, sizes, np.zeros(0, dtype=np.uint64), words
+        starts = np.cumsum(sizes) - sizes
+        place = _places(starts, len(words))
+        keys = np.add.reduceat(_mixed(words) * _weights(int(sizes.max()))[place], starts)
+        return lines, sizes, _mixed(keys + sizes.astype(np.uint64) * _MIX[3]), words
+
+
+def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+    """(place of the first, some texts) with about ``CHUNK`` characters each."""
+    low, part, held = 0, [], 0
+    for i, text in enumerate(texts):
+        part.append(text or "")
+        held += len(part[-1])
+        if held >= CHUNK or len(part) == 4096:
+            yield low, part
+            low, part, held = i + 1, [], 0
+    if part:
+        yield low, part
 
 
 def signatures(docs: DataFrame, sketches: bool = False) -> DataFrame:
@@ -101,13 +194,23 @@ def signatures(docs: DataFrame, sketches: bool = False) -> DataFrame:
                     at = pa.array(rows)
                     yield pa.RecordBatch.from_arrays([
                         part.column(0).take(at), part.column(1).take(at), pa.array(numbers, pa.int32()),
-                        pa.array(np.array(keys, dtype=np.uint64).view(np.int64)),
-                        pa.array(_sketches(found, hashes) if sketches else _simhashes(found, hashes)),
-                        pa.array([len(x) for x in found], pa.int32()),
+                        pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array(_simhashes(found, hashes)), pa.array([len(x) for x in found], pa.int32()),
+                    ], names=["doc_id", "text_hash", "line", "key", kind, "words"])
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, texts in _chunks(batch.column(2).to_pylist()):
+                split = _Split(texts)
+                lines, sizes, keys, words = split.chosen(MIN_WORDS)
+                if len(lines):
+                    at = pa.array(low + split.rows[lines])
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column(0).take(at), batch.column(1).take(at), pa.array(split.numbers[lines], pa.int32()),
+                        pa.array(keys.view(np.int64)), pa.array(_sketched(sizes, words), pa.binary()), pa.array(sizes, pa.int32()),
                     ], names=["doc_id", "text_hash", "line", "key", kind, "words"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return map_rows(rows, work, f"doc_id long, text_hash long, line int, key long, {kind} {'binary' if sketches else 'long'}, words int")
+    return map_rows(rows, sketched if sketches else work, f"doc_id long, text_hash long, line int, key long, {kind} {'binary' if sketches else 'long'}, words int")
 
 
 def _block_keys(fingerprint: Column) -> Column:
@@ -265,9 +368,7 @@ def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
 #
 # A line of L words and one of at most L words within L // 5 word edits of it share all but q * (L // 5) of the L - q + 1
 # word q-grams of the longer. If grams are taken in any fixed order, a short prefix of each line's grams thus meets the
-# other's: pairs of lines up to 7 words meet in bigrams, longer ones in trigrams. Nothing similar is lost.
-
-_MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+# other's. Lines meet in bigrams, those of rare words first, as few lines share them by chance. Nothing similar is lost.
 
 
 def _edits(words):
@@ -282,77 +383,90 @@ def _prefix(words: np.ndarray, q: int) -> np.ndarray:
     return np.minimum(words + 1 + most, words - q + 1)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _MIX[0]
-    return x ^ (x >> np.uint64(29))
-
-
-def _prefix_grams(lines: list[list[str]], hashes: _WordHash, hot: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the line, hash of the gram) of the first q-grams of each line; a repeated gram is numbered.
+def _prefix_grams(sizes: np.ndarray, words: np.ndarray, hot: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the line, 46-bit hash of the gram) of the first bigrams of at most 4,096 lines; a repeated gram is numbered.
 
-    Grams in ``hot`` (sorted) come last in the order, others by their hash.
+    Bigrams of the words in ``hot`` (sorted) come last in the order, the more so the higher their ``level`` (below 32); others by their hash.
     """
-    sizes = np.array([len(x) for x in lines])
-    words = np.fromiter((hashes[w] for x in lines for w in x), dtype="<u8", count=int(sizes.sum()))
-    line = np.repeat(np.arange(len(lines)), sizes)
-    grams = np.full(len(words) - q + 1, q, dtype=np.uint64)
-    for i in range(q):
-        grams = _mixed(grams + words[i : len(words) - q + 1 + i] * _MIX[1 + i])
-    inside = line[: len(grams)] == line[q - 1 :]
-    line, grams = line[: len(grams)][inside], grams[inside]
-
-    def at_run(new: np.ndarray) -> np.ndarray:
-        starts = np.flatnonzero(new)
-        return np.arange(len(new)) - np.repeat(starts, np.diff([*starts, len(new)]))
-
-    order = np.lexsort((grams, line))
-    line, grams = line[order], grams[order]
-    new = np.r_[True, (line[1:] != line[:-1]) | (grams[1:] != grams[:-1])]
-    again = at_run(new).astype(np.uint64)
-    grams = np.where(again > 0, _mixed(grams + again * _MIX[3]), grams).view(np.int64)
-    common = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams if len(hot) else np.zeros(len(grams), dtype=bool)
-    order = np.lexsort((grams, common, line))
-    line, grams = line[order], grams[order]
-    first = at_run(np.r_[True, line[1:] != line[:-1]]) < _prefix(sizes, q)[line]
+    mask = np.uint64((1 << 46) - 1)
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
+    rank = np.where(hot[place] == words, level[place], 0).astype(np.uint64) if len(hot) else np.zeros(len(words), dtype=np.uint64)
+    inside = line[:-1] == line[1:]
+    grams = _mixed(_mixed(words[:-1] * _MIX[1]) + words[1:] * _MIX[2])[inside] & mask
+    rank = (rank[:-1] + rank[1:])[inside]
+    # line, rank and hash make one number, so one sort of numbers puts the grams of all lines in order
+    ordered = np.sort(line[1:][inside].astype(np.uint64) << np.uint64(52) | rank << np.uint64(46) | grams)
+    line, grams = (ordered >> np.uint64(52)).astype(np.int64), ordered & mask
+    again = _places(np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]), len(ordered)).astype(np.uint64)
+    grams = np.where(again > 0, _mixed(grams + again * _MIX[3]) & mask, grams)
+    first = _places(np.flatnonzero(np.r_[True, line[1:] != line[:-1]]), len(line)) < _prefix(sizes, 2)[line]
     return line[first], grams[first]
 
 
-def _gram_rows(docs: DataFrame, hot: np.ndarray, sampled: bool = False) -> DataFrame:
-    """(gram, key) of the lines of ``docs``; copies of a line come once for each task, or a few times."""
+def _pack(grams: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
+    """One row for each lot of grams (their last bits): 32 more bits of the grams, and the keys of their lines."""
+    gram, key = np.concatenate(grams), np.concatenate(keys)
+    lot = (gram & np.uint64(PARTS - 1)).astype(np.int16)
+    order = np.argsort(lot, kind="stable")
+    gram, key = (gram[order] >> np.uint64(PARTS.bit_length() - 1)).astype("<u4"), key[order].astype("<i8")
+    starts, sizes = _runs(lot[order])
+
+    def binary(values: np.ndarray) -> pa.Array:
+        offsets = np.r_[starts, len(values)].astype(np.int32) * values.dtype.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values.tobytes())])
+
+    return pa.RecordBatch.from_arrays([pa.array(lot[order][starts].astype(np.int32)), binary(gram), binary(key)], names=["lot", "grams", "keys"])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
 
-        hashes, seen = _WordHash(), set()
+def _gram_lots(docs: DataFrame, hot: np.ndarray, level: np.ndarray) -> DataFrame:
+    """(lot, grams, keys) of the lines of ``docs``, packed; copies of a line come once for each task, or a few times."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, grams, named, held = set(), [], [], 0
         for batch in batches:
-            for low in range(0, len(batch), 256):
-                keys, found = [], []
-                for text in batch.column(0).slice(low, 256).to_pylist():
-                    for line in _DIGIT.sub("0", (text or "").lower()).split("\n"):
-                        words = _WORD.findall(line)
-                        if len(words) >= WHOLE_WORDS:
-                            key = xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
-                            if key not in seen and not (sampled and key % HOT_SHARE):
-                                seen.add(key)
-                                keys.append(key)
-                                found.append(words)
+            for _, texts in _chunks(batch.column(0).to_pylist()):
+                _, sizes, keys, words = _Split(texts).chosen(WHOLE_WORDS)
+                new = np.zeros(len(keys), dtype=bool)
+                for i, key in enumerate(keys.tolist()):
+                    if key not in seen:
+                        seen.add(key)
+                        new[i] = True
+                sizes, keys, words = sizes[new], keys[new].view(np.int64), words[np.repeat(new, sizes)]
                 if len(seen) >= MEMO_ENTRIES:
                     seen.clear()
-                for q, fits in ((2, lambda n: n <= 7), (3, lambda n: n >= 7)):
-                    own = [i for i, x in enumerate(found) if fits(len(x))]
-                    if own:
-                        line, grams = _prefix_grams([found[i] for i in own], hashes, hot, q)
-                        named = np.array([keys[i] for i in own], dtype=np.uint64).view(np.int64)[line]
-                        yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(named)], names=["gram", "key"])
+                ends = np.cumsum(sizes)
+                for low in range(0, len(sizes), 4096):
+                    own = sizes[low : low + 4096]
+                    line, found = _prefix_grams(own, words[ends[low] - own[0] : ends[low + len(own) - 1]], hot, level)
+                    grams.append(found)
+                    named.append(keys[low + line])
+                    held += len(found)
+                if held >= PACKED:
+                    yield _pack(grams, named)
+                    grams, named, held = [], [], 0
+        if held:
+            yield _pack(grams, named)
 
-    return map_rows(docs.select("text"), work, "gram long, key long")
+    return map_rows(docs.select("text"), work, "lot int, grams binary, keys binary")
 
 
-def _common_grams(docs: DataFrame) -> np.ndarray:
-    """Sorted grams that many sampled lines have. They only steer the order of grams, not what is found."""
-    counts = _gram_rows(docs, np.zeros(0, dtype=np.int64), sampled=True).distinct().groupBy("gram").agg(F.count("*").alias("n"))
-    found = counts.where("n >= 4").orderBy(F.desc("n"), "gram").limit(HOT_GRAMS).select("gram").toArrow()
-    return np.sort(found.column("gram").to_numpy())
+def _common_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of words that sampled texts have often, and levels that rise with their logarithms. They only steer the
+    order of grams, not what is found."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in _chunks(batch.column(0).to_pylist()):
+                words, counts = np.unique(_Split(texts).words, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts, pa.int64())], names=["word", "n"])
+
+    sampled = docs.where(F.pmod(F.xxhash64("text"), F.lit(HOT_SHARE)) == 0).select("text").distinct()
+    counts = map_rows(sampled, work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n >= 2")
+    found = counts.orderBy(F.desc("n"), "word").limit(HOT_WORDS).toArrow()
+    words, n = found.column("word").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(words)
+    return words[order], np.minimum(31, np.round(2 * np.log2(n[order])))
 
 
 def _by_run(work: Callable[[list[np.ndarray]], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -381,14 +495,30 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.r_[starts, len(keys)])
 
 
-def _shared(columns: list[np.ndarray]) -> pa.RecordBatch:
-    """The (gram, key) rows, each once, of grams with several keys."""
-    gram, key = columns
-    once = np.r_[True, (gram[1:] != gram[:-1]) | (key[1:] != key[:-1])]
-    gram, key = gram[once], key[once]
-    starts, sizes = _runs(gram)
-    several = np.repeat(sizes > 1, sizes)
-    return pa.RecordBatch.from_arrays([pa.array(gram[several]), pa.array(key[several])], names=["gram", "key"])
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The (gram, key) rows, each once, of grams with several keys; packed rows come sorted by their lot."""
+
+    def flush(lot: int, grams: list[bytes], keys: list[bytes]) -> pa.RecordBatch:
+        gram, key = np.frombuffer(b"".join(grams), dtype="<u4"), np.frombuffer(b"".join(keys), dtype="<i8")
+        order = np.lexsort((key, gram))
+        gram, key = gram[order], key[order]
+        once = np.r_[True, (gram[1:] != gram[:-1]) | (key[1:] != key[:-1])]
+        gram, key = gram[once], key[once]
+        _, sizes = _runs(gram)
+        several = np.repeat(sizes > 1, sizes)
+        return pa.RecordBatch.from_arrays([pa.array(gram[several].astype(np.int64) << 16 | lot), pa.array(key[several])], names=["gram", "key"])
+
+    lot, grams, keys = None, [], []
+    for batch in batches:
+        for at, gram, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if at != lot and grams:
+                yield flush(lot, grams, keys)
+                grams, keys = [], []
+            lot = at
+            grams.append(gram)
+            keys.append(key)
+    if grams:
+        yield flush(lot, grams, keys)
 
 
 class _Bits:
@@ -485,60 +615,118 @@ def edit_distance(a: list, b: list) -> int:
     return distance
 
 
+class _Lines:
+    """The lines of one component: their words as 32-bit codes, and which of them are within ``SIMILARITY``."""
+
+    def __init__(self, codes: list[np.ndarray]):
+        self.codes, self.bags = codes, {}
+
+    def bag(self, x: int) -> np.ndarray:
+        """The codes in order, a repeated one numbered."""
+        if x not in self.bags:
+            found = np.sort(self.codes[x]).astype(np.int64)
+            self.bags[x] = found << 24 | _places(np.flatnonzero(np.r_[True, found[1:] != found[:-1]]), len(found))
+        return self.bags[x]
+
+    def match(self, x: int, y: int) -> bool:
+        a, b = self.codes[x], self.codes[y]
+        longest = max(len(a), len(b))
+        allowed = _edits(longest)
+        if len(a) == len(b) and np.count_nonzero(a != b) <= allowed:
+            return True
+        both = np.sort(np.concatenate([self.bag(x), self.bag(y)]))
+        if np.count_nonzero(both[1:] == both[:-1]) < longest - allowed:  # every word that is not shared costs an edit
+            return False
+        return edit_distance(a.tolist(), b.tolist()) <= allowed
+
+
+def _labels(lines: _Lines, words: np.ndarray, may: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """A label for each line of a large component, alike for lines of one group.
+
+    Lines within ``SIMILARITY`` share all but a fifth of their words, so they meet in one of the rarest words of both, as
+    lines of the whole table do in bigrams; only such pairs that are not linked already are compared, each once.
+    """
+    sizes = words
+    items, line = np.concatenate([lines.bag(x) for x in range(len(sizes))]), np.repeat(np.arange(len(sizes)), sizes)
+    _, item, counts = np.unique(items, return_inverse=True, return_counts=True)
+    order = np.lexsort((item, counts[item], line))
+    item, line = item[order], line[order]
+    first = (_places(np.flatnonzero(np.r_[True, line[1:] != line[:-1]]), len(line)) < _prefix(sizes, 1)[line]) & (counts[item] > 1)
+    item, line = item[first], line[first]
+    order = np.lexsort((line, item))
+    item, line = item[order], line[order]
+    label, members, failed = np.arange(len(sizes)), {x: [x] for x in range(len(sizes))}, set()
+    for start, size in zip(*map(np.ndarray.tolist, _runs(item)), strict=True):
+        group = line[start : start + size]
+        for i in range(size - 1):
+            x, rest = int(group[i]), group[i + 1 :]
+            rest = rest[label[rest] != label[x]]
+            for y in rest[may(x, rest)].tolist() if len(rest) else ():
+                if label[x] == label[y] or (x, y) in failed:
+                    continue
+                if not lines.match(x, y):
+                    failed.add((x, y))
+                    continue
+                small, large = sorted((int(label[x]), int(label[y])), key=lambda at: len(members[at]))
+                moved = members.pop(small)
+                label[moved] = large
+                members[large] += moved
+    return label
+
+
 def _verified(columns: list[np.ndarray]) -> pa.RecordBatch:
     """(key, group) of lines that really match another, each group named by its smallest key.
 
-    Every line of a candidate component is compared with all that may match it and are not linked to it already.
+    Every line of a candidate component is compared with all that may match it and are not linked to it already; in large
+    components only with those that share a rare word, without which they cannot match.
     """
     component, key, words, bits, codes = columns
     words, bits = words.astype(np.int64), _Bits(bits)
     keys, groups = [], []
     for start, size in zip(*map(np.ndarray.tolist, _runs(component)), strict=True):
-        texts = {i: np.frombuffer(codes[i], dtype=np.uint32).tolist() for i in range(start, start + size)}
+        lines = _Lines([np.frombuffer(codes[i], dtype=np.uint32) for i in range(start, start + size)])
 
-        def near(x: int, rest: np.ndarray, texts: dict = texts) -> np.ndarray:
-            hit = _may_match(x, rest, words, bits)
+        def may(x: int, rest: np.ndarray, start: int = start) -> np.ndarray:
+            return _may_match(start + x, start + rest, words, bits)
+
+        def near(x: int, rest: np.ndarray, lines: _Lines = lines, may: Callable = may) -> np.ndarray:
+            hit = may(x, rest)
             for i in np.flatnonzero(hit).tolist():
-                y = int(rest[i])
-                hit[i] = edit_distance(texts[x], texts[y]) <= max(len(texts[x]), len(texts[y])) // 5
+                hit[i] = lines.match(x, int(rest[i]))
             return hit
 
-        root: dict[int, int] = {}
-        for x, hit in _reach(np.arange(start, start + size), near):
-            top = root.setdefault(x, x)
-            root |= dict.fromkeys(hit.tolist(), top)
-        least: dict[int, int] = {}
-        for x, top in root.items():
-            least[top] = min(least.get(top, int(key[x])), int(key[x]))
-        keys += [int(key[x]) for x in root]
-        groups += [least[top] for top in root.values()]
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(groups, pa.int64())], names=["key", "group"])
+        if size > PLAIN_COMPONENT:
+            label = _labels(lines, words[start : start + size], may)
+        else:
+            label = np.arange(size)
+            for x, hit in _reach(np.arange(size), near):
+                label[hit] = label[x]
+        own = key[start : start + size]
+        _, at, counts = np.unique(label, return_inverse=True, return_counts=True)
+        least = np.full(len(counts), np.iinfo(np.int64).max)
+        np.minimum.at(least, at, own)
+        several = counts[at] > 1
+        keys.append(own[several])
+        groups.append(least[at[several]])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(groups))], names=["key", "group"])
 
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(component, key, words, sketch, codes) of the wanted lines of each text, codes being a 32-bit hash of each word."""
-    import xxhash
-
     names = ["component", "key", "words", "sketch"]
-
-    def flush(out: list[dict], codes: list[bytes]) -> pa.RecordBatch:
-        columns = [pa.array([x[n] for x in out], {"words": pa.int32(), "sketch": pa.binary()}.get(n, pa.int64())) for n in names]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(codes, pa.binary())], names=[*names, "codes"])
-
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
     for batch in batches:
-        out, codes, held = [], [], 0
-        for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
-            parts = (text.as_py() or "").split("\n")
-            for line in wanted.as_py():
-                found = normal_words(parts[line["line"]])
-                out.append(line)
-                codes.append(np.array([xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) for w in found], dtype=np.uint32).tobytes())
-                held += len(codes[-1])
-            if len(out) > 4096 or held > 4 << 20:
-                yield flush(out, codes)
-                out, codes, held = [], [], 0
-        if out:
-            yield flush(out, codes)
+        every = batch.column(1).to_pylist()
+        for low, texts in _chunks(batch.column(0).to_pylist()):
+            split = _Split(texts)
+            out, codes = [], []
+            for first, wanted in zip(split.first.tolist(), every[low : low + len(texts)], strict=True):
+                for line in wanted:
+                    at = first + line["line"]
+                    out.append(line)
+                    codes.append(split.words[split.ends[at] - split.sizes[at] : split.ends[at]].astype(np.uint32).tobytes())
+            columns = [pa.array([x[n] for x in out], t) for n, t in zip(names, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(codes, pa.binary())], names=[*names, "codes"])
 
 
 def whole_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -553,8 +741,8 @@ def whole_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
         .agg(F.max("words").alias("words"), F.max("sketch").alias("sketch"), F.min(F.struct("doc_id", "text_hash", "line")).alias("first")),
         "lines",
     )
-    rows = _gram_rows(docs, _common_grams(docs)).repartition(F.col("gram")).sortWithinPartitions("gram", "key")
-    shared = staged(rows.mapInArrow(_by_run(_shared), "gram long, key long"), "line-grams")
+    lots = _gram_lots(docs, *_common_words(docs)).repartition(F.col("lot")).sortWithinPartitions("lot")
+    shared = staged(map_rows(lots, _shared, "gram long, key long"), "line-grams")
     known = shared.join(nodes.select("key", "words", "sketch"), "key").select("gram", "key", "words", "sketch")
     dealt = known.repartition(F.col("gram")).sortWithinPartitions("gram", "key")
     links = staged(dealt.mapInArrow(_by_run(_candidates), "u long, v long"), "line-links")
