@@ -124,7 +124,7 @@ class _Split:
     """
 
     def __init__(self, texts: list[str]):
-        counts = np.array([t.count("\n") + 1 for t in texts])
+        counts = np.array([t.count("\n") + 1 for t in texts], dtype=np.int64)
         self.first = np.cumsum(counts) - counts
         self.rows = np.repeat(np.arange(len(texts)), counts)
         self.numbers = np.arange(len(self.rows)) - self.first[self.rows]
@@ -548,8 +548,11 @@ def _may_match(x, y, words: np.ndarray, bits: _Bits) -> np.ndarray:
     allowed = _edits(np.maximum(words[x], words[y]))
     found = np.abs(words[x] - words[y]) <= allowed
     at = np.flatnonzero(found)
-    for part in np.array_split(at, len(at) // 65_536 + 1):
+    found[at] = False
+    for part in np.array_split(at, len(at) // 65_536 + 1) if len(at) > 65_536 else [at]:
         other = x[part] if isinstance(x, np.ndarray) else np.full(len(part), x)
+        few = np.bitwise_count(bits.slim[other, 0] ^ bits.slim[y[part], 0]) <= 2 * allowed[part]  # a part differs in no more bits than the whole
+        part, other = part[few], other[few]
         found[part] = bits.differ(other, y[part]) <= 2 * allowed[part]
     return found
 
@@ -568,26 +571,66 @@ def _reach(left: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> I
                 left = left[~hit]
 
 
+def _pairs(x: np.ndarray, y: np.ndarray, words: np.ndarray, bits: _Bits) -> tuple[np.ndarray, np.ndarray]:
+    """(places in ``x``, places in ``y``) of rows that may match; ``y`` is sorted by words, so sizes that fit are a range."""
+    low = np.searchsorted(words[y], words[x] - _edits(words[x]))
+    sizes = np.maximum(np.searchsorted(words[y] - _edits(words[y]), words[x], side="right") - low, 0)
+    a = np.repeat(np.arange(len(x)), sizes)
+    b = _places(np.cumsum(sizes) - sizes, len(a)) + low[a]
+    found = _may_match(x[a], y[b], words, bits)
+    return a[found], b[found]
+
+
 def _candidates(columns: list[np.ndarray]) -> pa.RecordBatch:
-    """A spanning forest of the pairs of keys that share a gram and may match."""
+    """A spanning forest of the pairs of keys that share a gram and may match; rows come sorted by gram and words.
+
+    Of a large group, components that hold much of it are taken out first, asking for each line once; what is left, and small
+    groups, are compared pair by pair as far as sizes fit.
+    """
     gram, key, words, bits = columns
     words, bits = words.astype(np.int64), _Bits(bits)
-    starts, sizes = _runs(gram)
     left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    small = np.repeat(sizes <= 32, sizes)
-    at, step = np.flatnonzero(small), 1
-    while len(at := at[at < len(gram) - step]):
-        at = at[gram[at] == gram[at + step]]
-        near = at[_may_match(at, at + step, words, bits)]
-        left.append(key[near])
-        right.append(key[near + step])
-        step += 1
+    held = 0
+
+    def forest() -> None:
+        nonlocal left, right, held
+        kept = _forest(np.concatenate(left), np.concatenate(right))
+        left, right, held = [np.array([a for a, _ in kept], dtype=np.int64)], [np.array([b for _, b in kept], dtype=np.int64)], 0
+
+    def link(x: np.ndarray, y: np.ndarray) -> None:
+        nonlocal held
+        left.append(key[x])
+        right.append(key[y])
+        held += len(x)
+        if held > 1 << 20:
+            forest()
+
+    loose = np.ones(len(gram), dtype=bool)
+    starts, sizes = _runs(gram)
     for start, size in zip(starts[sizes > 32].tolist(), sizes[sizes > 32].tolist(), strict=True):
-        for x, hit in _reach(np.arange(start, start + size), lambda x, rest: _may_match(x, rest, words, bits)):
-            left.append(np.full(len(hit), key[x]))
-            right.append(key[hit])
-    kept = _forest(np.concatenate(left), np.concatenate(right))
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in kept], pa.int64()), pa.array([b for _, b in kept], pa.int64())], names=["u", "v"])
+        rest, taken = np.arange(start, start + size), size
+        while len(rest) > 1 and 8 * taken >= len(rest):
+            before, queue, rest = len(rest), rest[:1], rest[1:]
+            while len(queue) and len(rest):
+                x, queue = queue[:16], queue[16:]
+                a, b = _pairs(x, rest, words, bits)
+                b, at = np.unique(b, return_index=True)
+                link(x[a[at]], rest[b])
+                queue, rest = np.r_[queue, rest[b]], np.delete(rest, b)
+            taken = before - len(rest)
+        loose[start : start + size] = False
+        loose[rest] = True
+    row = np.flatnonzero(loose)
+    at, step = np.arange(len(row)), 1
+    while len(at := at[at < len(row) - step]):
+        x, y = row[at], row[at + step]
+        fits = (gram[x] == gram[y]) & (words[y] - _edits(words[y]) <= words[x])  # once a line is too long, so are those after it
+        at, x, y = at[fits], x[fits], y[fits]
+        near = _may_match(x, y, words, bits)
+        link(x[near], y[near])
+        step += 1
+    forest()
+    return pa.RecordBatch.from_arrays([pa.array(left[0], pa.int64()), pa.array(right[0], pa.int64())], names=["u", "v"])
 
 
 def edit_distance(a: list, b: list) -> int:
@@ -744,7 +787,7 @@ def whole_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
     lots = _gram_lots(docs, *_common_words(docs)).repartition(F.col("lot")).sortWithinPartitions("lot")
     shared = staged(map_rows(lots, _shared, "gram long, key long"), "line-grams")
     known = shared.join(nodes.select("key", "words", "sketch"), "key").select("gram", "key", "words", "sketch")
-    dealt = known.repartition(F.col("gram")).sortWithinPartitions("gram", "key")
+    dealt = known.repartition(F.col("gram")).sortWithinPartitions("gram", "words", "key")
     links = staged(dealt.mapInArrow(_by_run(_candidates), "u long, v long"), "line-links")
     alike = connected_components(links).select(F.col("node").alias("key"), "component")
     member = nodes.join(alike, "key")

@@ -78,3 +78,46 @@ def test_shuffle_setting_is_put_back(spark):
         assert spark.conf.get(name) == "true"
         raise ZeroDivisionError
     assert spark.conf.get(name) == before
+
+
+def test_texts_are_split_as_word_by_word():
+    texts = ["", "One two, THREE\n\n  12 3٤ x_y éÉ ΣΑΣ\r½² İstanbul", "\n", "two one", "\U0001d54f three"]
+    split, named = lines._Split(texts), {}
+    own = [line for t in texts for line in t.split("\n")]
+    assert [texts[r].split("\n")[n] for r, n in zip(split.rows, split.numbers, strict=True)] == own
+    for line, size, end in zip(own, split.sizes.tolist(), split.ends.tolist(), strict=True):
+        words = lines.normal_words(line)
+        assert size == len(words)
+        assert all(named.setdefault(w, h) == h for w, h in zip(words, split.words[end - size : end].tolist(), strict=True))
+    assert len(set(named.values())) == len(named)
+    assert len(lines._Split([]).words) == len(lines._Split(["", " "]).words) == 0
+
+
+def coded(words):
+    return np.array([hash(w) & 0xFFFFFFFF for w in words], dtype=np.uint32)
+
+
+def test_large_components_compare_few_pairs_and_group_as_brute_force_does(monkeypatch):
+    r = random.Random(24)
+    rows = []
+    for b in range(150):  # lines of one length over few words, which sketches alone may not part
+        first = r.choices(VOCABULARY[:400], k=40)
+        rows += [edited(r, first, e) for e in (0, 3, 7, 9)]
+    sketches = np.array(lines._sketches(rows, lines._WordHash()), dtype=object)
+    keys, sizes = np.arange(len(rows), dtype=np.int64) + 10, np.array([len(x) for x in rows])
+    codes = np.array([coded(x).tobytes() for x in rows], dtype=object)
+    asked = []
+    match = lines._Lines.match
+    monkeypatch.setattr(lines._Lines, "match", lambda self, x, y: asked.append((x, y)) or match(self, x, y))
+    monkeypatch.setattr(lines, "_may_match", lambda x, y, words, bits: np.ones(len(y), dtype=bool))  # sketches that part nothing
+    found = lines._verified([np.zeros(len(rows), dtype=np.int64), keys, sizes, sketches, codes]).to_pydict()
+    leader = {x: x for x in range(len(rows))}
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
+            if lines.edit_distance(rows[a], rows[b]) <= max(len(rows[a]), len(rows[b])) // 5:
+                low, high = sorted((leader[a], leader[b]))
+                leader = {x: low if y == high else y for x, y in leader.items()}
+    several = {x for x in leader.values() if list(leader.values()).count(x) > 1}
+    assert dict(zip(found["key"], found["group"], strict=True)) == {x + 10: y + 10 for x, y in leader.items() if y in several}
+    assert len(several) > 100 and len(asked) < len(rows) ** 2 / 4  # all pairs are 180,000
+    assert len(asked) == len(set(asked))
